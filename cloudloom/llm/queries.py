@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import near_text, suffixes
+from cloudloom.llm import katz, near_text, suffixes
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +20,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = katz.score(_table(spark, sf_dir, "documents"), F.coalesce(_remainder(5) != 1, F.lit(True)))
+    return scored.withColumn("held_out", F.coalesce(_remainder(5) == 1, F.lit(False)))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_strings(_table(spark, sf_dir, "documents"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,3 +45,9 @@ def discard(df: DataFrame) -> None:
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle makes here."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done: it does when the driver's JVM has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
