@@ -57,6 +57,15 @@ def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and for each row where its words begin (one more entry at the end)."""
+    if len(data) > 1 << 20 and len(at) > 2:  # by and by, to hold little
+        found, counts, i = [], [np.zeros(1, np.int64)], 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
+            h, b = words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            found.append(h)
+            counts.append(np.diff(b))
+            i = j
+        return np.concatenate(found), np.cumsum(np.concatenate(counts))
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -167,3 +176,18 @@ def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
         if (root == before).all():
             return root
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges that join nodes 0..n-1 as all edges do; of several choices the earlier edge."""
+    root, taken = np.arange(n), []
+    open_ = np.arange(len(a))
+    while True:
+        ra, rb = root[a[open_]], root[b[open_]]
+        differ = ra != rb
+        open_, high = open_[differ], np.maximum(ra, rb)[differ]
+        if not len(open_):
+            return np.concatenate(taken) if taken else open_
+        first = np.unique(high, return_index=True)[1]
+        taken.append(open_[first])
+        root = union(n, np.concatenate([np.arange(n), a[open_[first]]]), np.concatenate([root, b[open_[first]]]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import katz, near_text, suffixes
+from cloudloom.llm import katz, near_text, near_vectors, suffixes
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -60,5 +64,25 @@ FROM s JOIN c USING (doc_id)
 """
 
 
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
+    coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS ok
+  FROM embeddings),
+p AS (
+  SELECT a.vec_id AS u, b.vec_id AS v
+  FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.ok AND b.ok AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (
+  SELECT vec_id, vec_id AS root FROM embeddings
+  UNION SELECT p.v, r.root FROM r JOIN p ON r.vec_id = p.u),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT c.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON c.vec_id = n.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_minhash_near_dedup": OP5_SQL}
+    return {"op2_cross_polytope_dedup": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL}
