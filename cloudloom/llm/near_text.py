@@ -12,7 +12,7 @@ from cloudloom.llm.components import connected_components
 from cloudloom.llm.storage import materialize, partitions
 
 U64 = np.uint64
-BLOCK = 1024  # members of a posting list that are compared at once
+BLOCK = 4096  # members of a posting list that are compared at once
 
 
 def _read(batches, width: int, coordinates: int, with_sets: bool):
@@ -51,40 +51,83 @@ def _common(batches, num: int, den: int):
         keep = np.zeros(batch.num_rows, bool)
         for r in range(batch.num_rows):
             x, y = (np.frombuffer(c[r].as_buffer(), U64) for c in (a, b))
-            if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep[r] = den * shared >= num * (len(both) - shared)
+            keep[r] = den * min(len(x), len(y)) >= num * max(len(x), len(y)) and _similar(x, y, num, den)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["u", "v"]).filter(pa.array(keep))
 
 
+def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return den * shared >= num * (len(both) - shared)
+
+
+def _meetings(table: pa.Table, matches: int):
+    """For each pair of blocks of a posting list: the rows, and pairs of them from different components that agree in ``matches`` coordinates and meet in no earlier list, best first."""
+    comp, own, p, q, tok, mask = (table.column(k).to_numpy() for k in ("comp", "own", "p", "q", "tok", "mask"))
+    sig = np.stack(table.column("sig").to_numpy())
+    begins = kernels.runs(table, ["tok", "p", "q"])
+    bits = np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
+    for s, e in zip(begins[:-1], begins[1:], strict=True):
+        if e - s < 2 or (comp[s:e] == comp[s]).all():
+            continue
+        left = np.arange(s, e)[own[s:e] == p[s]]
+        right = np.arange(s, e)[own[s:e] == q[s]]
+        if not len(left) or not len(right):
+            continue
+        here = int(np.argmax(sig[s] == tok[s]))
+        earlier = (np.int64(1) << np.int64(here)) - 1
+        found = []
+        for x in range(0, len(left), 64):
+            l = left[x : x + 64]
+            near = comp[l][:, None] != comp[right][None]
+            if p[s] == q[s]:
+                near &= l[:, None] < right[None]
+            i, j = np.nonzero(near)
+            for y in range(0, len(i), 100_000):
+                li, rj = l[i[y : y + 100_000]], right[j[y : y + 100_000]]
+                same = sig[li] == sig[rj]
+                n = same.sum(1)
+                ok = np.flatnonzero(n >= matches)
+                before = (same[ok] * bits).sum(1) & mask[li[ok]] & mask[rj[ok]] & earlier
+                ok = ok[before == 0]
+                found.append((li[ok], rj[ok], n[ok]))
+        if found:
+            a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(-n, kind="stable")
+            yield s, e, a[order], b[order]
+
+
 def _collisions(batches, matches: int):
-    """Pairs of different components in one pair of blocks of a posting list that agree in ``matches`` coordinates."""
+    """Of the pairs that meet, enough to join all that they join."""
     for table in kernels.groups_in(batches, ["tok", "p", "q"]):
-        cid, comp, own, p, q = (table.column(k).to_numpy() for k in ("cid", "comp", "own", "p", "q"))
-        sig = np.stack(table.column("sig").to_numpy()) if table.num_rows else np.zeros((0, 0))
-        begins = kernels.runs(table, ["tok", "p", "q"])
-        found_a, found_b = [], []
-        for s, e in zip(begins[:-1], begins[1:], strict=True):
-            if e - s < 2 or (comp[s:e] == comp[s]).all():
-                continue
-            left = np.arange(s, e)[own[s:e] == p[s]]
-            right = np.arange(s, e)[own[s:e] == q[s]]
-            for x in range(0, len(left), 128):
-                l = left[x : x + 128]
-                near = comp[l][:, None] != comp[right][None]
-                if p[s] == q[s]:
-                    near &= cid[l][:, None] < cid[right][None]
-                i, j = np.nonzero(near)
-                for y in range(0, len(i), 100_000):
-                    li, rj = l[i[y : y + 100_000]], right[j[y : y + 100_000]]
-                    enough = (sig[li] == sig[rj]).sum(1) >= matches
-                    found_a.append(cid[li[enough]])
-                    found_b.append(cid[rj[enough]])
-        a = np.concatenate(found_a) if found_a else np.zeros(0, np.int64)
-        b = np.concatenate(found_b) if found_b else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        cid = table.column("cid").to_numpy()
+        for s, e, a, b in _meetings(table, matches):
+            t = kernels.forest(e - s, a - s, b - s)
+            x, y = cid[a[t]], cid[b[t]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+
+def _settle(batches, matches: int, num: int, den: int):
+    """Confirm the pairs that meet on their full sets, unless confirmed links of the block have joined them already; the links."""
+    for table in kernels.groups_in(batches, ["tok", "p", "q"]):
+        cid, comp = table.column("cid").to_numpy(), table.column("comp").to_numpy()
+        words = table.column("words").combine_chunks()
+        for s, e, a, b in _meetings(table, matches):
+            sets = [np.frombuffer(words[r].as_buffer(), U64) for r in range(s, e)]
+            size = np.array([len(x) for x in sets])
+            x, y = a - s, b - s
+            able = den * np.minimum(size[x], size[y]) >= num * np.maximum(size[x], size[y])
+            x, y = x[able], y[able]
+            root = np.unique(comp[s:e], return_inverse=True)[1]
+            links = []
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if root[i] != root[j] and _similar(sets[i], sets[j], num, den):
+                    links.append((i, j))
+                    root[root == root[j]] = root[i]
+            if links:
+                i, j = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(cid[s:e][i]), pa.array(cid[s:e][j])], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coordinates: int = 32, matches: int = 13) -> DataFrame:
@@ -102,10 +145,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
       ``coordinates - matches + 1`` make pairs: two classes that agree in
       ``matches`` values meet there.  The long lists are skipped; they count
       only when the signatures of two classes that met are compared.
-    * In a first pass each class is compared with the least class of the list
-      it shares most often, which is linear in the postings.  In the second,
-      members of a list that are still in different components are compared,
-      in blocks of bounded size.  Every link is confirmed on the full sets.
+    * First each class is compared with the least class of the list it shares
+      most often, then with what a forest of the best matches in each list
+      names; both are linear in the postings.  Last, all pairs of a list that
+      agree in enough values and are still in different components are
+      confirmed in place, in blocks of bounded size, each pair in the first
+      list where it meets.  Every link is confirmed on the full sets.
 
     Null or empty texts and texts of white space have an empty set, no links
     and themselves as component.  With fewer words than ``width`` all of them
@@ -137,16 +182,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     best = stars.groupBy("cid").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("cid").alias("b"))
     first = materialize(confirmed(best), "links")
 
-    comps = connected_components(first)
-    placed = postings.join(comps, F.col("cid") == F.col("node"), "left").select("tok", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = placed.groupBy("tok").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = placed.join(mixed, "tok").select("tok", "cid", "comp", blocks.alias("k"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own"))
-    spread = spread.join(classes.select("cid", "sig"), "cid")
-    dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("tok", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cid", "comp", "sig")
-    dealt = dealt.repartition(partitions(spark), "tok", "p", "q").sortWithinPartitions("tok", "p", "q")
-    pairs = dealt.mapInArrow(lambda it: _collisions(it, matches), "a long, b long").distinct()
-    second = materialize(confirmed(pairs), "links")
+    placed = postings.join(classes.select("cid", "sig"), "cid").select("cid", F.expr("shiftleft(1L, cast(array_position(sig, tok) as int) - 1)").alias("bit"))
+    known = classes.select("cid", "sig").join(placed.groupBy("cid").agg(F.bit_or("bit").alias("mask")), "cid")
+
+    def mixed(links: DataFrame, extra: DataFrame | None) -> DataFrame:
+        """The lists whose members are in several components of ``links``, dealt in pairs of blocks."""
+        comps = connected_components(links)
+        placed = postings.join(comps, F.col("cid") == F.col("node"), "left").select("tok", "cid", F.coalesce("component", "cid").alias("comp"))
+        lists = placed.groupBy("tok").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        spread = placed.join(lists, "tok").select("tok", "cid", "comp", blocks.alias("k"), F.pmod(F.xxhash64("cid"), blocks).cast("int").alias("own")).join(known, "cid")
+        if extra is not None:
+            spread = spread.join(extra, "cid")
+        dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "k")
+        return dealt.repartition(partitions(spark), "tok", "p", "q").sortWithinPartitions("tok", "p", "q", "cid")
+
+    pairs = mixed(first, None).mapInArrow(lambda it: _collisions(it, matches), "a long, b long").distinct()
+    first = materialize(first.unionAll(confirmed(pairs)), "links")
+    second = materialize(mixed(first, sets).mapInArrow(lambda it: _settle(it, matches, num, den), "u long, v long"), "links")
 
     comps = connected_components(first.unionAll(second))
     rooted = classes.select("cid", "rep").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("root"))
