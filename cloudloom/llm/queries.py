@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import katz, near_text, near_vectors, suffixes
+from cloudloom.llm import katz, languages, leaks, near_text, near_vectors, suffixes, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,16 +16,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = toxicity.fit(toxicity.training_rows(docs, _table(spark, sf_dir, "labels"), ~held_out))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it holds; clean documents have none."""
+    found = leaks.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-def _remainder(modulus: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = languages.fit(docs, ~held_out)
+    return languages.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
