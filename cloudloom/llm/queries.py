@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudloom.llm import katz, languages, leaks, near_text, near_vectors, suffixes, toxicity
+from cloudloom.llm import katz, languages, leaks, mixing, near_text, near_vectors, private, suffixes, toxicity, urls
 
-WORD = r"[^\x20\x09-\x0D]+"
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=[3, 1, 2])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and test item that it holds; clean documents have none."""
     found = leaks.find_leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -41,6 +46,15 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return private.find_private(docs, private.fit(docs))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), RULES)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
@@ -84,6 +98,36 @@ FROM s JOIN c USING (doc_id)
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS n, [3.0::DOUBLE, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+  FROM d GROUP BY source),
+r AS (
+  SELECT 1 AS step, source, n, w, NULL::DOUBLE AS target, 1.5::DOUBLE * sum(n) OVER () AS left_, sum(w) OVER () AS open_w FROM s
+  UNION ALL
+  SELECT step + 1, source, n, w, t,
+    left_ - coalesce(sum(2.0::DOUBLE * n) FILTER (target IS NULL AND t IS NOT NULL) OVER (), 0),
+    coalesce(sum(w) FILTER (t IS NULL) OVER (), 0)
+  FROM (SELECT *, CASE WHEN target IS NOT NULL THEN target WHEN left_ * w / open_w > 2.0::DOUBLE * n THEN 2.0::DOUBLE * n END AS t FROM r WHERE open_w > 0 AND step <= (SELECT count(*) + 1 FROM s))),
+e AS (SELECT * FROM r WHERE step = (SELECT max(step) FROM r)),
+t AS (SELECT source, n, coalesce(target, left_ * w / open_w) AS target FROM e),
+p AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
+q AS (SELECT *, target - whole * n AS rest FROM p),
+k AS (
+  SELECT d.*, q.n, q.target, q.whole, q.rest, CASE WHEN q.n > 0 THEN (q.rest / q.n) / (1 - q.rest / q.n) ELSE 0 END AS odds,
+    (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+o AS (SELECT *, CASE WHEN odds > 0 THEN u / (1 - u) / odds END AS rank FROM k),
+g AS (
+  SELECT source, rank, 2 * sum(sum(size)) OVER (PARTITION BY source ORDER BY rank) - sum(size) <= 2 * any_value(rest) AS more
+  FROM o WHERE odds > 0 GROUP BY source, rank)
+SELECT o.doc_id, o.size, o.n AS source_size, o.target, (o.size * (o.whole + coalesce(g.more, false)::INT))::BIGINT AS taken
+FROM o LEFT JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.rank = g.rank
+"""
+
+
 OP2_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e,
@@ -105,4 +149,4 @@ FROM c LEFT JOIN n ON c.vec_id = n.u
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cross_polytope_dedup": OP2_SQL, "op5_minhash_near_dedup": OP5_SQL}
+    return {"op2_cross_polytope_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL}
