@@ -70,7 +70,7 @@ def _count_words(batches, buckets: int):
     """Counts of the training words of a slice, packed by bucket."""
     for batch in batches:
         learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 16 << 20):
+        for i, j, data, at in kernels.text_slices(batch.column("text"), 8 << 20):
             w, _, row = _tokens(data, at)
             w, n = np.unique(w[learn[i:j][row]], return_counts=True)
             bucket = (w % U64(buckets)).astype(np.int32)
@@ -139,12 +139,27 @@ def _deal(batches, buckets: int, hot: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(dealt[c[:-1]].astype(np.int32)), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(3))], names=["bucket", "pairs", "places", "docs"])
 
 
-def _by_part(part: np.ndarray, fields, arrays, kind: int, stats=None):
+def _by_part(part: np.ndarray, fields, arrays, kind: int):
+    """Arrays packed by part; in each the first array, which is sorted, as differences."""
     order = np.argsort(part, kind="stable")
     part, arrays = part[order], [a[order] for a in arrays]
     c = _cuts(part)
-    blobs = [_pack(fields, [a[s:e] for a in arrays]) for s, e in zip(c[:-1], c[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind, np.int32)), pa.array(part[c[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array([stats] * len(blobs), pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
+    blobs = [_pack(fields, [np.append(arrays[0][s : s + 1], np.diff(arrays[0][s:e])), *(a[s:e] for a in arrays[1:])]) for s, e in zip(c[:-1], c[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind, np.int32)), pa.array(part[c[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
+
+
+def _parts_in(fields, blobs) -> dict[str, np.ndarray]:
+    """What ``_by_part`` packed."""
+    found = [_unpack(fields, b) for b in blobs]
+    first = fields[0][0]
+    return {k: np.concatenate([np.cumsum(x[k], dtype=t) if k == first else x[k] for x in found]) if found else np.zeros(0, t) for k, t in fields}
+
+
+def _summed(fields, found: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Rows of (did, tie, sums...) with the sums of equal (did, tie) added, sorted."""
+    did, tie, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
+    keys, to = np.unique(np.rec.fromarrays([did, tie], names="d,t"), return_inverse=True)
+    return [keys["d"], keys["t"], *(np.bincount(to, x, len(keys)) for x in sums)]
 
 
 def _doc_part(did, parts):
@@ -153,6 +168,7 @@ def _doc_part(did, parts):
 
 def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d1: np.ndarray, unknown: float):
     """In each bucket, with all that is known of its words and pairs: sums for each document, the contexts of unseen words, and what each context gave away."""
+    held: list[list[np.ndarray]] = []
     for table in kernels.groups_in(batches, ["bucket"]):
         for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["bucket"])[1:-1]):
             pairs, places, ids = [], [], []
@@ -191,8 +207,13 @@ def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d
             m = len(keys)
             add = lambda x, doc=doc, m=m: np.bincount(doc, x, m)
             sums = [add(n * (w == END)), add(n), add(n * (c_w > 0)), add(n * np.log10(c_w + 0.5)), add(logs), *(add(n * (seen == r)) for r in range(1, TRUST + 1))]
-            yield _by_part(_doc_part(keys["d"], parts), _DOC, [keys["d"], keys["t"], *sums], 0)
+            held.append([keys["d"], keys["t"], *sums])
+            if sum(len(x[0]) for x in held) > 1 << 20:
+                held = [_summed(_DOC, held)]
+                if len(held[0][0]) > 1 << 19:
+                    yield _by_part(_doc_part(held[0][0], parts), _DOC, held.pop(), 0)
             miss = seen == 0
+            miss = np.flatnonzero(miss)[np.argsort(u[miss], kind="stable")]
             yield _by_part((kernels.mix(u[miss]) % U64(parts)).astype(np.int64), _UNSEEN, [u[miss], keys["d"][doc[miss]], keys["t"][doc[miss]], n[miss]], 2)
             have = c > 0
             u2, c2, own2 = u[first][have], c[have], own[first][have]
@@ -200,6 +221,9 @@ def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d
             kinds = [np.bincount(to, c2 == r, len(names)) for r in range(1, TRUST + 1)] + [np.bincount(to, c2 > TRUST, len(names))]
             yield _by_part((kernels.mix(names) % U64(parts)).astype(np.int64), _CONTEXT, [names, *kinds, np.bincount(to, own2, len(names))], 1)
             yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([stats.tolist()], pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
+    if held:
+        held = _summed(_DOC, held)
+        yield _by_part(_doc_part(held[0], parts), _DOC, held, 0)
 
 
 def _back_off(batches, parts: int, total: int, d2: np.ndarray):
@@ -208,8 +232,8 @@ def _back_off(batches, parts: int, total: int, d2: np.ndarray):
         for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["part"])[1:-1]):
             kind = table.column("kind").to_numpy()[at]
             blobs = [table.column("blob")[int(r)].as_py() for r in at]
-            x = _unpack_all(_UNSEEN, [b for b, k in zip(blobs, kind, strict=True) if k == 2])
-            f = _unpack_all(_CONTEXT, [b for b, k in zip(blobs, kind, strict=True) if k == 1])
+            x = _parts_in(_UNSEEN, [b for b, k in zip(blobs, kind, strict=True) if k == 2])
+            f = _parts_in(_CONTEXT, [b for b, k in zip(blobs, kind, strict=True) if k == 1])
             if not len(x["u"]):
                 continue
             names, to = np.unique(f["u"], return_inverse=True)
@@ -230,7 +254,7 @@ def _add_up(batches, sums: list[int], d2: np.ndarray, starts: int):
     total, kinds = sums[0], sums[1]
     for table in kernels.groups_in(batches, ["part"]):
         for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["part"])[1:-1]):
-            f = _unpack_all(_DOC, [table.column("blob")[int(r)].as_py() for r in at])
+            f = _parts_in(_DOC, [table.column("blob")[int(r)].as_py() for r in at])
             keys, to = np.unique(np.rec.fromarrays([f["did"], f["tie"]], names="d,t"), return_inverse=True)
             s = {k: np.bincount(to, f[k], len(keys)) for k in _SUMS}
             times = s["rows"].astype(np.int64)
