@@ -1 +1,3 @@
-"""Registered queries over the driver tables."""
+"""Imports the modules that register queries."""
+
+from cloudloom.plans import q_clusters, q_features, q_models, q_points  # noqa: F401

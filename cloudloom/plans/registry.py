@@ -8,24 +8,27 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def register(name: str, query: Callable, oracle: str | None = None) -> None:
-    """Add a query; a name may be taken once."""
-    if name in QUERIES:
-        raise ValueError(f"query {name} is registered twice")
-    QUERIES[name] = query
-    if oracle:
-        ORACLES[name] = oracle
+def query(oracle: str | None = None, name: str | None = None) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its name."""
 
+    def add(f: Callable) -> Callable:
+        key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"query {key} is registered twice")
+        QUERIES[key] = f
+        if oracle:
+            ORACLES[key] = oracle
+        return f
 
-def _load() -> None:
-    from cloudloom.plans import catalog  # noqa: F401  registers on import
+    return add
 
 
 def queries() -> dict[str, Callable]:
-    _load()
+    from cloudloom.plans import catalog  # noqa: F401  registers on import
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    _load()
+    queries()
     return dict(ORACLES)
