@@ -169,6 +169,15 @@ def _doc_part(did, parts):
 def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d1: np.ndarray, unknown: float):
     """In each bucket, with all that is known of its words and pairs: sums for each document, the contexts of unseen words, and what each context gave away."""
     held: list[list[np.ndarray]] = []
+    asked: list[list[np.ndarray]] = []
+    given: list[list[np.ndarray]] = []
+
+    def flush(found, fields, kind):
+        arrays = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.argsort(arrays[0], kind="stable")
+        found.clear()
+        return _by_part((kernels.mix(arrays[0]) % U64(parts)).astype(np.int64)[order], fields, [a[order] for a in arrays], kind)
+
     for table in kernels.groups_in(batches, ["bucket"]):
         for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["bucket"])[1:-1]):
             pairs, places, ids = [], [], []
@@ -212,15 +221,20 @@ def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d
                 held = [_summed(_DOC, held)]
                 if len(held[0][0]) > 1 << 19:
                     yield _by_part(_doc_part(held[0][0], parts), _DOC, held.pop(), 0)
-            miss = seen == 0
-            miss = np.flatnonzero(miss)[np.argsort(u[miss], kind="stable")]
-            yield _by_part((kernels.mix(u[miss]) % U64(parts)).astype(np.int64), _UNSEEN, [u[miss], keys["d"][doc[miss]], keys["t"][doc[miss]], n[miss]], 2)
+            miss = np.flatnonzero(seen == 0)
+            asked.append([u[miss], keys["d"][doc[miss]], keys["t"][doc[miss]], n[miss]])
             have = c > 0
-            u2, c2, own2 = u[first][have], c[have], own[first][have]
-            names, to = np.unique(u2, return_inverse=True)
+            c2 = c[have]
+            names, to = np.unique(u[first][have], return_inverse=True)
             kinds = [np.bincount(to, c2 == r, len(names)) for r in range(1, TRUST + 1)] + [np.bincount(to, c2 > TRUST, len(names))]
-            yield _by_part((kernels.mix(names) % U64(parts)).astype(np.int64), _CONTEXT, [names, *kinds, np.bincount(to, own2, len(names))], 1)
+            given.append([names, *kinds, np.bincount(to, own[first][have], len(names))])
+            for found, fields, kind in ((asked, _UNSEEN, 2), (given, _CONTEXT, 1)):
+                if sum(len(x[0]) for x in found) > 1 << 20:
+                    yield flush(found, fields, kind)
             yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([stats.tolist()], pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
+    for found, fields, kind in ((asked, _UNSEEN, 2), (given, _CONTEXT, 1)):
+        if found:
+            yield flush(found, fields, kind)
     if held:
         held = _summed(_DOC, held)
         yield _by_part(_doc_part(held[0], parts), _DOC, held, 0)
