@@ -22,9 +22,13 @@ def class_stats(rows: DataFrame) -> DataFrame:
     return long_features(rows, "label").groupBy("label", "dim").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
 
 
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def _ends(train: DataFrame, *aggs) -> DataFrame:
     s = long_features(train).groupBy("dim").agg(*aggs)
-    return s.agg(*(F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), lambda x, c=c: x[c]).alias(f"_{c}") for c in s.columns if c != "dim"))
+    return s.agg(*(F.transform(F.array_sort(F.collect_list(F.struct("dim", c))), _field(c)).alias(f"_{c}") for c in s.columns if c != "dim"))
 
 
 def gauss_scale(rows: DataFrame, train: DataFrame | None = None) -> DataFrame:

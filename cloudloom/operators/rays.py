@@ -25,7 +25,7 @@ def cast_rays(rays: DataFrame, tri: DataFrame, eps: float = 0.01) -> DataFrame:
     planes = tri.withColumns({"nx": n[0], "ny": n[1], "nz": n[2], "_d": level}).where("nx is not null")
     n = C.vec("n")
     slope = C.dot(n, d)
-    hits = rays.join(planes, F.abs(slope) >= eps).withColumn("t", (F.col("_d") - C.dot(n, o)) / slope).where("t > 0")
+    hits = rays.join(planes, F.abs(slope) >= eps).withColumn("t", F.try_divide(F.col("_d") - C.dot(n, o), slope)).where("t > 0")
     hits = hits.withColumns({f"h{k}": F.col(f"o{k}") + F.col("t") * F.col(f"d{k}") for k in "xyz"})
     h = C.vec("h")
     for p, q in ((a, b), (b, c), (c, a)):
@@ -68,7 +68,7 @@ def depth_map(tri: DataFrame, width: int, height: int) -> DataFrame:
 def vertex_normals(tri: DataFrame) -> DataFrame:
     """(vid, nx, ny, nz): the unit sum of the normals of each vertex's faces."""
     n, _ = C.plane_of(C.vec("a"), C.vec("b"), C.vec("c"))
-    f = tri.withColumns({"_nx": n[0], "_ny": n[1], "_nz": n[2]}).select(F.explode(F.array("a", "b", "c")).alias("vid"), "_nx", "_ny", "_nz")
+    f = tri.withColumns({"_nx": n[0], "_ny": n[1], "_nz": n[2]}).select(F.explode(F.array("a", "b", "c")).alias("vid"), "_nx", "_ny", "_nz").where("_nx is not null")
     s = f.groupBy("vid").agg(*(F.sum(f"_n{k}").alias(f"n{k}") for k in "xyz"))
     size = C.norm(C.vec("n"))
     return s.select("vid", *(F.try_divide(F.col(f"n{k}"), size).alias(f"n{k}") for k in "xyz"))
