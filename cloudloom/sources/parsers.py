@@ -181,7 +181,7 @@ def prediction(raw: bytes) -> Table:
     lines = raw.decode().splitlines()
     classes = [int(c) for c in lines[0].split()[1:]] if lines and lines[0].startswith("labels") else None
     rows = _rows([x.encode() for x in (lines[1:] if classes else lines)], tuple(range(1, 4096)))
-    return {"obj_id": np.arange(len(rows)), "label": [int(r[0]) for r in rows], "scores": [list(zip(classes or range(1, len(r)), r[1:], strict=False)) for r in rows]}
+    return {"obj_id": np.arange(len(rows)), "label": [int(r[0]) for r in rows], "scores": [[{"label": c, "score": v} for c, v in zip(classes or range(1, len(r)), r[1:], strict=False)] for r in rows]}
 
 
 def categories(raw: bytes) -> Table:
