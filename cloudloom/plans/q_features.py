@@ -161,3 +161,39 @@ def mesh_sample(spark, d):
     return sample_mesh(_mesh(spark, d)[2], 4.0, 3)
 
 
+
+
+@query()
+def shot(spark, d):
+    from cloudloom.operators import descriptors
+
+    return descriptors.shot(_with_normals(spark, d), 0.2)
+
+
+@query()
+def usc(spark, d):
+    from cloudloom.operators import descriptors
+
+    return descriptors.shape_context(_with_normals(spark, d), 0.2, 0.02, 0.04)
+
+
+@query()
+def vfh(spark, d):
+    from cloudloom.operators import descriptors
+
+    p = _with_normals(spark, d).join(V.emb(spark, d).select("pid", "label"), "pid")
+    return descriptors.viewpoint_histogram(p, ["label"])
+
+
+@query()
+def our_cvfh(spark, d):
+    from cloudloom.operators import descriptors
+
+    return descriptors.clustered_viewpoint_histogram(geometry.normals(V.emb(spark, d), 0.2), 0.2, 0.5)
+
+
+@query()
+def esf(spark, d):
+    from cloudloom.operators import descriptors
+
+    return descriptors.shape_functions(V.part(spark, d), "cloud_id", samples=200)
