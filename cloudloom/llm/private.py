@@ -77,6 +77,28 @@ def _shape(found: str) -> str:
     return f"{min(len(found) // 6, 5)}{digits * 3 // max(len(found), 1)}{int(' ' in found)}"
 
 
+def _within(kind: str, found: str):
+    """Valid spans in a card or phone match that fails because it runs into other numbers: runs of whole words, the shortest card, the longest phone."""
+    if kind not in ("card", "phone"):
+        return
+    words = [m.span() for m in re.finditer(r"[^\x20]+", found)]
+    i = 0
+    while i < len(words):
+        digits, hit = 0, None
+        for j in range(i, len(words)):
+            digits += sum(c.isdigit() for c in found[slice(*words[j])])
+            if digits > 19:
+                break
+            span = words[i][0], words[j][1]
+            if BASE[kind].fullmatch(found, *span) and valid(kind, found[slice(*span)]):
+                hit = j, span
+                if kind == "card":
+                    break
+        if hit:
+            yield hit[1]
+        i = hit[0] + 1 if hit else i + 1
+
+
 def candidates(text: str):
     """(kind, start, end, strict, pattern) of all candidate spans; pattern is what labelers and classifier see."""
     lettered, numbered = "@" in text, re.search("[0-9]", text) is not None
@@ -88,6 +110,9 @@ def candidates(text: str):
                 if strict or kind != "card" or len(m[0]) >= 13:
                     taken.append((m.start(), m.end()))
                     yield kind, *taken[-1], strict, _pattern(kind, m[0], text, *taken[-1], strict)
+                    for a, b in () if strict else _within(kind, m[0]):
+                        a, b = m.start() + a, m.start() + b
+                        yield kind, a, b, False, _pattern(kind, text[a:b], text, a, b, True)
         if kind in LOOSE and (numbered or kind == "email"):
             at = 0
             for m in LOOSE[kind].finditer(text) if kind == "phone" or re.search(r"[(\[{]at[)\]}]", text, re.IGNORECASE) else ():
@@ -199,7 +224,7 @@ def find_private(docs: DataFrame, model: dict[str, bool]) -> DataFrame:
 
     Base spans are the leftmost non-overlapping matches of each kind's pattern
     that pass its check, and always stay.  The classifier adds candidates that
-    don't overlap them: addresses with (at) and (dot), numbers without a plus,
+    don't overlap those: addresses with (at) and (dot), numbers without a plus,
     matches that fail a check.  Places are code points.  A null or empty text
     has none.  Each row is judged for itself; an empty table gives an empty
     result.

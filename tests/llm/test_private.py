@@ -66,3 +66,11 @@ def test_mask(spark):
     assert got == {1: "to [EMAIL], [PHONE]!", 2: None, 3: ""}
     assert private.find_private(docs.limit(0), model).collect() == []
     assert private.fit(docs.limit(0)) == {}
+
+
+def test_numbers_that_run_into_others_are_added():
+    text = "7536784127813050 4845168114407329 and +1 (826) 555-4081 190.137.223.204 end"
+    model = {p: True for *_, strict, p in private.candidates(text)}
+    base, every = private.spans(text, model)
+    assert base == [("ip", 56, 71)]
+    assert ("card", 17, 33) in every and ("phone", 38, 55) in every
