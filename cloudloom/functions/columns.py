@@ -260,3 +260,52 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 def manhattan(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+# --- whole-table colourings and projections -----------------------------------
+
+
+def project_image(df: DataFrame, focal: float, width: int, height: int, fit: bool = True, margin: float = 0.05) -> DataFrame:
+    """(xi, yi, rgb): pixels of the points before the camera; of several points in a pixel that with the largest pid.  With ``fit`` the farthest point touches the margin, else 1 does."""
+    p = pinhole(df, focal)
+    far = p.agg(F.greatest(F.max(F.abs("u")), F.max(F.abs("v"))).alias("_far")) if fit else p.sparkSession.range(1).select(F.lit(1.0).alias("_far"))
+    at = lambda c, size: (F.try_divide(F.col(c) * ((size - 1) * (1 - 2 * margin)), 2 * F.col("_far")) + size // 2).cast("int")
+    px = p.crossJoin(F.broadcast(far)).withColumns({"xi": at("u", width), "yi": at("v", height)})
+    return px.where(F.col("xi").between(0, width - 1) & F.col("yi").between(0, height - 1)).groupBy("xi", "yi").agg(F.max_by("rgb", "pid").alias("rgb"))
+
+
+def stretched(df: DataFrame, columns: dict[str, Column], most: float = 255.0) -> DataFrame:
+    """``df`` with values scaled to 0..``most`` over the table (null if they are all one)."""
+    held = df.withColumns({f"_v_{k}": v for k, v in columns.items()})
+    ends = held.agg(*(f(f"_v_{k}").alias(f"_{f.__name__}_{k}") for k in columns for f in (F.min, F.max)))
+    out = held.crossJoin(F.broadcast(ends))
+    out = out.withColumns({k: F.try_divide((F.col(f"_v_{k}") - F.col(f"_min_{k}")) * most, F.col(f"_max_{k}") - F.col(f"_min_{k}")) for k in columns})
+    return out.drop(*(f"_{p}_{k}" for k in columns for p in ("v", "min", "max")))
+
+
+def stretch_lab(df: DataFrame) -> DataFrame:
+    """Colours (r, g, b) replaced by L, a and b, each stretched to bytes."""
+    lab = rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    out = stretched(df, dict(zip(("_l", "_a", "_bb"), lab, strict=True)))
+    return out.withColumns({c: F.col(k).cast("int") for c, k in zip("rgb", ("_l", "_a", "_bb"), strict=True)}).drop("_l", "_a", "_bb")
+
+
+def energy_colours(df: DataFrame) -> DataFrame:
+    """``df`` with ``rgb`` by the sum of squares of ``features`` over the largest."""
+    energy = F.aggregate("features", F.lit(0.0), lambda s, v: s + v * v)
+    top = df.agg(F.max(energy).alias("_top"))
+    return df.crossJoin(F.broadcast(top)).withColumn("rgb", colormap(F.coalesce(F.try_divide(energy, F.col("_top")), F.lit(0.0)))).drop("_top")
+
+
+def axes_points(size: float, interval: float, spark) -> DataFrame:
+    """Points of the three axes, red, green and blue."""
+    out = None
+    for k, rgb in enumerate((0xFF0000, 0x00FF00, 0x0000FF)):
+        line = line_points((0, 0, 0), tuple(size * (i == k) for i in range(3)), interval, spark).withColumn("rgb", F.lit(rgb))
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+def palette_colour(label: Column) -> Column:
+    """One of seven colours by label."""
+    return F.element_at(F.array(*map(F.lit, (0xFF0000, 0x00FF00, 0x0000FF, 0xFFFF00, 0xFF00FF, 0x00FFFF, 0xFFFFFF))), (F.pmod(label, F.lit(7)) + 1).cast("int"))

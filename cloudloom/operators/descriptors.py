@@ -213,3 +213,46 @@ def instances(scene_frames: DataFrame, model_frames: DataFrame, pairs: DataFrame
     p = p.withColumns({f"h{c}": F.col(c) + local["u"] * F.col(f"u{c}") + local["v"] * F.col(f"v{c}") + local["w"] * F.col(f"w{c}") for c in "xyz"})
     cell = {f"{c}i": F.floor(F.col(f"h{c}") / size).cast("int") for c in "xyz"}
     return p.withColumns(cell).groupBy(*cell).agg(F.count("*").alias("votes"), *(F.avg(f"h{c}").alias(c) for c in "xyz")).where(F.col("votes") >= least)
+
+
+def triple_histogram(points: DataFrame, by: str, samples: int = 20_000, bins: int = 64, seed: int = 2) -> DataFrame:
+    """(by, bin, value): angles, areas and distances of random triples of each cloud whose area is 1 or more, ``bins`` each, over the largest count of a part; angles over pi, the others over what the box allows."""
+    order = Window.partitionBy(by).orderBy(F.xxhash64("pid", F.lit(seed)), "pid")
+    p = points.select(by, *"xyz", (F.row_number().over(order) - 1).alias("k"))
+    span = [F.max(c) - F.min(c) for c in "xyz"]
+    ends = points.groupBy(by).agg(F.count("*").alias("n"), F.array_sort(F.array(*span)).alias("s"))
+    t = ends.where("n >= 3").select(by, "n", "s", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("i"))
+    for j, k in enumerate("abc"):
+        t = t.withColumn(f"k{k}", F.pmod(F.xxhash64("i", F.lit(seed * 3 + j), by), F.col("n")))
+        t = t.join(p.select(by, F.col("k").alias(f"k{k}"), *(F.col(c).alias(f"{k}{c}") for c in "xyz")), [by, f"k{k}"])
+    side = lambda a, b: F.sqrt(sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "yz"), (F.col(f"{a}x") - F.col(f"{b}x")) * (F.col(f"{a}x") - F.col(f"{b}x"))))
+    t = t.withColumns({"u": side("a", "b"), "v": side("a", "c"), "w": side("b", "c")})
+    half = (F.col("u") + F.col("v") + F.col("w")) / 2
+    t = t.withColumn("area", F.sqrt(F.greatest(half * (half - F.col("u")) * (half - F.col("v")) * (half - F.col("w")), F.lit(0.0)))).where("area >= 1")
+    angle = lambda a, b, c: F.acos(F.greatest(F.least(F.try_divide(F.col(a) * F.col(a) + F.col(b) * F.col(b) - F.col(c) * F.col(c), 2 * F.col(a) * F.col(b)), F.lit(1.0)), F.lit(-1.0))) / math.pi
+    s = [F.col("s")[k] for k in range(3)]
+    far, wide = F.sqrt(s[0] * s[0] + s[1] * s[1] + s[2] * s[2]), 0.5 * s[2] * F.sqrt(s[0] * s[0] + s[1] * s[1])
+    found = [*(_bin(angle(*x), bins) for x in ("uvw", "vwu", "wuv")), bins + _bin(F.try_divide("area", wide), bins), *(2 * bins + _bin(F.try_divide(F.col(x), far), bins) for x in "uvw")]
+    n = t.select(by, F.explode(F.array(*found)).alias("bin")).groupBy(by, "bin").agg(F.count("*").alias("c")).withColumn("part", F.expr(f"bin div {bins}"))
+    top = n.groupBy(by, "part").agg(F.max("c").alias("_top"))
+    return n.join(top, [by, "part"]).select(by, "bin", (F.col("c") / F.col("_top")).alias("value"))
+
+
+def part_histograms(points: DataFrame, by: str, histogram=triple_histogram, bins: int = 192, **options) -> DataFrame:
+    """The histograms of the octants of each cloud, one after the other."""
+    from cloudloom.functions.columns import octant
+
+    split = points.withColumn("_part", F.concat_ws("#", F.col(by).cast("string"), octant(F.col("x"), F.col("y"), F.col("z")).cast("string")))
+    h = histogram(split, "_part", **options)
+    names = split.select(by, "_part").distinct()
+    return h.join(names, "_part").select(by, (F.substring_index("_part", "#", -1).cast("int") * bins + F.col("bin")).alias("bin"), "value")
+
+
+def shape_and_curvature(points: DataFrame, by: str, **options) -> DataFrame:
+    """(by, bin, value): the 640 bins of ``shape_functions`` and 64 of the equalised histogram of ``curvature``."""
+    from cloudloom.operators.features import equalise
+
+    ends = points.groupBy(by).agg(F.count("*").alias("_n"), F.max("curvature").alias("_top"))
+    h = points.join(F.broadcast(ends), by).groupBy(by, "_n", _bin(F.try_divide("curvature", "_top"), 64).alias("bin")).agg(F.count("*").alias("c"))
+    flat = equalise(h.select(by, "bin", (F.col("c") / F.col("_n")).alias("value")), [by])
+    return shape_functions(points, by, **options).unionByName(flat.select(by, (F.col("bin") + 640).alias("bin"), "value"))

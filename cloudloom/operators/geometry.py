@@ -259,3 +259,30 @@ def chain_scans(moves: DataFrame) -> DataFrame:
     c, s = F.cos("before"), F.sin("before")
     m = m.withColumns({"gx": F.col("tx") * c - F.col("ty") * s, "gy": F.col("tx") * s + F.col("ty") * c})
     return m.select("scan", F.col("total").alias("theta"), F.sum("gx").over(w).alias("tx"), F.sum("gy").over(w).alias("ty"), F.sum("tz").over(w).alias("tz"))
+
+
+def corner_cuboids(corners: DataFrame, by: str) -> DataFrame:
+    """(by, ox, oy, oz, axes, lengths) of cuboids given by eight corners (k from 0): the first corner, and the three edges from it.
+
+    The two nearest other corners are edges; of the third and fourth nearest the
+    diagonal of their face is the one whose distance fits, and the other is the
+    third edge.
+    """
+    zero = corners.where("k = 0").select(by, *(F.col(c).alias(f"o{c}") for c in "xyz"))
+    d = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
+    rest = corners.where("k > 0").join(zero, by).withColumn("n", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
+    e = F.array_sort(F.collect_list(F.struct("n", F.array(*d).alias("v"))))  # seven
+    g = rest.groupBy(by, "ox", "oy", "oz").agg(e.alias("e"))
+    n = [F.col("e")[k]["n"] for k in range(4)]
+    face = F.sqrt(n[0] * n[0] + n[1] * n[1])
+    third = F.when(F.abs(n[2] - face) > F.abs(n[3] - face), F.col("e")[2]).otherwise(F.col("e")[3])
+    three = F.array(F.col("e")[0], F.col("e")[1], third)
+    unit = F.transform(three, lambda x: F.transform(x["v"], lambda v: F.try_divide(v, x["n"])))
+    return g.select(by, "ox", "oy", "oz", unit.alias("axes"), F.transform(three, lambda x: x["n"]).alias("lengths"))
+
+
+def flat_cuboids(points: DataFrame, by: str) -> DataFrame:
+    """Upright cuboids around the lowest and highest points of each group, on the least rectangle of those: area, direction, sides and the ends of z."""
+    ends = points.groupBy(by).agg(F.min("z").alias("low"), F.max("z").alias("high"))
+    flat = points.join(F.broadcast(ends), by).where("z = low or z = high")
+    return least_rectangle(flat.select(by, "x", "y"), by).join(ends, by)

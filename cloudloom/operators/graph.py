@@ -131,3 +131,10 @@ def islands(rows: DataFrame, index: str, by: list[str] | None = None) -> DataFra
     w = Window.partitionBy(*(by or [])).orderBy(index)
     gap = F.when(F.col(index) - F.lag(index).over(w) > 1, 1).otherwise(0)
     return rows.withColumn("_gap", gap).withColumn("island", F.sum("_gap").over(w).cast("int")).drop("_gap")
+
+
+def cluster_candidates(scene: DataFrame, candidates: DataFrame, reach: int = 3) -> DataFrame:
+    """(component, n, x, y, z): the clusters of the scene's cells, within ``reach`` steps of each other, that hold a candidate cell, with their centroids."""
+    c = cluster_cells(scene.select(*grid.CELL).distinct(), grid.offsets(reach))
+    held = c.join(candidates.select(*grid.CELL).distinct(), grid.CELL, "left_semi").select("component").distinct()
+    return c.join(held, "component", "left_semi").groupBy("component").agg(F.count("*").alias("n"), *(F.avg(f"{k}i").alias(k) for k in "xyz"))

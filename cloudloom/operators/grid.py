@@ -128,3 +128,32 @@ def curvature(cells: DataFrame, radius: int = 3) -> DataFrame:
     for v in d.values():
         pairs = pairs.where(F.abs(v) <= radius)
     return pairs.groupBy(*CELL).agg(sum((F.abs(F.sum(v)) for v in list(d.values())[1:]), F.abs(F.sum(d["xi"]))).cast("long").alias("curvature"))
+
+
+def unit_cells(df: DataFrame, bins: int = 50, by: list[str] | None = None) -> DataFrame:
+    """The first point of each of ``bins`` cells an axis of the cube around the cloud, moved and scaled so that the longest extent is 1 around 0."""
+    by = by or []
+    b = bounds(df, by or None)
+    size = F.greatest(*(F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"))
+    g = b.select(*by, size.alias("_s"), *(((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(f"_m{c}") for c in "xyz"))
+    p = df.join(F.broadcast(g), by) if by else df.crossJoin(F.broadcast(g))
+    p = p.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m{c}"), F.col("_s")), F.lit(0.0)) for c in "xyz"}).drop("_s", *(f"_m{c}" for c in "xyz"))
+    p = p.withColumns({f"{c}i": F.when(F.col(c) >= 0.5, bins - 1).otherwise(((F.col(c) + 0.5) * bins).cast("int")) for c in "xyz"})
+    rest = [c for c in p.columns if c not in (*by, *CELL)]
+    return p.groupBy(*by, *CELL).agg(F.min_by(F.struct(*rest), "pid").alias("v")).select(*by, *CELL, "v.*")
+
+
+def curvature_colours(cells: DataFrame, radius: int = 3) -> DataFrame:
+    """Curvatures with ``rgb``, coloured from the least to the largest."""
+    from cloudloom.functions.columns import colormap, stretched
+
+    out = stretched(curvature(cells, radius), {"_f": F.col("curvature").cast("double")}, 1.0)
+    return out.withColumn("rgb", colormap(F.coalesce("_f", F.lit(0.0)))).drop("_f")
+
+
+def insert(cells: DataFrame, new: DataFrame, size: tuple[int, int, int]) -> DataFrame:
+    """The cells with new ones inside 0 .. size - 1; one that is there stays as it is."""
+    inside = new
+    for c, n in zip(CELL, size, strict=True):
+        inside = inside.where(F.col(c).between(0, n - 1))
+    return cells.unionByName(inside.dropDuplicates(CELL).join(cells, CELL, "left_anti"))

@@ -242,3 +242,11 @@ def column_detector(spark, d):
 @query()
 def beams(spark, d):
     return ordered.beams(V.emb(spark, d), 40)
+
+
+@query(_walk(0.08, "abs(a.xi - b.xi) + abs(a.yi - b.yi) + abs(a.zi - b.zi) BETWEEN 1 AND 3") + """, x AS (SELECT * FROM c JOIN w USING (key)), h AS (SELECT DISTINCT component FROM x WHERE (xi + yi + zi) % 7 = 0)
+SELECT component, count(*)::BIGINT AS n, round(avg(xi), 6) AS x, round(avg(yi), 6) AS y, round(avg(zi), 6) AS z FROM x JOIN h USING (component) GROUP BY component""")
+def candidate_clusters(spark, d):
+    v = _v(spark, d, 0.08)
+    out = graph.cluster_candidates(v, v.where("(xi + yi + zi) % 7 = 0"))
+    return out.select("component", "n", *(F.round(k, 6).alias(k) for k in "xyz"))

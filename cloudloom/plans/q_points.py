@@ -293,3 +293,35 @@ def hull_rectangles(spark, d):
 @query()
 def point_normals(spark, d):
     return geometry.normals(V.emb(spark, d), 0.2)
+
+
+@query(f"""WITH p AS ({V.EMB}), b AS (SELECT (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, (min(z) + max(z)) / 2 AS mz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS s FROM p),
+q AS (SELECT pid, (x - mx) / s AS x, (y - my) / s AS y, (z - mz) / s AS z FROM p, b), c AS (SELECT pid, CASE WHEN x >= 0.5 THEN 49 ELSE trunc((x + 0.5) * 50)::INT END AS xi, CASE WHEN y >= 0.5 THEN 49 ELSE trunc((y + 0.5) * 50)::INT END AS yi, CASE WHEN z >= 0.5 THEN 49 ELSE trunc((z + 0.5) * 50)::INT END AS zi FROM q)
+SELECT xi, yi, zi, min(pid) AS pid FROM c GROUP BY xi, yi, zi""")
+def unit_cells(spark, d):
+    return grid.unit_cells(V.emb(spark, d)).select(*grid.CELL, "pid")
+
+
+@query(f"""WITH p AS (SELECT pid, x, y, z - 3 AS z, r * 65536 + g * 256 + b AS rgb FROM ({V.EMB})), u AS (SELECT pid, rgb, x / -z AS u, y / -z AS v FROM p WHERE -z > 1), f AS (SELECT greatest(max(abs(u)), max(abs(v))) AS far FROM u),
+q AS (SELECT pid, rgb, trunc(u * (63 * 0.9::DOUBLE) / (2 * far) + 32)::INT AS xi, trunc(v * (47 * 0.9::DOUBLE) / (2 * far) + 24)::INT AS yi FROM u, f) SELECT xi, yi, arg_max(rgb, pid) AS rgb FROM q WHERE xi BETWEEN 0 AND 63 AND yi BETWEEN 0 AND 47 GROUP BY xi, yi""")
+def camera_image(spark, d):
+    p = V.emb(spark, d).withColumns({"rgb": C.pack_rgb(F.col("r"), F.col("g"), F.col("b")), "z": F.col("z") - 3})
+    return C.project_image(p, 1.0, 64, 48)
+
+
+@query(f"""WITH {_cells(0.05)}, c AS (SELECT a.xi, a.yi, a.zi, (abs(sum(b.xi - a.xi)) + abs(sum(b.yi - a.yi)) + abs(sum(b.zi - a.zi)))::BIGINT AS k FROM v a JOIN v b ON abs(a.xi - b.xi) <= 3 AND abs(a.yi - b.yi) <= 3 AND abs(a.zi - b.zi) <= 3 GROUP BY ALL),
+s AS (SELECT *, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS f FROM c)
+SELECT xi, yi, zi, k AS curvature, CASE WHEN f <= 0 THEN 128 WHEN f <= 0.25 THEN trunc(128 * (1 - f / 0.25))::INT WHEN f <= 0.5 THEN 65280
+  WHEN f <= 0.75 THEN 255 * 65536 + 256 * trunc(255 + (0.5 - f) / 0.25 * 127)::INT WHEN f <= 1 THEN 255 * 65536 + 256 * trunc(128 * (1 - f) / 0.25)::INT ELSE 255 * 65536 END AS rgb FROM s""")
+def curvature_colours(spark, d):
+    return grid.curvature_colours(V.cells(V.emb(spark, d), 0.05))
+
+
+@query()
+def lab_stretch(spark, d):
+    return C.stretch_lab(V.emb(spark, d)).select("pid", "r", "g", "b")
+
+
+@query()
+def energy_colours(spark, d):
+    return C.energy_colours(V.desc(spark, d)).select("obj_id", "rgb")

@@ -226,3 +226,19 @@ def test_box_filter_is_pushed_to_the_scan(spark, d):
     rows = filters.box(views.table(spark, d, "lineitem"), l_quantity=(10, 20)).select("l_returnflag")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity" in plan and "l_comment" not in plan
+
+
+def test_cuboids(spark):
+    corners = [(0, k, 1 + 2.0 * (k & 1), 1 + 3.0 * (k >> 1 & 1), 1 + 4.0 * (k >> 2)) for k in range(8)]
+    df = spark.createDataFrame(corners, "g long, k int, x double, y double, z double")
+    r = geometry.corner_cuboids(df, "g").first()
+    assert sorted(r.lengths) == [2, 3, 4] and (r.ox, r.oy, r.oz) == (1, 1, 1)
+    inside = spark.createDataFrame([(1, 2.0, 2.0, 2.0), (2, 9.0, 2.0, 2.0)], "pid long, x double, y double, z double")
+    assert [x.pid for x in filters.in_box(inside, geometry.corner_cuboids(df, "g")).collect()] == [1]
+    f = geometry.flat_cuboids(df, "g").first()
+    assert (round(f.area, 9), f.low, f.high) == (6, 1, 5)
+    cells = spark.createDataFrame([(0, 0, 0, 1)], "xi int, yi int, zi int, v int")
+    new = spark.createDataFrame([(0, 0, 0, 9), (1, 1, 1, 9), (5, 0, 0, 9)], "xi int, yi int, zi int, v int")
+    assert sorted(map(tuple, grid.insert(cells, new, (2, 2, 2)).collect())) == [(0, 0, 0, 1), (1, 1, 1, 9)]
+    assert C.axes_points(2.0, 0.5, spark).groupBy("rgb").count().count() == 3
+    assert spark.range(8).select(C.palette_colour(F.col("id")).alias("c")).distinct().count() == 7
