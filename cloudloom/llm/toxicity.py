@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize
+from cloudloom.llm.storage import materialize, partitions
 
 U64 = np.uint64
 GRAMS = (3, 4, 5, 6)
@@ -32,30 +32,36 @@ def grams(data: np.ndarray, at: np.ndarray):
     return found
 
 
-def _present(found, wanted: np.ndarray | None):
-    """(row, gram) pairs, distinct; only the wanted grams."""
+def _present(found, wanted: np.ndarray):
+    """(row, gram) pairs of the wanted grams, distinct."""
     out = []
     for x, first, last in found:
-        keep = first == last
-        if wanted is not None:
-            keep &= wanted[x]
-        k = np.flatnonzero(keep)
+        k = np.flatnonzero((first == last) & wanted[x])
         out.append((first[k].astype(np.int64) << BITS) | x[k])
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
+def _tally(found, classes: np.ndarray, total: np.ndarray, stamp: np.ndarray) -> None:
+    """Add to ``total`` (by class and gram) the rows that have each gram.  ``stamp`` holds who came last at each gram, which leaves one place for each in a row."""
+    for r, c in enumerate(classes):
+        own = [x[slice(*np.searchsorted(last, (r, r + 1)))] for x, _, last in found]
+        whole = [f[slice(*np.searchsorted(last, (r, r + 1)))] == r for _, f, last in found]
+        x = np.concatenate([v[w] for v, w in zip(own, whole, strict=True)])
+        at = np.arange(len(x), dtype=np.int32)
+        stamp[x] = at
+        total[c, x[stamp[x] == at]] += 1
+
+
 def _count(batches):
     """In how many texts of each class each n-gram is: (gram, texts, toxic texts), added up per task."""
     total = np.zeros((2, 1 << BITS), np.int64)
     rows = np.zeros(2, np.int64)
+    stamp = np.zeros(1 << BITS, np.int32)
     for batch in batches:
         y = batch.column("y").to_numpy()
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 1 << 20):
-            p = _present(grams(data, at), None)
-            own = y[i:j][p >> BITS]
-            for c in (0, 1):
-                total[c] += np.bincount(p[own == c] & ((1 << BITS) - 1), minlength=1 << BITS)
-                rows[c] += int((y[i:j] == c).sum())
+        rows += np.bincount(y, minlength=2)
+        for i, j, data, at in kernels.text_slices(batch.column("text"), 1 << 18):
+            _tally(grams(data, at), y[i:j], total, stamp)
     some = np.flatnonzero(total.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(rows[0], total[0][some])), pa.array(np.append(rows[1], total[1][some]))], names=["gram", "clean", "toxic"])
 
@@ -65,7 +71,7 @@ def _rows(batches, wanted: np.ndarray):
     slot = np.cumsum(wanted) - 1
     for batch in batches:
         y = batch.column("y").to_numpy()
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 1 << 20):
+        for i, j, data, at in kernels.text_slices(batch.column("text"), 1 << 18):
             p = _present(grams(data, at), wanted)
             cut = np.searchsorted(p >> BITS, np.arange(j - i + 1))
             x = slot[p & ((1 << BITS) - 1)].astype(np.int32)
@@ -108,19 +114,20 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, most_grams: int = 4096, sm
     that have it.  The ``most_grams`` n-grams whose rates differ most surely
     between the classes (by z-score, at least ``least_z``) are the features,
     each scaled by its ratio.  With rows of one class only, or none, all
-    scores are the share of toxic rows (0.5 of none).
+    scores are about the share of toxic rows (0 of none, so that nothing is
+    rejected).
     """
     rows = labelled.where("y in (0, 1)").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("long").alias("y"))
     n = rows.count()
     if n > most_rows:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / n * (1 << 30)))
-    rows = materialize(rows.select("text", "y"), "labelled")
-    counts = rows.mapInArrow(_count, "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = materialize(rows.select("text", "y"), "labelled").repartition(partitions(labelled.sparkSession))
+    counts = rows.mapInArrow(lambda it: kernels.tidily(_count(it)), "gram long, clean long, toxic long").groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     z = counts.where("gram < 0").agg(F.sum("clean"), F.sum("toxic")).first()
     clean, toxic = int(z[0] or 0), int(z[1] or 0)
     wanted = np.zeros(1 << BITS, bool)
     if not clean or not toxic:
-        p = toxic / (clean + toxic) if clean + toxic else 0.5
+        p = toxic / (clean + toxic) if clean + toxic else 0.0
         return Model(wanted, np.zeros(1 << BITS), float(np.log((p + 1e-3) / (1 - p + 1e-3))))
     p, q = F.col("toxic") / toxic, F.col("clean") / clean
     share = (F.col("toxic") + F.col("clean") + 1) / float(toxic + clean + 2)
@@ -130,7 +137,7 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, most_grams: int = 4096, sm
     chosen = np.array([r.gram for r in best], np.int64)
     ratios = np.array([r.ratio for r in best])
     wanted[chosen] = True
-    got = rows.mapInArrow(lambda it: _rows(it, wanted), "y long, x array<int>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
+    got = rows.mapInArrow(lambda it: kernels.tidily(_rows(it, wanted)), "y long, x array<int>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
     got.sort(key=lambda r: (r.y, r.x, r.n))
     y = np.repeat([float(r.y) for r in got], [r.n for r in got])
     lists = [r.x for r in got for _ in range(r.n)]
@@ -154,7 +161,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         m = held.value
         for batch in batches:
             logits = np.zeros(batch.num_rows)
-            for i, j, data, at in kernels.text_slices(batch.column(_TEXT), 1 << 20):
+            for i, j, data, at in kernels.text_slices(batch.column(_TEXT), 1 << 18):
                 logits[i:j] = m.logits(data, at)
             p = 1 / (1 + np.exp(-logits))
             arrays = {c: batch.column(c) for c in batch.schema.names if c != _TEXT}
