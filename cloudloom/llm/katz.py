@@ -316,7 +316,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     else:
         rows = rows.join(several.withColumn("again", F.lit(True)), "did", "left").select("did", "text", "learn", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("tie"))
 
-    dealt = rows.select("text", "learn").mapInArrow(lambda it: _count_words(it, buckets), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("text", "learn").mapInArrow(lambda it: kernels.tidily(_count_words(it, buckets)), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     words = materialize(dealt.mapInArrow(_word_table, "bucket int, blob binary, sums array<long>, top array<long>, top_n array<long>"), "words")
     sums = [int(x or 0) for x in words.agg(*(F.sum(F.col("sums")[k]) for k in range(TRUST + 3))).first()]
     total = sums[0]
@@ -333,12 +333,12 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     release(spark)
 
     columns = "kind int, part int, blob binary, stats array<long>"
-    dealt = rows.mapInArrow(lambda it: _deal(it, buckets, hot), "bucket int, pairs binary, places binary, docs binary").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.mapInArrow(lambda it: kernels.tidily(_deal(it, buckets, hot)), "bucket int, pairs binary, places binary, docs binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     met = materialize(dealt.mapInArrow(lambda it: _meet(it, n, hot, hot_n, total, d1, unknown), columns), "pairs")
     d2 = discounts([int(x or 0) for x in met.where("kind = 3").agg(*(F.sum(F.col("stats")[k]) for k in range(TRUST + 1))).first()])
     release(spark)
 
     asked = met.where("kind in (1, 2)").select("kind", "part", "blob").repartition(n, "part").sortWithinPartitions("part")
-    late = asked.mapInArrow(lambda it: _back_off(it, n, total, d2), "part int, blob binary")
+    late = asked.mapInArrow(lambda it: kernels.tidily(_back_off(it, n, total, d2)), "part int, blob binary")
     parts = met.where("kind = 0").select("part", "blob").unionAll(late).repartition(n, "part").sortWithinPartitions("part")
-    return parts.mapInArrow(lambda it: _add_up(it, sums, d2, starts), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return parts.mapInArrow(lambda it: kernels.tidily(_add_up(it, sums, d2, starts)), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

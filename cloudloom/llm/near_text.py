@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = materialize(rows.mapInArrow(lambda it: _read(it, width, coordinates, False), "doc_id long, n_shingles long, cid long, second long, sig array<long>"), "signatures")
+    read = materialize(rows.mapInArrow(lambda it: kernels.tidily(_read(it, width, coordinates, False)), "doc_id long, n_shingles long, cid long, second long, sig array<long>"), "signatures")
     classes = materialize(read.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
     tokens = classes.select("cid", F.explode("sig").alias("tok"))
@@ -170,12 +170,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     postings = materialize(ranked.where(posted > 0).select("cid", F.explode(F.slice("t", F.lit(1), posted)).alias("e")).select("cid", "e.tok"), "postings")
 
     reps = postings.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(rows.join(reps, "doc_id", "left_semi").mapInArrow(lambda it: _read(it, width, 0, True), "cid long, words binary").join(postings.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    sets = materialize(rows.join(reps, "doc_id", "left_semi").mapInArrow(lambda it: kernels.tidily(_read(it, width, 0, True)), "cid long, words binary").join(postings.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("cid").alias("a"), F.col("words").alias("a_words"))
         b = sets.select(F.col("cid").alias("b"), F.col("words").alias("b_words"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_words", "b_words").mapInArrow(lambda it: _common(it, num, den), "u long, v long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "a_words", "b_words").mapInArrow(lambda it: kernels.tidily(_common(it, num, den)), "u long, v long")
 
     least = postings.groupBy("tok").agg(F.min("cid").alias("a"), F.count("*").alias("n")).where("n > 1").select("tok", "a")
     stars = postings.join(least, "tok").where("cid <> a").groupBy("cid", "a").agg(F.count("*").alias("n"))
@@ -197,9 +197,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
         dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "k")
         return dealt.repartition(partitions(spark), "tok", "p", "q").sortWithinPartitions("tok", "p", "q", "cid")
 
-    pairs = mixed(first, None).mapInArrow(lambda it: _collisions(it, matches), "a long, b long").distinct()
+    pairs = mixed(first, None).mapInArrow(lambda it: kernels.tidily(_collisions(it, matches)), "a long, b long").distinct()
     first = materialize(first.unionAll(confirmed(pairs)), "links")
-    second = materialize(mixed(first, sets).mapInArrow(lambda it: _settle(it, matches, num, den), "u long, v long"), "links")
+    second = materialize(mixed(first, sets).mapInArrow(lambda it: kernels.tidily(_settle(it, matches, num, den)), "u long, v long"), "links")
 
     comps = connected_components(first.unionAll(second))
     rooted = classes.select("cid", "rep").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("root"))

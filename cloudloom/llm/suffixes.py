@@ -370,12 +370,12 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("tie"), "text")
     long_ = rows.where(F.octet_length("text") >= length)
-    dealt = long_.select("did", "tie", "text").mapInArrow(lambda it: _deal(it, length, 4 * n), "bucket int, blob binary")
+    dealt = long_.select("did", "tie", "text").mapInArrow(lambda it: kernels.tidily(_deal(it, length, 4 * n)), "bucket int, blob binary")
     met = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "full boolean, did long, tie long, start long, count long, off long")
     met = materialize(met, "runs")
 
     todo = met.where("not full").groupBy("did", "tie").agg(F.collect_list(F.struct("start", "count", "off")).alias("todo"))
-    cut = materialize(long_.select("did", "tie", "text").join(todo, ["did", "tie"]).mapInArrow(lambda it: _cut(it, length), "key long, did long, tie long, start long, count long, off long, bytes binary"), "strings")
+    cut = materialize(long_.select("did", "tie", "text").join(todo, ["did", "tie"]).mapInArrow(lambda it: kernels.tidily(_cut(it, length)), "key long, did long, tie long, start long, count long, off long, bytes binary"), "strings")
     sizes = cut.groupBy("key").agg(F.sum("count").alias("windows"), F.count("*").alias("members")).where("members > 1").select("key", F.when(F.col("members") > HOT, F.ceil(F.col("members") / HOT)).otherwise(F.lit(0)).cast("int").alias("split"))
     shared = cut.join(sizes, "key")
     cool = shared.where("split = 0").select("key", F.lit(0).alias("sub"), "did", "tie", "start", "count", "off", "bytes")
@@ -384,9 +384,9 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     hot = shared.where("split > 0").withColumn("w", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))))
     hot = hot.select("key", ((F.col("off") - w) * F.lit(65536) + F.pmod(F.xxhash64(window), F.col("split"))).cast("int").alias("sub"), "did", "tie", (F.col("start") + w).alias("start"), F.lit(1).cast("long").alias("count"), (F.col("off") - w).alias("off"), window.alias("bytes"))
     groups = cool.unionAll(hot).repartition(n, "key", "sub").sortWithinPartitions("key", "sub", "did", "tie", "start")
-    again = groups.mapInArrow(lambda it: _sorted(it, length), "did long, tie long, start long, count long")
+    again = groups.mapInArrow(lambda it: kernels.tidily(_sorted(it, length)), "did long, tie long, start long, count long")
 
     runs = met.where("full").select("did", "tie", "start", "count").unionAll(again).groupBy("did", "tie").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     runs = materialize(runs, "removed")
     out = rows.join(runs, ["did", "tie"], "left").select("doc_id", "text", "runs")
-    return out.mapInArrow(lambda it: _removed(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(lambda it: kernels.tidily(_removed(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
