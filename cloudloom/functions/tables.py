@@ -2,28 +2,39 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; unset on a single machine, a temporary one that is then set."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, on a single machine, a temporary one for each application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.applicationId in _OWN:
+            return _OWN[spark.sparkContext.applicationId]
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again."""
+    """Write ``df`` as Parquet in the shared folder and read it again.
+
+    A lost executor takes nothing of it along, and what follows is planned from
+    the table's real size.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cloudloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -242,3 +242,20 @@ def test_cuboids(spark):
     assert sorted(map(tuple, grid.insert(cells, new, (2, 2, 2)).collect())) == [(0, 0, 0, 1), (1, 1, 1, 9)]
     assert C.axes_points(2.0, 0.5, spark).groupBy("rgb").count().count() == 3
     assert spark.range(8).select(C.palette_colour(F.col("id")).alias("c")).distinct().count() == 7
+
+
+def test_shared_folder_is_set_or_its_own():
+    from types import SimpleNamespace as N
+
+    from cloudloom.functions import tables
+
+    def session(master, found=None):
+        conf = N(get=lambda key, default=None: found)
+        return N(conf=conf, sparkContext=N(getConf=lambda: conf, master=master, applicationId=f"app-{master}"))
+
+    assert tables.shared_folder(session("spark://x", "hdfs://a/b/")) == "hdfs://a/b"
+    one = tables.shared_folder(session("local[2]"))
+    assert one.startswith("file:///") and tables.shared_folder(session("local[2]")) == one
+    for master in ("spark://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            tables.shared_folder(session(master))
