@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+PIECE = 1 << 20
 _ODD = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -65,17 +66,44 @@ def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, in
         i = j
 
 
+def _cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows' offsets, and in rows of over ``PIECE`` bytes also places after white space, about so far apart."""
+    more = []
+    for r in np.flatnonzero(np.diff(at) > PIECE):
+        s = int(at[r])
+        while s + PIECE < at[r + 1]:
+            blank = np.flatnonzero(_SPACE[data[s + PIECE // 2 : s + PIECE]])
+            s = s + PIECE // 2 + int(blank[-1]) + 1 if len(blank) else s + PIECE
+            if len(blank):
+                more.append(s)
+    return np.unique(np.concatenate([at, np.array(more, np.int64)]))
+
+
+def pieces(column: pa.Array, most: int, overlap: int):
+    """As ``text_slices``, but a longer text comes in pieces that share ``overlap`` bytes with the next: first row, last row, bytes, offsets, how many bytes are the piece's own, whether the row goes on."""
+    for i, j, data, at in text_slices(column, most):
+        if len(data) <= 2 * most:
+            yield i, j, data, at, len(data), False
+            continue
+        for s in range(0, len(data), most):
+            part = data[s : s + most + overlap]
+            yield i, j, part, np.array([0, len(part)]), min(most, len(data) - s), s + most < len(data)
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, and for each row where its words begin (one more entry at the end)."""
-    if len(data) > 1 << 20 and len(at) > 2:  # by and by, to hold little
-        found, counts, i = [], [np.zeros(1, np.int64)], 0
-        while i < len(at) - 1:
-            j = max(i + 1, int(np.searchsorted(at, at[i] + (1 << 20), side="right")) - 1)
-            h, b = words(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            found.append(h)
-            counts.append(np.diff(b))
-            i = j
-        return np.concatenate(found), np.cumsum(np.concatenate(counts))
+    if len(data) > PIECE:  # by and by, to hold little
+        cuts = _cuts(data, at)
+        if len(cuts) > 2:
+            found, starts, i = [], [], 0
+            while i < len(cuts) - 1:
+                j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + PIECE, side="right")) - 1)
+                h, b = words(data[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+                found.append(h)
+                starts.append(np.diff(b))
+                i = j
+            total = np.append(0, np.cumsum(np.concatenate(starts)))
+            return np.concatenate(found), total[np.searchsorted(cuts, at)]
     inside = ~_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]

@@ -21,7 +21,8 @@ _LETTER = regex.compile(r"\p{L}")
 
 def counts(column: pa.Array):
     """For slices of rows: first row, last row, and counts of the hashed byte n-grams of each (dense)."""
-    for i, j, data, at in kernels.text_slices(column, 1 << 19):
+    held = None
+    for i, j, data, at, own_bytes, goes_on in kernels.pieces(column, 1 << 19, max(GRAMS) - 1):
         low = kernels._LOWER[data].astype(np.uint32) + np.uint32(1)
         row = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(at))
         out = np.zeros((j - i) * SIZE)
@@ -31,10 +32,14 @@ def counts(column: pa.Array):
                 h = h[: len(low) - n + 1] * np.uint32(0x01000193) + low[n - 1 :] if len(low) >= n else low[:0]
             x = (h ^ np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
             x = ((x ^ (x >> np.uint32(15))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
+            x = x[:own_bytes]  # what begins in the overlap is the next piece's
             last = row[n - 1 :][: len(x)]
             own = row[: len(x)] == last
             out += np.bincount(last[own] * SIZE + x[own], minlength=(j - i) * SIZE)
-        yield i, j, out.reshape(j - i, SIZE)
+        held = out if held is None else held + out
+        if not goes_on:
+            yield i, j, held.reshape(j - i, SIZE)
+            held = None
 
 
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:

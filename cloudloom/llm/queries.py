@@ -148,5 +148,50 @@ FROM c LEFT JOIN n ON c.vec_id = n.u
 """
 
 
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+g AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+j AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM j),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM r GROUP BY doc_id, run),
+p AS (SELECT doc_id, run, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM s),
+t AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+def _op7_sql() -> str:
+    parse = r"regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', {1})"
+    parts = lambda c: f"translate({parse.format(c, 1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, {parse.format(c, 2)} AS path, {parse.format(c, 3)} AS query"
+    ordered = sorted(RULES, key=lambda r: -len(r[1]))
+    fits = lambda r: "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in ordered) + " END"
+    action = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{a}'" for a, r in ordered) + " END"
+    value = lambda name: " || ".join(rf"""regexp_extract(t, '(?is)\b{name}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', {k})""" for k in (1, 2, 3))
+    return rf"""
+WITH RECURSIVE k AS (SELECT page_id, url, html, {parts("url")} FROM pages),
+n AS (SELECT *, {rule} AS rule, {action} AS action, concat_ws(chr(1), host, path, query) AS node FROM k),
+g AS (SELECT node, action, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM n WHERE host <> '' AND regexp_matches(html, '(?i)canonical|http-equiv')),
+l AS (SELECT node, action, host, path, CASE WHEN regexp_matches(t, '(?is)^<link\b') AND regexp_matches(lower({value("rel")}), '(^|\s)canonical(\s|$)') THEN trim({value("href")})
+  WHEN regexp_matches(t, '(?is)^<meta\b') AND lower({value("http-equiv")}) = 'refresh' THEN regexp_extract({value("content")}, '(?is)url\s*=\s*[''"]?\s*([^''"\s]+)', 1) END AS link FROM g),
+f AS (SELECT *, CASE WHEN regexp_extract(path, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END AS folder FROM l WHERE link <> ''),
+r AS (SELECT node, action, CASE WHEN regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link WHEN starts_with(link, '/') THEN 'http://' || host || link
+  WHEN link[1] IN ('#', '?') THEN 'http://' || host || path || link WHEN NOT regexp_matches(link, '(?i)^[a-z][a-z0-9+.-]*:') THEN 'http://' || host || folder || link END AS link FROM f),
+x AS (SELECT node AS u, action AS a, {parts("link")} FROM r),
+e AS (SELECT u, a, concat_ws(chr(1), host, path, query) AS v, {action} AS b FROM x WHERE host <> ''),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+c AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, c.root FROM c JOIN b ON c.node = b.u),
+o AS (SELECT node, min(root) AS root FROM c GROUP BY node),
+m AS (SELECT u AS node, a AS action FROM e UNION SELECT v, b FROM e),
+d AS (SELECT root FROM m JOIN o USING (node) GROUP BY root HAVING count(*) FILTER (action = 'block') > 0 AND count(*) FILTER (action = 'allow') = 0)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host <> '' AND node IN (SELECT node FROM o JOIN d USING (root)) THEN 'block' ELSE 'allow' END) AS verdict FROM n
+"""
+
+
+OP7_SQL = _op7_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_cross_polytope_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL}
+    return {"op7_url_filters": OP7_SQL, "op10_suffix_array_dedup": OP10_SQL, "op2_cross_polytope_dedup": OP2_SQL, "op3_source_mixing": OP3_SQL, "op5_minhash_near_dedup": OP5_SQL}

@@ -32,24 +32,38 @@ def grams(data: np.ndarray, at: np.ndarray):
     return found
 
 
-def _present(found, wanted: np.ndarray):
-    """(row, gram) pairs of the wanted grams, distinct."""
-    out = []
-    for x, first, last in found:
-        k = np.flatnonzero((first == last) & wanted[x])
-        out.append((first[k].astype(np.int64) << BITS) | x[k])
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def _tally(found, classes: np.ndarray, total: np.ndarray, stamp: np.ndarray) -> None:
+def _present(column, wanted: np.ndarray):
+    """For slices of rows: first row, last row, and the distinct (row, gram) pairs of the wanted grams."""
+    held: list[np.ndarray] = []
+    for i, j, data, at, _, goes_on in kernels.pieces(column, 1 << 18, max(GRAMS) - 1):
+        for x, first, last in grams(data, at):
+            k = np.flatnonzero((first == last) & wanted[x])
+            held.append((first[k].astype(np.int64) << BITS) | x[k])
+        if not goes_on:
+            yield i, j, np.unique(np.concatenate(held))
+            held = []
+        elif len(held) > 64:
+            held = [np.unique(np.concatenate(held))]
+
+
+def _tally(column, classes: np.ndarray, total: np.ndarray, stamp: np.ndarray) -> None:
     """Add to ``total`` (by class and gram) the rows that have each gram.  ``stamp`` holds who came last at each gram, which leaves one place for each in a row."""
-    for r, c in enumerate(classes):
-        own = [x[slice(*np.searchsorted(last, (r, r + 1)))] for x, _, last in found]
-        whole = [f[slice(*np.searchsorted(last, (r, r + 1)))] == r for _, f, last in found]
-        x = np.concatenate([v[w] for v, w in zip(own, whole, strict=True)])
-        at = np.arange(len(x), dtype=np.int32)
-        stamp[x] = at
-        total[c, x[stamp[x] == at]] += 1
+    seen: np.ndarray | None = None  # of a row in pieces
+    for i, j, data, at, _, goes_on in kernels.pieces(column, 1 << 18, max(GRAMS) - 1):
+        found = grams(data, at)
+        for r in range(j - i):
+            span = [slice(*np.searchsorted(last, (r, r + 1))) for _, _, last in found]
+            x = np.concatenate([v[s][first[s] == r] for (v, first, _), s in zip(found, span, strict=True)])
+            if goes_on or seen is not None:
+                seen = np.zeros(1 << BITS, bool) if seen is None else seen
+                seen[x] = True
+                if not goes_on:
+                    total[classes[i]] += seen
+                    seen = None
+                continue
+            places = np.arange(len(x), dtype=np.int32)
+            stamp[x] = places
+            total[classes[i + r], x[stamp[x] == places]] += 1
 
 
 def _count(batches):
@@ -60,8 +74,7 @@ def _count(batches):
     for batch in batches:
         y = batch.column("y").to_numpy()
         rows += np.bincount(y, minlength=2)
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 1 << 18):
-            _tally(grams(data, at), y[i:j], total, stamp)
+        _tally(batch.column("text"), y, total, stamp)
     some = np.flatnonzero(total.any(0))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, some)), pa.array(np.append(rows[0], total[0][some])), pa.array(np.append(rows[1], total[1][some]))], names=["gram", "clean", "toxic"])
 
@@ -71,8 +84,7 @@ def _rows(batches, wanted: np.ndarray):
     slot = np.cumsum(wanted) - 1
     for batch in batches:
         y = batch.column("y").to_numpy()
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 1 << 18):
-            p = _present(grams(data, at), wanted)
+        for i, j, p in _present(batch.column("text"), wanted):
             cut = np.searchsorted(p >> BITS, np.arange(j - i + 1))
             x = slot[p & ((1 << BITS) - 1)].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(y[i:j]), pa.array([x[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int32()))], names=["y", "x"])
@@ -84,9 +96,11 @@ class Model:
     def __init__(self, wanted: np.ndarray, weights: np.ndarray, bias: float):
         self.wanted, self.weights, self.bias = wanted, weights, bias
 
-    def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        p = _present(grams(data, at), self.wanted)
-        return self.bias + np.bincount(p >> BITS, self.weights[p & ((1 << BITS) - 1)], len(at) - 1)
+    def logits(self, column: pa.Array) -> np.ndarray:
+        out = np.full(len(column), self.bias)
+        for i, j, p in _present(column, self.wanted):
+            out[i:j] += np.bincount(p >> BITS, self.weights[p & ((1 << BITS) - 1)], j - i)
+        return out
 
 
 def _descend(y, rows, cols, ratio, rounds: int, penalty: float):
@@ -160,10 +174,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches):
         m = held.value
         for batch in batches:
-            logits = np.zeros(batch.num_rows)
-            for i, j, data, at in kernels.text_slices(batch.column(_TEXT), 1 << 18):
-                logits[i:j] = m.logits(data, at)
-            p = 1 / (1 + np.exp(-logits))
+            p = 1 / (1 + np.exp(-m.logits(batch.column(_TEXT))))
             arrays = {c: batch.column(c) for c in batch.schema.names if c != _TEXT}
             yield pa.RecordBatch.from_pydict(arrays | {"score": pa.array(p), "predicted": pa.array((p >= threshold).astype(np.int32))})
 

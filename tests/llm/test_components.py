@@ -45,3 +45,38 @@ def test_kernels():
     n, x, y = 50, np.arange(0, 49), np.arange(1, 50)
     assert (kernels.union(n, x, y) == 0).all()
     assert len(kernels.forest(n, np.concatenate([x, x]), np.concatenate([y, y]))) == 49
+
+
+def test_long_rows_in_pieces(monkeypatch):
+    text = "word Other é " * 3000 + "x" * 5000 + " end"
+    rows = ["a b", text, "", text[:400]]
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    at = np.append(0, np.cumsum([len(r.encode()) for r in rows]))
+    h, b = kernels.words(data, at)
+    monkeypatch.setattr(kernels, "PIECE", 512)
+    h2, b2 = kernels.words(data, at)
+    assert (h == h2).all() and (b == b2).all()
+    assert [len(r.split()) for r in rows] == np.diff(b).tolist()
+
+
+def test_long_texts_score_as_one(spark):
+    import pyarrow as pa
+
+    from cloudloom.llm import languages, toxicity
+
+    text = "Some words and ümlauts, " * 60_000
+    column = pa.array(["short", text, None])
+    got = [(i, j, c) for i, j, c in languages.counts(column)]
+    assert sum(j - i for i, j, _ in got) == 3
+    one = np.concatenate([c for *_, c in got])[1]
+    assert one.sum() == 3 * len(text.encode()) - 3
+    y = np.array([1, 0, 1])
+    total, stamp = np.zeros((2, 1 << toxicity.BITS), np.int64), np.zeros(1 << toxicity.BITS, np.int32)
+    toxicity._tally(column, y, total, stamp)
+    assert total[0].max() == 1
+    other = np.zeros_like(total)
+    toxicity._tally(pa.array([None, text[:500], None]), y, other, stamp)
+    assert (total[0] == other[0]).all()
+    wanted = total[0] > 0
+    pairs = np.concatenate([p[p >> toxicity.BITS == 0] for i, j, p in toxicity._present(column, wanted) if i == 1])
+    assert len(pairs) == wanted.sum()

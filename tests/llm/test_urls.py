@@ -64,6 +64,19 @@ def test_query_against_brute_force(spark, tmp_path):
     assert {r.page_id: r.verdict for r in got}[9] == "allow"
 
 
+def test_query_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from cloudloom.llm.queries import OP7_SQL
+
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    key = lambda r: tuple(str(v) for v in r)
+    got = op7_url_filters(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(c.sql(OP7_SQL).fetchall(), key=key)
+
+
 def test_redirects_and_empty(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     more = spark.createDataFrame([("http://x.test/", "http://x.org/es/9"), (None, "http://x.org/es/9"), ("http://x.test/", None)], "source string, target string")
