@@ -17,13 +17,20 @@ SIZE = 1 << BITS
 GRAMS = (1, 2, 3)
 _TEXT = "__text_to_name"
 _LETTER = regex.compile(r"\p{L}")
+_KEPT = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
 
 
 def counts(column: pa.Array):
-    """For slices of rows: first row, last row, and counts of the hashed byte n-grams of each (dense)."""
+    """For slices of rows: first row, last row, and counts of the hashed byte n-grams of each (dense), A-Z lower-cased and runs of other ASCII than letters as one blank."""
     held = None
     for i, j, data, at, own_bytes, goes_on in kernels.pieces(column, 1 << 19, max(GRAMS) - 1):
-        low = kernels._LOWER[data].astype(np.uint32) + np.uint32(1)
+        plain = _KEPT[data]
+        kept = np.ones(len(plain), bool)
+        kept[1:] = (plain[1:] != 32) | (plain[:-1] != 32)
+        kept[at[:-1][at[:-1] < len(plain)]] = True
+        upto = np.append(0, np.cumsum(kept))
+        at, own_bytes = upto[at], int(upto[own_bytes])
+        low = plain[kept].astype(np.uint32) + np.uint32(1)
         row = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(at))
         out = np.zeros((j - i) * SIZE)
         h = low
