@@ -63,7 +63,7 @@ def _tokens(data, at):
     u = np.empty(len(row), U64)
     u[1:] = w[:-1]
     u[begins[:-1] + np.arange(rows)] = START
-    return w, u, row
+    return w, u >> U64(8), row
 
 
 def _count_words(batches, buckets: int):
@@ -297,7 +297,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     counts to ``TRUST``; larger ones give ``KEEP`` away.  A context that was
     never seen has a(u) = 1.
 
-    Words and pairs are known by 64-bit hashes.  Pairs are dealt by word, and
+    Words are known by 64-bit hashes, words before by 56 bits of them.  Pairs are dealt by word, and
     those of very frequent words by pair, after repeated ones in a document
     have been added up; contexts are added up per bucket before they are
     dealt.  So no word, pair or document is gathered in one task.

@@ -1,45 +1,15 @@
-"""Tables that cut lineage, in the folder that all machines share."""
+"""Tables that cut lineage, and what a long plan gives back before it goes on."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from cloudloom.functions.tables import discard, materialize, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests, one machine), a new temporary one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="cloudloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    A lost executor takes nothing of it along, and what follows is planned from
-    the table's real size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cloudloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["discard", "materialize", "partitions", "release", "shared_folder"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -48,6 +18,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done: it does when the driver's JVM has collected them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of plans that are done.
+
+    It does so when the driver's JVM has collected them, and that waits for
+    listeners to have seen the plans' last events; hence twice, after a moment.
+    """
+    for _ in range(2):
+        time.sleep(1)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
