@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
 from cloudloom.llm.components import connected_components
-from cloudloom.llm.storage import materialize, partitions
+from cloudloom.llm.storage import materialize, partitions, release
 
 U64 = np.uint64
 BLOCK = 4096  # members of a posting list that are compared at once
@@ -171,6 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     reps = postings.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(rows.join(reps, "doc_id", "left_semi").mapInArrow(lambda it: kernels.tidily(_read(it, width, 0, True)), "cid long, words binary").join(postings.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    release(spark)  # the texts and tokens that were dealt out
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("cid").alias("a"), F.col("words").alias("a_words"))
@@ -181,6 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     stars = postings.join(least, "tok").where("cid <> a").groupBy("cid", "a").agg(F.count("*").alias("n"))
     best = stars.groupBy("cid").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("cid").alias("b"))
     first = materialize(confirmed(best), "links")
+    release(spark)
 
     placed = postings.join(classes.select("cid", "sig"), "cid").select("cid", F.expr("shiftleft(1L, cast(array_position(sig, tok) as int) - 1)").alias("bit"))
     known = classes.select("cid", "sig").join(placed.groupBy("cid").agg(F.bit_or("bit").alias("mask")), "cid")
@@ -199,7 +201,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     pairs = mixed(first, None).mapInArrow(lambda it: kernels.tidily(_collisions(it, matches)), "a long, b long").distinct()
     first = materialize(first.unionAll(confirmed(pairs)), "links")
+    release(spark)
     second = materialize(mixed(first, sets).mapInArrow(lambda it: kernels.tidily(_settle(it, matches, num, den)), "u long, v long"), "links")
+    release(spark)
 
     comps = connected_components(first.unionAll(second))
     rooted = classes.select("cid", "rep").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("root"))
