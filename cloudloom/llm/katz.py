@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize, partitions, release
+from cloudloom.llm.storage import materialize, partitions, release, short_batches
 
 U64 = np.uint64
 START, END = U64(0x5354415254), U64(0x454E44)
@@ -155,11 +155,20 @@ def _parts_in(fields, blobs) -> dict[str, np.ndarray]:
     return {k: np.concatenate([np.cumsum(x[k], dtype=t) if k == first else x[k] for x in found]) if found else np.zeros(0, t) for k, t in fields}
 
 
-def _summed(fields, found: list[list[np.ndarray]]) -> list[np.ndarray]:
+def _documents(did: np.ndarray, tie: np.ndarray):
+    """The distinct (did, tie), sorted, and which of them each row has."""
+    if not tie.any():  # ids aren't repeated
+        keys, to = np.unique(did, return_inverse=True)
+        return keys, np.zeros_like(keys), to
+    keys, to = np.unique(np.rec.fromarrays([did, tie], names="d,t"), return_inverse=True)
+    return keys["d"], keys["t"], to
+
+
+def _summed(found: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Rows of (did, tie, sums...) with the sums of equal (did, tie) added, sorted."""
     did, tie, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
-    keys, to = np.unique(np.rec.fromarrays([did, tie], names="d,t"), return_inverse=True)
-    return [keys["d"], keys["t"], *(np.bincount(to, x, len(keys)) for x in sums)]
+    d, t, to = _documents(did, tie)
+    return [d, t, *(np.bincount(to, x, len(d)) for x in sums)]
 
 
 def _doc_part(did, parts):
@@ -211,32 +220,32 @@ def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d
                 logs = np.where(seen > TRUST, np.log10(seen - KEEP), np.log10(np.maximum(seen, 1)))
                 logs = np.where(seen > 0, logs, np.where(c_w > 0, np.log10(np.maximum(own, 1e-300)) - np.log10(max(total, 1)), np.log10(unknown)))
             logs = n * (logs - np.where((c_w > 0) & (w != END), np.log10(np.maximum(c_w, 1)), 0.0))
-            keys, to = np.unique(np.rec.fromarrays([did, tie], names="d,t"), return_inverse=True)
+            key_d, key_t, to = _documents(did, tie)
             doc = to[doc]
-            m = len(keys)
+            m = len(key_d)
             add = lambda x, doc=doc, m=m: np.bincount(doc, x, m)
             sums = [add(n * (w == END)), add(n), add(n * (c_w > 0)), add(n * np.log10(c_w + 0.5)), add(logs), *(add(n * (seen == r)) for r in range(1, TRUST + 1))]
-            held.append([keys["d"], keys["t"], *sums])
-            if sum(len(x[0]) for x in held) > 1 << 20:
-                held = [_summed(_DOC, held)]
-                if len(held[0][0]) > 1 << 19:
+            held.append([key_d, key_t, *sums])
+            if sum(len(x[0]) for x in held) > 1 << 19:
+                held = [_summed(held)]
+                if len(held[0][0]) > 1 << 18:
                     yield _by_part(_doc_part(held[0][0], parts), _DOC, held.pop(), 0)
             miss = np.flatnonzero(seen == 0)
-            asked.append([u[miss], keys["d"][doc[miss]], keys["t"][doc[miss]], n[miss]])
+            asked.append([u[miss], key_d[doc[miss]], key_t[doc[miss]], n[miss]])
             have = c > 0
             c2 = c[have]
             names, to = np.unique(u[first][have], return_inverse=True)
             kinds = [np.bincount(to, c2 == r, len(names)) for r in range(1, TRUST + 1)] + [np.bincount(to, c2 > TRUST, len(names))]
             given.append([names, *kinds, np.bincount(to, own[first][have], len(names))])
             for found, fields, kind in ((asked, _UNSEEN, 2), (given, _CONTEXT, 1)):
-                if sum(len(x[0]) for x in found) > 1 << 20:
+                if sum(len(x[0]) for x in found) > 1 << 19:
                     yield flush(found, fields, kind)
             yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([stats.tolist()], pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
     for found, fields, kind in ((asked, _UNSEEN, 2), (given, _CONTEXT, 1)):
         if found:
             yield flush(found, fields, kind)
     if held:
-        held = _summed(_DOC, held)
+        held = _summed(held)
         yield _by_part(_doc_part(held[0], parts), _DOC, held, 0)
 
 
@@ -257,10 +266,10 @@ def _back_off(batches, parts: int, total: int, d2: np.ndarray):
             if len(names):
                 place = np.minimum(np.searchsorted(names, x["u"]), len(names) - 1)
                 value = np.where(names[place] == x["u"], (np.log10(left) - np.log10(rest))[place], 0.0)
-            keys, to = np.unique(np.rec.fromarrays([x["did"], x["tie"]], names="d,t"), return_inverse=True)
-            zero = np.zeros(len(keys))
-            sums = {k: zero for k in _SUMS} | {"logs": np.bincount(to, value * x["n"], len(keys))}
-            yield _by_part(_doc_part(keys["d"], parts), _DOC, [keys["d"], keys["t"], *sums.values()], 0).select(["part", "blob"])
+            key_d, key_t, to = _documents(x["did"], x["tie"])
+            zero = np.zeros(len(key_d))
+            sums = {k: zero for k in _SUMS} | {"logs": np.bincount(to, value * x["n"], len(key_d))}
+            yield _by_part(_doc_part(key_d, parts), _DOC, [key_d, key_t, *sums.values()], 0).select(["part", "blob"])
 
 
 def _add_up(batches, sums: list[int], d2: np.ndarray, starts: int):
@@ -269,13 +278,13 @@ def _add_up(batches, sums: list[int], d2: np.ndarray, starts: int):
     for table in kernels.groups_in(batches, ["part"]):
         for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["part"])[1:-1]):
             f = _parts_in(_DOC, [table.column("blob")[int(r)].as_py() for r in at])
-            keys, to = np.unique(np.rec.fromarrays([f["did"], f["tie"]], names="d,t"), return_inverse=True)
-            s = {k: np.bincount(to, f[k], len(keys)) for k in _SUMS}
+            key_d, _, to = _documents(f["did"], f["tie"])
+            s = {k: np.bincount(to, f[k], len(key_d)) for k in _SUMS}
             times = s["rows"].astype(np.int64)
             score = s["logs"] + sum(s[f"s{r}"] * np.log10(d2[r]) for r in range(1, TRUST + 1)) - (s["rows"] * np.log10(starts) if starts else 0)
             base = s["base"] - s["tokens"] * np.log10(total + 0.5 * (kinds + 1))
             each = lambda x, times=times: np.repeat(x / times, times)
-            ids = np.repeat(keys["d"], times)
+            ids = np.repeat(key_d, times)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=ids == NULL_ID), pa.array(each(s["tokens"]).astype(np.int64)), pa.array(each(s["known"]).astype(np.int64)), pa.array(np.full(len(ids), total)), pa.array(each(base)), pa.array(each(score))],
                 names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -307,6 +316,7 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     doc_id and several texts are told apart by a hash of the text.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     n = partitions(spark)
     buckets = 4 * n
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))

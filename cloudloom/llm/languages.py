@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize
+from cloudloom.llm.storage import materialize, short_batches
 
 BITS = 13
 SIZE = 1 << BITS
@@ -115,6 +115,7 @@ def fit(docs: DataFrame, learn: Column, clusters: int = 4, per_language: int = 4
     cosine is less than that of all but ``quantile`` of the centroid's own
     sample texts.
     """
+    short_batches(docs.sparkSession)
     rows = docs.where(learn).where("lang is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "lang")
     df = rows.select("text").mapInArrow(_document_counts, "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("n")).collect()  # one row a hash value
     seen = {r.gram: r.n for r in df}
@@ -150,6 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     nothing was learnt; their score is 0.  Each row is judged for itself.  An
     empty table gives an empty result.
     """
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # a few centroids a language, whatever the input
 
     def run(batches):

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.storage import short_batches
+
 _KEPT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 MATCH = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
@@ -126,6 +128,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_
     ``matches`` is replaced.  Without items all lists are empty.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     out = docs.drop("matches").withColumn("matches", F.array().cast(MATCH))
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for block in _blocks(benchmark, block_bytes):

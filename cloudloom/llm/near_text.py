@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
 from cloudloom.llm.components import connected_components
-from cloudloom.llm.storage import materialize, partitions, release
+from cloudloom.llm.storage import materialize, partitions, release, short_batches
 
 U64 = np.uint64
 BLOCK = 4096  # members of a posting list that are compared at once
@@ -159,6 +159,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     table gives an empty result.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     read = materialize(rows.mapInArrow(lambda it: kernels.tidily(_read(it, width, coordinates, False)), "doc_id long, n_shingles long, cid long, second long, sig array<long>"), "signatures")
     classes = materialize(read.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")

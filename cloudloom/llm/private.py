@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloudloom.llm.storage import short_batches
+
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
@@ -171,6 +173,8 @@ def fit(docs: DataFrame, threshold: float = 0.5) -> dict[str, bool]:
     its count.
     """
 
+    short_batches(docs.sparkSession)
+
     def count(batches):
         for batch in batches:
             seen: dict[str, int] = {}

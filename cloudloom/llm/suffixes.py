@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize, partitions
+from cloudloom.llm.storage import materialize, partitions, release, short_batches
 
 U64 = np.uint64
 BASE = 0x5851F42D4C957F2D
@@ -366,6 +366,7 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     if not 2 * GRAM <= length <= 128:
         raise ValueError(f"length must be from {2 * GRAM} to 128")
     spark = docs.sparkSession
+    short_batches(spark)
     n = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("did"), F.xxhash64("text").alias("tie"), "text")
@@ -373,9 +374,11 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
     dealt = long_.select("did", "tie", "text").mapInArrow(lambda it: kernels.tidily(_deal(it, length, 4 * n)), "bucket int, blob binary")
     met = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "full boolean, did long, tie long, start long, count long, off long")
     met = materialize(met, "runs")
+    release(spark)
 
     todo = met.where("not full").groupBy("did", "tie").agg(F.collect_list(F.struct("start", "count", "off")).alias("todo"))
     cut = materialize(long_.select("did", "tie", "text").join(todo, ["did", "tie"]).mapInArrow(lambda it: kernels.tidily(_cut(it, length)), "key long, did long, tie long, start long, count long, off long, bytes binary"), "strings")
+    release(spark)
     sizes = cut.groupBy("key").agg(F.sum("count").alias("windows"), F.count("*").alias("members")).where("members > 1").select("key", F.when(F.col("members") > HOT, F.ceil(F.col("members") / HOT)).otherwise(F.lit(0)).cast("int").alias("split"))
     shared = cut.join(sizes, "key")
     cool = shared.where("split = 0").select("key", F.lit(0).alias("sub"), "did", "tie", "start", "count", "off", "bytes")
@@ -388,5 +391,6 @@ def repeated_strings(docs: DataFrame, length: int = 100) -> DataFrame:
 
     runs = met.where("full").select("did", "tie", "start", "count").unionAll(again).groupBy("did", "tie").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
     runs = materialize(runs, "removed")
+    release(spark)
     out = rows.join(runs, ["did", "tie"], "left").select("doc_id", "text", "runs")
     return out.mapInArrow(lambda it: kernels.tidily(_removed(it, length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize, partitions
+from cloudloom.llm.storage import materialize, partitions, short_batches
 
 U64 = np.uint64
 GRAMS = (3, 4, 5, 6)
@@ -131,6 +131,7 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, most_grams: int = 4096, sm
     scores are about the share of toxic rows (0 of none, so that nothing is
     rejected).
     """
+    short_batches(labelled.sparkSession)
     rows = labelled.where("y in (0, 1)").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("long").alias("y"))
     n = rows.count()
     if n > most_rows:
@@ -169,6 +170,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     A null or empty text is scored by the intercept alone.  Each row is scored
     for itself, so repeated rows have one score.  An empty table gives none.
     """
+    short_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # one weight a hash value, whatever the input
 
     def run(batches):
