@@ -8,7 +8,7 @@ from cloudloom.operators import models, spatial
 from cloudloom.plans import views as V
 from cloudloom.plans.registry import query
 
-# eight of the dimensions keep the exhaustive SQL quick
+# the SQL states its queries on the first eight dimensions; those without SQL have whole vectors
 _D = f"d AS (SELECT obj_id, features[1:8] AS f, label FROM ({V.DESC})), train AS (SELECT * FROM d WHERE obj_id % 5 <> 0), test AS (SELECT * FROM d WHERE obj_id % 5 = 0)"
 _L2 = "list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _L1 = "list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2])))"
@@ -18,11 +18,14 @@ def _d(spark, d):
     return V.desc(spark, d).withColumn("features", F.slice("features", 1, 8))
 
 
-def _split(spark, d):
-    rows = _d(spark, d)
+def _halves(rows):
     return rows.where("obj_id % 5 <> 0"), rows.where("obj_id % 5 = 0")
 
 
+def _split(spark, d):
+    return _halves(_d(spark, d))
+
+
 _NN = f"n AS (SELECT a.obj_id, a.label AS truth, b.obj_id AS n_obj_id, b.label, {_L2} AS dist FROM test a, train b), one AS (SELECT obj_id, truth, arg_min(n_obj_id, (dist, n_obj_id)) AS n_obj_id, arg_min(label, (dist, n_obj_id)) AS pred, min(dist) AS dist FROM n GROUP BY obj_id, truth)"
 
 
@@ -124,7 +127,7 @@ def ignore_zero(spark, d):
 
 def _fitted(kind):
     def run(spark, d):
-        train, test = _split(spark, d)
+        train, test = _halves(V.desc(spark, d))
         return models.fit_predict(kind, train, test, "obj_id")
 
     return run
@@ -136,21 +139,21 @@ for _name in ("svm", "nb", "tree", "logistic", "ada"):
 
 @query()
 def lda(spark, d):
-    train, test = _split(spark, d)
+    train, test = _halves(V.desc(spark, d))
     return models.linear_discriminant(train, test, "obj_id")
 
 
 @query()
 def igm(spark, d):
-    train, test = _split(spark, d)
+    train, test = _halves(V.desc(spark, d))
     return models.argmax_label(models.gaussian_tail(test, train, "obj_id"), "obj_id")
 
 
 @query()
 def svd_projection(spark, d):
-    return models.svd_project(_d(spark, d), "obj_id")
+    return models.svd_project(V.desc(spark, d), "obj_id")
 
 
 @query()
 def kmeans(spark, d):
-    return models.vocabulary(_d(spark, d), 10)
+    return models.vocabulary(V.desc(spark, d), 10)
