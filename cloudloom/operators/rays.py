@@ -24,13 +24,21 @@ def cast_rays(rays: DataFrame, tri: DataFrame, eps: float = 0.01) -> DataFrame:
     n, level = C.plane_of(a, b, c)
     planes = tri.withColumns({"nx": n[0], "ny": n[1], "nz": n[2], "_d": level}).where("nx is not null")
     n = C.vec("n")
+    # unit inward normals of the edges: pairs that are clearly outside one cost a few products
+    sides = {k: (C.cross(n, C.minus(q, p)), C.norm(C.minus(q, p)), p) for k, p, q in (("u", a, b), ("v", b, c), ("w", c, a))}
+    planes = planes.withColumns({f"_{k}{e}": v / size for k, (m, size, _) in sides.items() for v, e in zip(m, "xyz", strict=True)} | {f"_{k}": C.dot(m, p) / size for k, (m, size, p) in sides.items()})
+    planes = planes.repartition(tri.sparkSession.sparkContext.defaultParallelism, "fid")  # a mesh from one file is one task else
     slope = C.dot(n, d)
     hits = rays.join(planes, F.abs(slope) >= eps).withColumn("t", F.try_divide(F.col("_d") - C.dot(n, o), slope)).where("t > 0")
+    for k in "uvw":
+        at, level = C.dot(C.vec(f"_{k}"), o), F.col(f"_{k}")
+        hits = hits.where(at - level + F.col("t") * C.dot(C.vec(f"_{k}"), d) > -1e-6 * (1 + F.abs(at) + F.abs(level) + F.col("t")))
     hits = hits.withColumns({f"h{k}": F.col(f"o{k}") + F.col("t") * F.col(f"d{k}") for k in "xyz"})
     h = C.vec("h")
+    within = F.lit(True)  # exact, and in the aggregate, as a filter would go into the join
     for p, q in ((a, b), (b, c), (c, a)):
-        hits = hits.where(C.dot(n, C.cross(C.minus(q, p), C.minus(h, p))) > 0)
-    best = hits.groupBy("ray").agg(F.min(F.struct("t", "fid", "hx", "hy", "hz")).alias("m"))
+        within = within & (C.dot(n, C.cross(C.minus(q, p), C.minus(h, p))) > 0)
+    best = hits.groupBy("ray").agg(F.min(F.when(within, F.struct("t", "fid", "hx", "hy", "hz"))).alias("m")).where("m is not null")
     return best.select("ray", "m.fid", "m.t", *(F.col(f"m.h{k}").alias(k) for k in "xyz"))
 
 

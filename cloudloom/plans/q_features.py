@@ -102,6 +102,7 @@ def spin(spark, d):
 
 
 # --- a mesh of the table's own: a fan of triangles over part -------------------
+# the SQL states its queries on the first 120 parts; those without SQL have all of them
 
 _MESH = """v AS (SELECT p_partkey AS vid, p_size::DOUBLE AS x, (p_partkey % 37)::DOUBLE AS y, (p_partkey % 11)::DOUBLE AS z FROM part WHERE p_partkey <= 120),
 f AS (SELECT p_partkey - 1 AS fid, p_partkey AS a, p_partkey % 120 + 1 AS b, (p_partkey * 7) % 120 + 1 AS c FROM part WHERE p_partkey <= 120),
@@ -109,14 +110,23 @@ t AS (SELECT fid, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS
 n AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM t)"""
 
 
-def _mesh(spark, d):
-    p = V.table(spark, d, "part").where("p_partkey <= 120")
+def _fan(p, n):
+    """Vertices, faces and triangles of parts with keys up to n."""
     k = F.col("p_partkey")
     vertices = p.select(k.alias("vid"), F.col("p_size").cast("double").alias("x"), (k % 37).cast("double").alias("y"), (k % 11).cast("double").alias("z"))
-    faces = p.select((k - 1).alias("fid"), k.alias("a"), (k % 120 + 1).alias("b"), (k * 7 % 120 + 1).alias("c"))
+    faces = p.select((k - 1).alias("fid"), k.alias("a"), (k % n + 1).alias("b"), (k * 7 % n + 1).alias("c"))
     return vertices, faces, rays.triangles(vertices, faces)
 
 
+def _mesh(spark, d):
+    return _fan(V.table(spark, d, "part").where("p_partkey <= 120"), 120)
+
+
+def _whole_mesh(spark, d):
+    p = V.table(spark, d, "part")
+    return _fan(p, p.agg(F.max("p_partkey")).first()[0] or 1)
+
+
 @query(f"WITH {_MESH} SELECT fid, round(sqrt(nx * nx + ny * ny + nz * nz) / 2, 6) AS area FROM n")
 def mesh_area(spark, d):
     from cloudloom.functions.columns import triangle_area, vec
@@ -140,12 +150,12 @@ def ray_hits(spark, d):
 @query()
 def scan_views(spark, d):
     r = rays.parallel_rays(spark, (25.0, 18.0, 5.0), 60.0, 60.0, 8, 20)
-    return rays.cast_rays(r, _mesh(spark, d)[2])
+    return rays.cast_rays(r, _whole_mesh(spark, d)[2])
 
 
 @query()
 def mesh_depth(spark, d):
-    return rays.depth_map(_mesh(spark, d)[2], 50, 40)
+    return rays.depth_map(_whole_mesh(spark, d)[2], 50, 40)
 
 
 @query(f"""WITH {_MESH}, u AS (SELECT f.a, f.b, f.c, nx / s AS x, ny / s AS y, nz / s AS z FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM n) JOIN f USING (fid) WHERE s > 0), k AS (SELECT unnest([a, b, c]) AS vid, x, y, z FROM u),
@@ -158,7 +168,7 @@ def vertex_normals(spark, d):
 def mesh_sample(spark, d):
     from cloudloom.operators.filters import sample_mesh
 
-    return sample_mesh(_mesh(spark, d)[2], 4.0, 3)
+    return sample_mesh(_whole_mesh(spark, d)[2], 4.0, 3)
 
 
 

@@ -29,3 +29,29 @@ def test_vocabulary_and_projection_see_all_dimensions(spark, vectors):
     assert {len(r.features) for r in registry.queries()["kmeans"](spark, d).collect()} == {12}
     got = registry.queries()["svd_projection"](spark, d).collect()
     assert len({(r.projection[0] > 0) == bool(truth[r.obj_id]) for r in got}) == 1
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """300 parts; those above 120 are larger, so that a mesh of the first ones doesn't reach them."""
+    d = tmp_path_factory.mktemp("parts")
+    rows = [(k, "a" if k % 2 else "b", 5 + k % 7 if k <= 120 else 30 + k % 17, 900.0 + k % 101) for k in range(1, 301)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    return str(d)
+
+
+def test_meshes_have_all_parts(spark, parts):
+    from cloudloom.operators import rays
+    from cloudloom.plans import q_features
+
+    vertices, faces, tri = q_features._whole_mesh(spark, parts)
+    assert {r.vid for r in vertices.collect()} == set(range(1, 301))
+    assert {tuple(r) for r in faces.select("fid", "a", "b", "c").collect()} == {(k - 1, k, k % 300 + 1, k * 7 % 300 + 1) for k in range(1, 301)}
+    assert tri.count() == 300
+    hits = registry.queries()["scan_views"](spark, parts).collect()
+    assert max(r.fid for r in hits) >= 120
+    assert max(r.x for r in hits) > 11
+    assert max(r.u for r in registry.queries()["mesh_depth"](spark, parts).collect()) > 11
+    assert max(r.x for r in registry.queries()["mesh_sample"](spark, parts).collect()) > 11
+    r = rays.parallel_rays(spark, (25.0, 18.0, 5.0), 60.0, 60.0, 8, 20)
+    assert len(hits) == rays.cast_rays(r, tri).count()
