@@ -206,18 +206,18 @@ def our_cvfh(spark, d):
 def esf(spark, d):
     from cloudloom.operators import descriptors
 
-    return descriptors.shape_functions(V.part(spark, d), "cloud_id", samples=200)
+    return descriptors.shape_functions(V.part(spark, d), "cloud_id")
 
 
 @query()
 def triple_histograms(spark, d):
     from cloudloom.operators import descriptors
 
-    return descriptors.triple_histogram(V.part(spark, d), "cloud_id", samples=500)
+    return descriptors.triple_histogram(V.part(spark, d), "cloud_id")
 
 
 @query()
 def part_histograms(spark, d):
     from cloudloom.operators import descriptors
 
-    return descriptors.part_histograms(features.canonical_pose(V.part(spark, d), ["cloud_id"]), "cloud_id", samples=200)
+    return descriptors.part_histograms(features.canonical_pose(V.part(spark, d), ["cloud_id"]), "cloud_id")

@@ -285,6 +285,15 @@ def ransac_batch(spark, d):
     return geometry.count_inliers(p, geometry.candidate_planes(p, 32, 5), 0.05)
 
 
+@query()
+def ransac(spark, d):
+    p = V.emb(spark, d)
+    plane = geometry.ransac(p, 0.05, 10_000, 0.7, 5)
+    if plane is None:
+        return spark.createDataFrame([], "plane int, a double, b double, c double, d double, inliers long")
+    return geometry.count_inliers(p, [plane], 0.05)
+
+
 @query()
 def hull_rectangles(spark, d):
     return geometry.least_rectangle(V.part(spark, d), "cloud_id")

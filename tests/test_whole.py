@@ -55,3 +55,40 @@ def test_meshes_have_all_parts(spark, parts):
     assert max(r.x for r in registry.queries()["mesh_sample"](spark, parts).collect()) > 11
     r = rays.parallel_rays(spark, (25.0, 18.0, 5.0), 60.0, 60.0, 8, 20)
     assert len(hits) == rays.cast_rays(r, tri).count()
+
+
+@pytest.mark.parametrize("name, parts_of", [("esf", 3), ("triple_histograms", 1), ("part_histograms", 1)])
+def test_histograms_of_all_samples(spark, parts, monkeypatch, name, parts_of):
+    from cloudloom.operators import descriptors
+
+    drawn = []
+    for f in ("shape_functions", "triple_histogram"):
+        real = getattr(descriptors, f)
+        monkeypatch.setattr(descriptors, f, lambda *a, samples=20_000, real=real, **k: drawn.append(samples) or real(*a, samples=samples, **k))
+    if name == "part_histograms":
+        real_parts = descriptors.part_histograms
+        monkeypatch.setattr(descriptors, "part_histograms", lambda *a, **k: real_parts(*a, **({"histogram": descriptors.triple_histogram} | k)))
+    got = registry.queries()[name](spark, parts).collect()
+    assert drawn == [20_000]
+    if name == "esf":
+        for cloud in "ab":
+            assert sum(r.value for r in got if r.cloud_id == cloud and r.bin < 576) == pytest.approx(parts_of)
+
+
+def test_plane_search_to_its_end(spark, tmp_path, monkeypatch):
+    from cloudloom.operators import geometry
+
+    asked = []
+    real = geometry.ransac
+    monkeypatch.setattr(geometry, "ransac", lambda p, threshold, iterations, ratio, seed: asked.append((iterations, ratio)) or real(p, threshold, iterations, ratio, seed))
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1), rng.uniform(-1, 1), 0.25 if i % 10 < 8 else rng.uniform(-1, 1), 0.0, 0.0, 0.0], 0) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (best,) = registry.queries()["ransac"](spark, str(tmp_path)).collect()
+    assert asked == [(10_000, 0.7)]
+    assert best.inliers >= 210
+    monkeypatch.setattr(geometry, "candidate_planes", lambda p, k, seed: asked.append(k) or [(0.0, 0.0, 1.0, 5.0)])
+    monkeypatch.setattr(geometry, "count_inliers", lambda p, planes, threshold: spark.createDataFrame([(0, 0.0, 0.0, 1.0, 5.0, 0)], "plane int, a double, b double, c double, d double, inliers long"))
+    del asked[:]
+    registry.queries()["ransac"](spark, str(tmp_path))
+    assert sum(asked[1:]) == 10_000
