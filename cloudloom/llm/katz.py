@@ -81,7 +81,7 @@ def _count_words(batches, buckets: int):
 
 
 def _word_table(batches):
-    """Per bucket: the words and their counts, packed; sums, count of counts, and the most frequent words (which only decide what is split)."""
+    """Per bucket: the words and their counts, packed; sums, count of counts, the ends, and the most frequent words (which only decide what is split)."""
     for table in kernels.groups_in(batches, ["bucket"]):
         for bucket, sub in ((b, table.filter(pa.compute.equal(table.column("bucket"), b))) for b in pa.compute.unique(table.column("bucket")).to_pylist()):
             f = _unpack_all([("w", "<u8"), ("n", "<u4")], sub.column("blob").to_pylist())
@@ -89,7 +89,7 @@ def _word_table(batches):
             n = np.bincount(at, f["n"], len(w)).astype(np.int64)
             counts = np.bincount(np.minimum(n, TRUST + 2), minlength=TRUST + 3)[1 : TRUST + 2]
             top = np.argsort(-n)[:64]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_pack([("w", "<u8"), ("n", "<u8")], [w, n])], pa.binary()), pa.array([[int(n.sum()), len(n), *map(int, counts)]], pa.list_(pa.int64())), pa.array([w[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([n[top].tolist()], pa.list_(pa.int64()))], names=["bucket", "blob", "sums", "top", "top_n"])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_pack([("w", "<u8"), ("n", "<u8")], [w, n])], pa.binary()), pa.array([[int(n.sum()), len(n), *map(int, counts), int(n[w == END].sum())]], pa.list_(pa.int64())), pa.array([w[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([n[top].tolist()], pa.list_(pa.int64()))], names=["bucket", "blob", "sums", "top", "top_n"])
 
 
 def discounts(counts) -> np.ndarray:
@@ -328,12 +328,10 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     dealt = rows.select("text", "learn").mapInArrow(lambda it: kernels.tidily(_count_words(it, buckets)), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
     words = materialize(dealt.mapInArrow(_word_table, "bucket int, blob binary, sums array<long>, top array<long>, top_n array<long>"), "words")
-    sums = [int(x or 0) for x in words.agg(*(F.sum(F.col("sums")[k]) for k in range(TRUST + 3))).first()]
+    *sums, starts = (int(x or 0) for x in words.agg(*(F.sum(F.col("sums")[k]) for k in range(TRUST + 4))).first())  # as many starts as ends
     total = sums[0]
     tops = words.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.*")
     often = tops.where(F.col("top_n") > total // (4 * buckets)).collect()  # at most 4 a bucket
-    ends = tops.where(F.col("top") == int(END.view(np.int64))).collect()
-    starts = ends[0].top_n if ends else 0
     hot = np.array([x.top for x in often], np.int64).view(U64)
     order = np.argsort(hot)
     hot, hot_n = hot[order], np.array([x.top_n for x in often], np.int64)[order]

@@ -102,3 +102,12 @@ def test_odd_tables(spark):
     assert {round(r.score, 8) for r in got if r.n_tokens == 3} == {round(m.score("a b"), 8)}
     none = katz.score(docs, F.lit(False)).collect()
     assert {(r.base_score, r.score) for r in none} == {(0.0, 0.0)}
+
+
+def test_few_long_texts_of_many_frequent_words(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)] * 2
+    rows = [(i, " ".join(rng.sample(words, len(words)))) for i in range(5)]  # each word is more frequent than the end
+    m = Brute([t for _, t in rows])
+    got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: m.score(t) for i, t in rows}, abs=1e-6)
