@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     postings = materialize(ranked.where(posted > 0).select("cid", F.explode(F.slice("t", F.lit(1), posted)).alias("e")).select("cid", "e.tok"), "postings")
 
     reps = postings.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(rows.join(reps, "doc_id", "left_semi").mapInArrow(lambda it: kernels.tidily(_read(it, width, 0, True)), "cid long, words binary").join(postings.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    asked = rows.join(reps, "doc_id", "left_semi").unionAll(rows.where("doc_id is null"))  # a class may have no id
+    sets = materialize(asked.mapInArrow(lambda it: kernels.tidily(_read(it, width, 0, True)), "cid long, words binary").join(postings.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     release(spark)  # the texts and tokens that were dealt out
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -23,10 +23,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the least id; of repeated rows of it, one."""
-    kept = near_text.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).where("doc_id is null"))
-    return rows.distinct()
+    """One document of each group of near copies, that with the least id; of repeated rows of it, one.
+
+    A row with a null id stays only where its group has no id, one text of
+    them: it is named by a hash of its text, from 2^62 on.
+    """
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+    rows = docs.select(*COLUMNS).withColumn("_name", name)
+    kept = near_text.near_duplicates(rows.select(F.col("_name").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_name")).distinct()
+    return rows.join(kept, "_name", "left_semi").select(*COLUMNS).distinct()
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,12 @@ def test_equals_brute_force(spark, monkeypatch, block):
 
 def test_empty(spark):
     assert near_text.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_near_copies_without_ids(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(w)), (None, " ".join(w[10:] + [f"x{i}" for i in range(10)])), (8, " ".join(w[20:] + [f"x{i}" for i in range(20)]))]
+    assert len({r[2] for r in brute(rows)}) == 1 and len({r[2] for r in brute(rows[::2])}) == 2  # the row without id connects the others
+    got = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)

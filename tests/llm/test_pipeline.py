@@ -59,3 +59,11 @@ def test_stages_keep_their_columns(spark, tmp_path):
                 assert out.columns == corpus_pipeline.COLUMNS
             held = out
         assert held.count() == n
+
+
+def test_near_copies_without_ids_go(spark, tmp_path):
+    w, v = ([f"{k}{i}" for i in range(100)] for k in "wv")
+    texts = [(1, " ".join(w)), (None, " ".join(w[1:])), (None, " ".join(v)), (None, " ".join(v[1:])), (None, "quite another"), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert len(got) == 4 and {(1, " ".join(w)), (None, "quite another"), (None, None)} < set(got)
