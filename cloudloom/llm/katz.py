@@ -1,294 +1,368 @@
-"""Katz backoff bigram model: Good-Turing discounts, counts in tables dealt by word, documents scored where the counts are."""
+"""Katz backoff trigram model: Good-Turing discounts, counts in tables dealt by context, documents scored slice by slice with what the tables answer."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize, partitions, release, short_batches
+from cloudloom.llm.storage import discard, materialize, partitions, short_batches
 
 U64 = np.uint64
-START, END = U64(0x5354415254), U64(0x454E44)
-TRUST = 5  # counts above it are trusted
-KEEP = 0.5  # what a trusted count gives to unseen words, so that no context is left without
+ORDER = 3
+TRUST = 5  # counts above it keep what they have
+SLICE = 4 << 20  # bytes of text that are worked on at once
+BUCKET = 500_000  # tokens for which there is one more bucket
+FREQUENT = 65_536  # words that get a short code; others are known by their hash
+START_HASH, END_HASH = U64(0x5354415254), U64(0x454E44)
+NONE, START, END = U64(0), U64(1), U64(2)  # codes; those of frequent words follow
 NULL_ID = -(2**63)
-_PAIRS = [("w", "<u8"), ("u", "<u8"), ("docs", "<u4")]
-_UNSEEN = [("u", "<u8"), ("did", "<i8"), ("tie", "<i8"), ("n", "<u4")]
-_CONTEXT = [("u", "<u8"), *((f"t{r}", "<u4") for r in range(1, TRUST + 2)), ("p", "<f8")]
-_SUMS = ["rows", "tokens", "known", "base", "logs", *(f"s{r}" for r in range(1, TRUST + 1))]
-_DOC = [("did", "<i8"), ("tie", "<i8"), *((k, "<f8") for k in _SUMS)]
-
-
-def _pack(fields, arrays) -> bytes:
-    """Arrays of one length, the bytes of each dealt by place so that they compress, after their length."""
-    n = len(arrays[0])
-    planes = [np.ascontiguousarray(a.astype(t)).view(np.uint8).reshape(n, -1).T.tobytes() for (_, t), a in zip(fields, arrays, strict=True)]
-    return zstandard.ZstdCompressor(level=1).compress(n.to_bytes(8, "little") + b"".join(planes))
-
-
-def _unpack(fields, blob: bytes) -> dict[str, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, {}
-    for k, t in fields:
-        size = np.dtype(t).itemsize
-        out[k] = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(t) if n else np.zeros(0, t)
-        at += n * size
+_TOP = U64(1 << 63)
+_W = 21  # bits of a word's place in the dictionary of a slice
+_SUMS = ["total", *(f"t{r}" for r in range(1, TRUST + 1)), "lower"]
+
+
+def _save(**arrays: np.ndarray) -> bytes:
+    """Arrays, the bytes of each dealt by place so that they compress."""
+    press = zstandard.ZstdCompressor(level=1)
+    out = {}
+    for k, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        out[k] = a.dtype.str, len(a), press.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    return pickle.dumps(out, protocol=5)
+
+
+def _load(blob: bytes) -> dict[str, np.ndarray]:
+    press = zstandard.ZstdDecompressor()
+    out = {}
+    for k, (t, n, raw) in pickle.loads(blob).items():
+        planes = np.frombuffer(press.decompress(raw), np.uint8)
+        out[k] = np.ascontiguousarray(planes.reshape(-1, n).T).reshape(-1).view(t) if n else np.zeros(0, t)
     return out
 
 
-def _unpack_all(fields, blobs) -> dict[str, np.ndarray]:
-    found = [_unpack(fields, b) for b in blobs]
-    return {k: np.concatenate([x[k] for x in found]) if found else np.zeros(0, t) for k, t in fields}
-
-
 def _cuts(sorted_: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(sorted_)) if len(sorted_) else np.zeros(1, np.int64)
 
 
-def _tokens(data, at):
-    """Tokens of each row with its end, the token before each, and the row."""
-    hashes, begins = kernels.words(data, at)
-    rows = len(begins) - 1
-    n = np.diff(begins)
-    row = np.repeat(np.arange(rows), n + 1)
-    w = np.empty(len(row), U64)
-    ends = begins[1:] + np.arange(rows)
-    inner = np.ones(len(row), bool)
-    inner[ends] = False
-    w[inner], w[ends] = hashes, END
-    u = np.empty(len(row), U64)
-    u[1:] = w[:-1]
-    u[begins[:-1] + np.arange(rows)] = START
-    return w, u >> U64(8), row
-
-
-def _count_words(batches, buckets: int):
-    """Counts of the training words of a slice, packed by bucket."""
+def _texts(column: pa.Array):
+    """For slices of rows, or pieces of a very long row: first row, last row, word hashes, where each row's words begin, the two words before, whether the row began before, whether it goes on."""
+    for i, j, data, at in kernels.text_slices(column, SLICE):
+        before = np.array([START_HASH, START_HASH])
+        if len(data) <= SLICE:
+            yield i, j, *kernels.words(data, at), before, False, False
+            continue
+        cuts = kernels._cuts(data, at)  # one row
+        a, began = 0, False
+        while a < len(cuts) - 1:
+            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + SLICE, side="right")) - 1)
+            hashes, _ = kernels.words(data[cuts[a] : cuts[b]], np.array([0, cuts[b] - cuts[a]]))
+            last = b == len(cuts) - 1
+            if len(hashes) or last:
+                yield i, j, hashes, np.array([0, len(hashes)]), before, began, not last
+                before = np.append(before, hashes)[-2:]
+                began = True
+            a = b
+
+
+def _slice(batches):
+    """Tokens of a slice as places in its own dictionary; each row's tokens follow the two before them."""
+    task, seen, whole = TaskContext.get().partitionId(), 0, 0
+    for batch in batches:
+        did = batch.column("did").to_numpy()
+        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
+        for i, j, hashes, begins, before, began, goes_on in _texts(batch.column("text")):
+            n = np.diff(begins)
+            size = n + (2 if goes_on else 3)
+            first = np.cumsum(size) - size
+            w = np.full(int(size.sum()), END_HASH)
+            w[first], w[first + 1] = before
+            w[np.arange(len(hashes)) + np.repeat(first + 2 - begins[:-1], n)] = hashes
+            names, tok = np.unique(w, return_inverse=True)
+            slice_ = (task << 32) + seen
+            whole = whole if began else slice_
+            body = _save(names=names, tok=tok.astype(np.uint32), size=size.astype(np.uint32), did=did[i:j], learn=learn[i:j])
+            tokens, taught = int(size.sum()) - 2 * len(size), int(((size - 2) * learn[i:j]).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([slice_]), pa.array([whole]), pa.array([began or goes_on]), pa.array([tokens]), pa.array([taught]), pa.array([body], pa.binary())], names=["slice", "whole", "part", "tokens", "taught", "body"])
+            seen += 1
+
+
+def _context(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Names of contexts of one or two words (u is ``NONE`` for one)."""
+    return kernels.mix(kernels.mix(u + U64(0x9E3779B97F4A7C15)) ^ (v * U64(0xD1342543DE82EF95)))
+
+
+class _Grams:
+    """The distinct n-grams of a slice in the order in which they are asked for: by bucket, context and word."""
+
+    def __init__(self, s: dict[str, np.ndarray], order: int, buckets: int, hot: np.ndarray):
+        size = s["size"].astype(np.int64)
+        first = np.cumsum(size) - size
+        own = np.ones(len(s["tok"]), bool)
+        own[first] = own[first + 1] = False
+        self.own = np.flatnonzero(own)
+        self.row = np.repeat(np.arange(len(size)), size - 2)
+        tok = s["tok"].astype(U64)
+        key = tok[self.own]
+        for back in range(1, order):
+            key |= tok[self.own - back] << U64(_W * back)
+        keys, at = np.unique(key, return_inverse=True)
+        mask = U64((1 << _W) - 1)
+        w, v, u = (((keys >> U64(_W * b)) & mask).astype(np.int64) for b in range(3))
+        names = s["names"]
+        none = np.zeros(len(keys), U64)
+        code = names[w], (names[v] if order > 1 else none), (names[u] if order > 2 else none)
+        context = _context(code[2], code[1])
+        is_hot = np.zeros(len(keys), bool)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
+        bucket = (np.where(is_hot, kernels.mix(context ^ kernels.mix(code[0])), context) % U64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
+        perm = np.argsort(bucket, kind="stable")
+        back = np.empty(len(perm), np.int64)
+        back[perm] = np.arange(len(perm))
+        self.at = back[at]  # n-gram of each token
+        self.n = np.bincount(self.at, s["learn"][self.row], len(perm)).astype(np.uint32)
+        self.bucket, self.context = bucket[perm], context[perm]
+        self.w, self.v, self.u = (c[perm] for c in code)
+        self.w_at, self.v_at = w[perm], v[perm]
+        new = np.append(True, (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])) if len(perm) else np.zeros(0, bool)
+        self.runs = np.flatnonzero(new)  # where n-grams of one context begin
+        self.run = np.cumsum(new) - 1
+
+
+def _ask(batches, order: int, buckets: int, hot: np.ndarray):
+    """What a slice asks each bucket: its distinct n-grams with how often training rows have them, and the counts of the shorter ones."""
     for batch in batches:
-        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 8 << 20):
-            w, _, row = _tokens(data, at)
-            w, n = np.unique(w[learn[i:j][row]], return_counts=True)
-            bucket = (w % U64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            w, n, bucket = w[order], n[order], bucket[order]
-            c = _cuts(bucket)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[c[:-1]]), pa.array([_pack([("w", "<u8"), ("n", "<u4")], [w[s:e], n[s:e]]) for s, e in zip(c[:-1], c[1:], strict=True)], pa.binary())], names=["bucket", "blob"])
-
-
-def _word_table(batches):
-    """Per bucket: the words and their counts, packed; sums, count of counts, the ends, and the most frequent words (which only decide what is split)."""
+        for slice_, body in zip(batch.column("slice").to_pylist(), batch.column("body"), strict=True):
+            s = _load(body.as_py())
+            g = _Grams(s, order, buckets, hot)
+            lower = np.zeros(len(g.w), np.uint32)
+            if order == 2:
+                lower = s["c1"][g.w_at]
+            elif order == 3:
+                lower[g.at] = s["c2"]
+            ends = np.append(g.runs, len(g.w))
+            whole = s["whole2"][g.v_at[g.runs]] if order == 3 else np.zeros(len(g.runs), U64)
+            c = _cuts(g.bucket)
+            blobs = []
+            for a, b in zip(c[:-1], c[1:], strict=True):
+                p, q = np.searchsorted(g.runs, (a, b))
+                about = {"u": g.u[g.runs[p:q]], "v": g.v[g.runs[p:q]], "whole": whole[p:q]} if order > 1 else {}
+                blobs.append(_save(**about, run=np.diff(ends[p : q + 1]).astype(np.uint32), w=g.w[a:b], n=g.n[a:b], lower=lower[a:b]))
+            yield pa.RecordBatch.from_arrays([pa.array(g.bucket[c[:-1]].astype(np.int32)), pa.array(np.full(len(blobs), slice_)), pa.array(blobs, pa.binary())], names=["bucket", "slice", "blob"])
+
+
+def reduced(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return np.where(c > TRUST, c, d[np.minimum(c, TRUST).astype(np.int64)] * c)
+
+
+_MET = "kind int, slice long, bucket int, blob binary, stats array<double>"
+_ANSWER, _HOT, _COUNTS, _OFTEN = range(1, 5)
+
+
+def _row(kind: int, ids, bucket: int, blobs, stats):
+    n = len(ids)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(ids).astype(np.int64)), pa.array(np.full(n, bucket, np.int32)), pa.array(blobs if blobs is not None else [None] * n, pa.binary()), pa.array(stats if stats is not None else [None] * n, pa.list_(pa.float64()))],
+        names=["kind", "slice", "bucket", "blob", "stats"],
+    )
+
+
+def _meet(batches, order: int, hot: np.ndarray, d: np.ndarray, whole: float, often: float, most: int):
+    """The table of a bucket: counts of its n-grams, and of each context all counts, how many are 1 to ``TRUST`` and what the words after it have in the shorter model; answers to each slice."""
     for table in kernels.groups_in(batches, ["bucket"]):
-        for bucket, sub in ((b, table.filter(pa.compute.equal(table.column("bucket"), b))) for b in pa.compute.unique(table.column("bucket")).to_pylist()):
-            f = _unpack_all([("w", "<u8"), ("n", "<u4")], sub.column("blob").to_pylist())
-            w, at = np.unique(f["w"], return_inverse=True)
-            n = np.bincount(at, f["n"], len(w)).astype(np.int64)
-            counts = np.bincount(np.minimum(n, TRUST + 2), minlength=TRUST + 3)[1 : TRUST + 2]
-            top = np.argsort(-n)[:64]
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_pack([("w", "<u8"), ("n", "<u8")], [w, n])], pa.binary()), pa.array([[int(n.sum()), len(n), *map(int, counts), int(n[w == END].sum())]], pa.list_(pa.int64())), pa.array([w[top].view(np.int64).tolist()], pa.list_(pa.int64())), pa.array([n[top].tolist()], pa.list_(pa.int64()))], names=["bucket", "blob", "sums", "top", "top_n"])
+        for rows in np.split(np.arange(table.num_rows), kernels.runs(table, ["bucket"])[1:-1]):
+            bucket = table.column("bucket")[int(rows[0])].as_py()
+            asked = [_load(table.column("blob")[int(r)].as_py()) for r in rows]
+            slices = table.column("slice").to_numpy()[rows]
+            f = {k: np.concatenate([x[k] for x in asked]) for k in asked[0]}
+            size = [len(x["w"]) for x in asked]
+            runs = [len(x["run"]) for x in asked]
+            del asked
+            if order == 1:
+                f |= dict.fromkeys(("u", "v", "whole"), np.zeros(len(f["run"]), U64))
+            context = _context(f["u"], f["v"])
+            names, run_at = np.unique(context, return_inverse=True)
+            at = np.repeat(run_at, f["run"])
+            gram = kernels.mix(names[at] ^ kernels.mix(f["w"]))
+            by = np.argsort(gram, kind="stable")
+            again = gram[by[1:]] == gram[by[:-1]]
+            if (again & (f["w"][by[1:]] != f["w"][by[:-1]])).any() or (again & (at[by[1:]] != at[by[:-1]])).any():
+                raise ArithmeticError("two n-grams have the same hash")
+            u, v = (np.zeros(len(names), U64) for _ in range(2))
+            u[run_at], v[run_at] = f["u"], f["v"]
+            if (u[run_at] != f["u"]).any() or (v[run_at] != f["v"]).any():
+                raise ArithmeticError("two contexts have the same hash")
+            first = by[np.append(True, ~again)]
+            place = np.empty(len(by), np.int64)
+            place[by] = np.cumsum(np.append(True, ~again)) - 1
+            n = np.bincount(place, f["n"], len(first)).astype(np.int64)
+            count = n[place]
+            held = n > 0
+            c, x = n[held], first[held]
+            below = reduced(f["lower"][x].astype(float), d) / (whole if order == 2 else np.maximum(np.repeat(f["whole"], f["run"])[x], 1)) if order > 1 else np.zeros(len(x))
+            total = np.bincount(at[x], c, len(names))
+            small = [np.bincount(at[x], c == r, len(names)) for r in range(1, TRUST + 1)]
+            s = np.bincount(at[x], below, len(names))
+            yield _row(_COUNTS, [0], bucket, None, [[*np.bincount(np.minimum(c, TRUST + 2), minlength=TRUST + 3)[1 : TRUST + 2].astype(float).tolist(), float(len(c))]])
+            split = np.flatnonzero(np.isin(names, hot))
+            if len(split):
+                yield _row(_HOT, names[split].view(np.int64), bucket, None, np.column_stack([total, *small, s])[split].tolist())
+            if order == 1:
+                top = np.union1d(np.argsort(-c, kind="stable")[:most], np.flatnonzero(c > often))
+                yield _row(_OFTEN, f["w"][x[top]].view(np.int64), bucket, None, c[top, None].astype(float).tolist())
+            elif order < ORDER and (c > often).any():
+                top = x[c > often]
+                yield _row(_OFTEN, _context(np.repeat(f["v"], f["run"])[top], f["w"][top]).view(np.int64), bucket, None, c[c > often, None].astype(float).tolist())
+            ends, run_ends = np.cumsum(size), np.cumsum(runs)
+            run_first = np.cumsum(f["run"], dtype=np.int64) - f["run"]
+            blobs = []
+            for k in range(len(rows)):
+                e = slice(ends[k] - size[k], ends[k])
+                own = run_at[run_ends[k] - runs[k] : run_ends[k]]
+                answer = {"c": count[e].astype(np.uint32 if len(count) and count.max() < 2**32 else U64)}
+                if order > 1:
+                    answer["total"] = total[own].astype(U64)
+                    answer["some"] = (sum(small)[own] > 0).astype(np.uint8)
+                    begin = run_first[run_ends[k] - runs[k] : run_ends[k]] - (ends[k] - size[k])
+                    unseen = own[np.logical_or.reduceat(count[e] == 0, begin)] if size[k] else own
+                    answer |= {f"t{r}": small[r - 1][unseen].astype(np.uint32) for r in range(1, TRUST + 1)} | {"lower": s[unseen]}
+                blobs.append(_save(**answer))
+            yield _row(_ANSWER, slices, bucket, blobs, None)
 
 
 def discounts(counts) -> np.ndarray:
-    """Katz's d_r for r = 1..TRUST from n_1..n_(TRUST+1) (Good-Turing, renormalised so that counts above TRUST keep theirs); where the counts of counts give none between 0 and 1, (r - KEEP) / r."""
+    """Katz's d_r for r = 1..TRUST from n_1..n_(TRUST+1) (Good-Turing, renormalised so that counts above TRUST keep theirs); where the counts of counts give none between 0 and 1, (r - 0.5) / r."""
     n = np.asarray(counts, float)
     out = np.zeros(TRUST + 1)
     tail = (TRUST + 1) * n[TRUST] / n[0] if n[0] else 1.0
     for r in range(1, TRUST + 1):
         d = ((r + 1) * n[r] / (r * n[r - 1]) - tail) / (1 - tail) if n[r - 1] and tail != 1 else 0.0
-        out[r] = d if 0 < d < 1 else (r - KEEP) / r
+        out[r] = d if 0 < d < 1 else (r - 0.5) / r
     return out
 
 
-def reduced(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Discounted counts."""
-    small = np.minimum(c, TRUST).astype(np.int64)
-    return np.where(c > TRUST, c - KEEP, d[small] * c)
-
-
-def _deal(batches, buckets: int, hot: np.ndarray):
-    """Per slice and bucket: distinct (word, word before) with the documents they are in."""
-    for batch in batches:
-        did, tie = (batch.column(k).to_numpy() for k in ("did", "tie"))
-        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j, data, at in kernels.text_slices(batch.column("text"), 8 << 20):
-            w, u, row = _tokens(data, at)
-            dealt = np.where(np.isin(w, hot), kernels.mix(w ^ kernels.mix(u)), w) % U64(buckets)
-            order = np.lexsort((u, w, dealt.astype(np.uint16 if buckets < 65536 else np.uint32)))  # stable: rows stay in order
-            w, u, row, dealt = w[order], u[order], row[order], dealt[order]
-            pair = np.append(True, (w[1:] != w[:-1]) | (u[1:] != u[:-1]))
-            own = pair | np.append(True, row[1:] != row[:-1])
-            first = np.flatnonzero(own)
-            n = np.diff(np.append(first, len(w)))
-            w, u, row, dealt, pair = w[first], u[first], row[first], dealt[first], pair[first]
-            c = _cuts(dealt)
-            blobs = []
-            for s, e in zip(c[:-1], c[1:], strict=True):
-                p = np.flatnonzero(pair[s:e])
-                docs, at_doc = np.unique(row[s:e], return_inverse=True)
-                blobs.append(
-                    [
-                        _pack(_PAIRS, [np.append(w[s:e][p][:1], np.diff(w[s:e][p])), u[s:e][p], np.diff(np.append(p, e - s))]),
-                        _pack([("doc", "<u4"), ("n", "<u4")], [at_doc, n[s:e]]),
-                        _pack([("did", "<i8"), ("tie", "<i8"), ("learn", "<u1")], [np.append(did[i:j][docs][:1], np.diff(did[i:j][docs])), tie[i:j][docs], learn[i:j][docs]]),
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([pa.array(dealt[c[:-1]].astype(np.int32)), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(3))], names=["bucket", "pairs", "places", "docs"])
-
-
-def _by_part(part: np.ndarray, fields, arrays, kind: int):
-    """Arrays packed by part; in each the first array, which is sorted, as differences."""
-    order = np.argsort(part, kind="stable")
-    part, arrays = part[order], [a[order] for a in arrays]
-    c = _cuts(part)
-    blobs = [_pack(fields, [np.append(arrays[0][s : s + 1], np.diff(arrays[0][s:e])), *(a[s:e] for a in arrays[1:])]) for s, e in zip(c[:-1], c[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), kind, np.int32)), pa.array(part[c[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
-
-
-def _parts_in(fields, blobs) -> dict[str, np.ndarray]:
-    """What ``_by_part`` packed."""
-    found = [_unpack(fields, b) for b in blobs]
-    first = fields[0][0]
-    return {k: np.concatenate([np.cumsum(x[k], dtype=t) if k == first else x[k] for x in found]) if found else np.zeros(0, t) for k, t in fields}
-
-
-def _documents(did: np.ndarray, tie: np.ndarray):
-    """The distinct (did, tie), sorted, and which of them each row has."""
-    if not tie.any():  # ids aren't repeated
-        keys, to = np.unique(did, return_inverse=True)
-        return keys, np.zeros_like(keys), to
-    keys, to = np.unique(np.rec.fromarrays([did, tie], names="d,t"), return_inverse=True)
-    return keys["d"], keys["t"], to
-
-
-def _summed(found: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Rows of (did, tie, sums...) with the sums of equal (did, tie) added, sorted."""
-    did, tie, *sums = (np.concatenate(x) for x in zip(*found, strict=True))
-    d, t, to = _documents(did, tie)
-    return [d, t, *(np.bincount(to, x, len(d)) for x in sums)]
-
-
-def _doc_part(did, parts):
-    return (kernels.mix(did.astype(np.int64).view(U64)) % U64(parts)).astype(np.int64)
-
-
-def _meet(batches, parts: int, hot: np.ndarray, hot_n: np.ndarray, total: int, d1: np.ndarray, unknown: float):
-    """In each bucket, with all that is known of its words and pairs: sums for each document, the contexts of unseen words, and what each context gave away."""
-    held: list[list[np.ndarray]] = []
-    asked: list[list[np.ndarray]] = []
-    given: list[list[np.ndarray]] = []
-
-    def flush(found, fields, kind):
-        arrays = [np.concatenate(x) for x in zip(*found, strict=True)]
-        order = np.argsort(arrays[0], kind="stable")
-        found.clear()
-        return _by_part((kernels.mix(arrays[0]) % U64(parts)).astype(np.int64)[order], fields, [a[order] for a in arrays], kind)
-
-    for table in kernels.groups_in(batches, ["bucket"]):
-        for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["bucket"])[1:-1]):
-            pairs, places, ids = [], [], []
-            for r in at:
-                p, q, d = (table.column(k)[int(r)].as_py() for k in ("pairs", "places", "docs"))
-                p, q = _unpack(_PAIRS, p), _unpack([("doc", "<u4"), ("n", "<u4")], q)
-                d = _unpack([("did", "<i8"), ("tie", "<i8"), ("learn", "<u1")], d)
-                pairs.append((np.repeat(np.cumsum(p["w"], dtype=U64), p["docs"]), np.repeat(p["u"], p["docs"])))
-                places.append((q["doc"] + sum(len(x[0]) for x in ids), q["n"]))
-                ids.append((np.cumsum(d["did"]), d["tie"], d["learn"].astype(bool)))
-            w, u = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            doc, n = (np.concatenate(x) for x in zip(*places, strict=True))
-            did, tie, learn = (np.concatenate(x) for x in zip(*ids, strict=True))
-            order = np.lexsort((u, w))
-            w, u, doc, n = w[order], u[order], doc[order], n[order].astype(np.int64)
-            taught = np.where(learn[doc], n, 0)
-            new_w = np.append(True, w[1:] != w[:-1])
-            new = new_w | np.append(True, u[1:] != u[:-1])
-            first_w, first = np.flatnonzero(new_w), np.flatnonzero(new)
-            c_w = np.add.reduceat(taught, first_w)
-            if len(hot):
-                place = np.minimum(np.searchsorted(hot, w[first_w]), len(hot) - 1)
-                c_w = np.where(hot[place] == w[first_w], hot_n[place], c_w)
-            c_w = c_w[np.cumsum(new_w) - 1]
-            c = np.add.reduceat(taught, first)
-            stats = np.bincount(np.minimum(c, TRUST + 2), minlength=TRUST + 3)[1 : TRUST + 2]
-            seen = c[np.cumsum(new) - 1]
-            # what is known already: seen pairs without their discount, contexts' counts, unseen words' own probability
-            with np.errstate(divide="ignore"):
-                own = reduced(c_w, d1)
-                logs = np.where(seen > TRUST, np.log10(seen - KEEP), np.log10(np.maximum(seen, 1)))
-                logs = np.where(seen > 0, logs, np.where(c_w > 0, np.log10(np.maximum(own, 1e-300)) - np.log10(max(total, 1)), np.log10(unknown)))
-            logs = n * (logs - np.where((c_w > 0) & (w != END), np.log10(np.maximum(c_w, 1)), 0.0))
-            key_d, key_t, to = _documents(did, tie)
-            doc = to[doc]
-            m = len(key_d)
-            add = lambda x, doc=doc, m=m: np.bincount(doc, x, m)
-            sums = [add(n * (w == END)), add(n), add(n * (c_w > 0)), add(n * np.log10(c_w + 0.5)), add(logs), *(add(n * (seen == r)) for r in range(1, TRUST + 1))]
-            held.append([key_d, key_t, *sums])
-            if sum(len(x[0]) for x in held) > 1 << 19:
-                held = [_summed(held)]
-                if len(held[0][0]) > 1 << 18:
-                    yield _by_part(_doc_part(held[0][0], parts), _DOC, held.pop(), 0)
-            miss = np.flatnonzero(seen == 0)
-            asked.append([u[miss], key_d[doc[miss]], key_t[doc[miss]], n[miss]])
-            have = c > 0
-            c2 = c[have]
-            names, to = np.unique(u[first][have], return_inverse=True)
-            kinds = [np.bincount(to, c2 == r, len(names)) for r in range(1, TRUST + 1)] + [np.bincount(to, c2 > TRUST, len(names))]
-            given.append([names, *kinds, np.bincount(to, own[first][have], len(names))])
-            for found, fields, kind in ((asked, _UNSEEN, 2), (given, _CONTEXT, 1)):
-                if sum(len(x[0]) for x in found) > 1 << 19:
-                    yield flush(found, fields, kind)
-            yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([stats.tolist()], pa.list_(pa.int64()))], names=["kind", "part", "blob", "stats"])
-    for found, fields, kind in ((asked, _UNSEEN, 2), (given, _CONTEXT, 1)):
-        if found:
-            yield flush(found, fields, kind)
-    if held:
-        held = _summed(held)
-        yield _by_part(_doc_part(held[0], parts), _DOC, held, 0)
-
-
-def _back_off(batches, parts: int, total: int, d2: np.ndarray):
-    """Backoff weights of the contexts of a part, and with them what the unseen words add to each document."""
-    for table in kernels.groups_in(batches, ["part"]):
-        for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["part"])[1:-1]):
-            kind = table.column("kind").to_numpy()[at]
-            blobs = [table.column("blob")[int(r)].as_py() for r in at]
-            x = _parts_in(_UNSEEN, [b for b, k in zip(blobs, kind, strict=True) if k == 2])
-            f = _parts_in(_CONTEXT, [b for b, k in zip(blobs, kind, strict=True) if k == 1])
-            if not len(x["u"]):
-                continue
-            names, to = np.unique(f["u"], return_inverse=True)
-            left = sum(np.bincount(to, f[f"t{r}"], len(names)) * (r * (1 - d2[r])) for r in range(1, TRUST + 1)) + KEEP * np.bincount(to, f[f"t{TRUST + 1}"], len(names))
-            rest = 1 - np.bincount(to, f["p"], len(names)) / max(total, 1)
-            value = np.zeros(len(x["u"]))
-            if len(names):
-                place = np.minimum(np.searchsorted(names, x["u"]), len(names) - 1)
-                value = np.where(names[place] == x["u"], (np.log10(left) - np.log10(rest))[place], 0.0)
-            key_d, key_t, to = _documents(x["did"], x["tie"])
-            zero = np.zeros(len(key_d))
-            sums = {k: zero for k in _SUMS} | {"logs": np.bincount(to, value * x["n"], len(key_d))}
-            yield _by_part(_doc_part(key_d, parts), _DOC, [key_d, key_t, *sums.values()], 0).select(["part", "blob"])
-
-
-def _add_up(batches, sums: list[int], d2: np.ndarray, starts: int):
-    """One row per document from its sums."""
-    total, kinds = sums[0], sums[1]
-    for table in kernels.groups_in(batches, ["part"]):
-        for at in np.split(np.arange(table.num_rows), kernels.runs(table, ["part"])[1:-1]):
-            f = _parts_in(_DOC, [table.column("blob")[int(r)].as_py() for r in at])
-            key_d, _, to = _documents(f["did"], f["tie"])
-            s = {k: np.bincount(to, f[k], len(key_d)) for k in _SUMS}
-            times = s["rows"].astype(np.int64)
-            score = s["logs"] + sum(s[f"s{r}"] * np.log10(d2[r]) for r in range(1, TRUST + 1)) - (s["rows"] * np.log10(starts) if starts else 0)
-            base = s["base"] - s["tokens"] * np.log10(total + 0.5 * (kinds + 1))
-            each = lambda x, times=times: np.repeat(x / times, times)
-            ids = np.repeat(key_d, times)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=ids == NULL_ID), pa.array(each(s["tokens"]).astype(np.int64)), pa.array(each(s["known"]).astype(np.int64)), pa.array(np.full(len(ids), total)), pa.array(each(base)), pa.array(each(score))],
-                names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+def left_over(small: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """What contexts give away, from how many of their words have a count of 1 to ``TRUST`` (rows); one, with one more in the total, where they have none."""
+    given = (np.asarray(small, float) * (np.arange(1, TRUST + 1) * (1 - d[1:]))[:, None]).sum(0)
+    return np.where(given > 0, given, 1.0)
+
+
+class _Hot:
+    """Sums of the contexts that are dealt over many buckets."""
+
+    def __init__(self, names: np.ndarray, sums: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.sums = names[order], sums[order]
+
+    def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.names):
+            return np.zeros(len(context), bool), np.zeros((len(context), len(_SUMS)))
+        at = np.minimum(np.searchsorted(self.names, context), len(self.names) - 1)
+        return self.names[at] == context, self.sums[at]
+
+
+def _answers(s: dict[str, np.ndarray], order: int, buckets: int, hot: _Hot, d: np.ndarray, blobs: list[bytes]):
+    """The n-grams of a slice, their counts, and of each of their contexts the whole (total, and one more if it has no small count) and log10 of the backoff weight (0 for one never seen)."""
+    g = _Grams(s, order, buckets, hot.names)
+    got = [_load(b) for b in blobs]  # in order of buckets
+    f = {k: np.concatenate([x[k] for x in got]) for k in got[0]}
+    if len(f["c"]) != len(g.w):
+        raise RuntimeError("an answer is missing")
+    if order == 1:
+        return g, f["c"], None, None
+    some, weight = f["some"].astype(bool), np.zeros(len(g.runs))
+    total = f["total"].astype(float)
+    unseen = np.flatnonzero(np.logical_or.reduceat(f["c"] == 0, g.runs)) if len(g.runs) else np.zeros(0, np.int64)
+    small = np.zeros((TRUST, len(g.runs)))
+    lower = np.zeros(len(g.runs))
+    for r in range(TRUST):
+        small[r, unseen] = f[f"t{r + 1}"]
+    lower[unseen] = f["lower"]
+    is_hot, sums = hot.find(g.context[g.runs])
+    total = np.where(is_hot, sums[:, 0], total)
+    small = np.where(is_hot, sums[:, 1 : TRUST + 1].T, small)
+    some = np.where(is_hot, small.sum(0) > 0, some)
+    lower = np.where(is_hot, sums[:, -1], lower)
+    whole = total + ((total > 0) & ~some)
+    ask = np.flatnonzero((total > 0) & (np.logical_or.reduceat(f["c"] == 0, g.runs) if len(g.runs) else False))
+    weight[ask] = np.log10(left_over(small[:, ask], d)) - np.log10(whole[ask]) - np.log10(np.maximum(1 - lower[ask], 1e-300))
+    return g, f["c"], whole, weight
+
+
+def _slices_in(batches):
+    """Each slice with the answers of the buckets."""
+    for table in kernels.groups_in(batches, ["slice"]):
+        for rows in np.split(np.arange(table.num_rows), kernels.runs(table, ["slice"])[1:-1]):
+            pick = lambda k, r=0, table=table, rows=rows: table.column(k)[int(rows[r])].as_py()
+            yield pick, _load(pick("blob")), [pick("blob", r) for r in range(1, len(rows))]
+
+
+def _learn_words(batches, buckets: int, hot: _Hot, frequent: np.ndarray):
+    """A slice with the counts of its words, which are named by codes from now on."""
+    order = np.argsort(frequent)
+    ranked = frequent[order]
+    for pick, s, blobs in _slices_in(batches):
+        g, c, _, _ = _answers(s, 1, buckets, hot, None, blobs)
+        c1 = np.zeros(len(s["names"]), c.dtype)
+        c1[g.w_at] = c
+        names = s["names"]
+        code = names | _TOP
+        if len(ranked):
+            at = np.minimum(np.searchsorted(ranked, names), len(ranked) - 1)
+            code = np.where(ranked[at] == names, order[at].astype(U64) + END + U64(1), code)
+        code = np.where(names == START_HASH, START, np.where(names == END_HASH, END, code))
+        by = np.argsort(code)
+        to = np.empty(len(by), np.uint32)
+        to[by] = np.arange(len(by), dtype=np.uint32)
+        body = _save(**s | {"names": code[by], "c1": c1[by], "tok": to[s["tok"]]})
+        yield pa.RecordBatch.from_arrays([pa.array([pick("slice")]), pa.array([body], pa.binary())], names=["slice", "body"])
+
+
+def _learn_pairs(batches, buckets: int, hot: _Hot, d: np.ndarray):
+    """A slice with the count of each token after the one before, and of each word as a context its whole and backoff weight."""
+    for pick, s, blobs in _slices_in(batches):
+        g, c, whole, weight = _answers(s, 2, buckets, hot, d, blobs)
+        whole2, weight2 = np.zeros(len(s["names"]), U64), np.zeros(len(s["names"]))
+        v = g.v_at[g.runs]
+        whole2[v] = whole.astype(U64)
+        asked = weight != 0  # runs of one context have one weight, or none where nothing was asked
+        weight2[v[asked]] = weight[asked]
+        body = _save(**s | {"c2": c[g.at], "whole2": whole2, "weight2": weight2})
+        yield pa.RecordBatch.from_arrays([pa.array([pick("slice")]), pa.array([body], pa.binary())], names=["slice", "body"])
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(x, 1e-300))
+
+
+def _evaluate(batches, buckets: int, hot: _Hot, d: list[np.ndarray], total: int, kinds: int, whole: float, unknown: float):
+    """Log10 probabilities of the tokens, from the shortest model up, added up by row."""
+    for pick, s, blobs in _slices_in(batches):
+        g, c, wholes, weight = _answers(s, 3, buckets, hot, d[2], blobs)
+        tok = s["tok"].astype(np.int64)
+        w, v = tok[g.own], tok[g.own - 1]
+        c1 = s["c1"].astype(float)
+        p = np.where(c1 > 0, _log(reduced(c1, d[0])) - _log(np.array(max(whole, 1))), _log(np.array(unknown)))[w]
+        c2, whole2 = s["c2"].astype(float), s["whole2"].astype(float)
+        p = np.where(c2 > 0, _log(reduced(c2, d[1])) - _log(whole2)[v], s["weight2"][v] + p)
+        c3, run = c[g.at].astype(float), g.run[g.at]
+        p = np.where(c3 > 0, _log(reduced(c3, d[2])) - _log(wholes)[run], weight[run] + p)
+        rows = len(s["did"])
+        base = np.log10(c1 + 0.5)[w] - np.log10(total + 0.5 * (kinds + 1))
+        sums = [np.bincount(g.row, x, rows) for x in (base, p)]
+        n = [np.bincount(g.row, x, rows).astype(np.int64) for x in (None, (c1 > 0)[w])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(rows, pick("slice"))), pa.array(s["did"], mask=s["did"] == NULL_ID), *map(pa.array, n), pa.array(np.full(rows, total)), *map(pa.array, sums)],
+            names=["slice", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
 
 
 def score(docs: DataFrame, learn: Column) -> DataFrame:
@@ -298,55 +372,89 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     ``base_score`` is the log10 probability under add-half word counts,
     ``score`` that under the model::
 
-        p(w | u) = d(c(u w)) c(u w) / c(u)   for pairs that were seen
-                 = a(u) p(w)                  else; a(u) makes all sum to 1
-        p(w)     = d1(c(w)) c(w) / N          for known words, the rest of 1 for unknown ones
-
-    with u the token before (or the start).  d are Good-Turing discounts for
-    counts to ``TRUST``; larger ones give ``KEEP`` away.  A context that was
-    never seen has a(u) = 1.
-
-    Words are known by 64-bit hashes, words before by 56 bits of them.  Pairs are dealt by word, and
-    those of very frequent words by pair, after repeated ones in a document
-    have been added up; contexts are added up per bucket before they are
-    dealt.  So no word, pair or document is gathered in one task.
+        p(w | u v) = d3(c(u v w)) c(u v w) / c(u v)   for triples that were seen
+                   = a(u v) p(w | v)                  else
+        p(w | v)   = d2(c(v w)) c(v w) / c(v)         for pairs that were seen
+                   = a(v) p(w)                        else
+        p(w)       = d1(c(w)) c(w) / N                for known words, the rest of 1 for unknown ones
+
+    with u v the two tokens before (starts, at the beginning).  d are Katz's
+    Good-Turing discounts for counts to ``TRUST``; larger counts keep what they
+    have.  a make the words after a context sum to 1; a context that was never
+    seen has a = 1.  Where a context has no small count, nothing would be left
+    for unseen words: its total counts one more, and that is left.
+
+    Words, pairs and triples are counted in turn.  A slice of about ``SLICE``
+    bytes of texts asks for its distinct n-grams, with how often its training
+    rows have them.  A bucket is the n-grams of some contexts; it adds up what
+    slices say and answers each.  There is one more bucket for every ``BUCKET``
+    tokens.  Contexts more frequent than a quarter of a bucket are dealt over
+    all buckets by the word too, and only their sums (at most four contexts a
+    bucket) go through the driver.  So an n-gram takes one place in a slice,
+    however often it occurs, and no document is gathered in one task.  Words
+    are known by 64-bit hashes; n-grams and contexts whose hashes agree are
+    compared by their words.
 
     A null text is an empty one, and has only the end.  Without training rows
-    both scores are 0 for each token.  Repeated rows count each; rows with one
-    doc_id and several texts are told apart by a hash of the text.
+    both scores are 0 for each token.  Repeated rows count each, and each has
+    a row in the result.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     short_batches(spark)
     n = partitions(spark)
-    buckets = 4 * n
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    several = materialize(rows.groupBy("did").agg(F.count("*").alias("n")).where("n > 1").select("did"), "repeated")
-    if several.isEmpty():
-        rows = rows.withColumn("tie", F.lit(0).cast("long"))
-    else:
-        rows = rows.join(several.withColumn("again", F.lit(True)), "did", "left").select("did", "text", "learn", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long").alias("tie"))
-
-    dealt = rows.select("text", "learn").mapInArrow(lambda it: kernels.tidily(_count_words(it, buckets)), "bucket int, blob binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    words = materialize(dealt.mapInArrow(_word_table, "bucket int, blob binary, sums array<long>, top array<long>, top_n array<long>"), "words")
-    *sums, starts = (int(x or 0) for x in words.agg(*(F.sum(F.col("sums")[k]) for k in range(TRUST + 4))).first())  # as many starts as ends
-    total = sums[0]
-    tops = words.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.*")
-    often = tops.where(F.col("top_n") > total // (4 * buckets)).collect()  # at most 4 a bucket
-    hot = np.array([x.top for x in often], np.int64).view(U64)
-    order = np.argsort(hot)
-    hot, hot_n = hot[order], np.array([x.top_n for x in often], np.int64)[order]
-    d1 = discounts(sums[2:])
-    given = sum(sums[1 + r] * r * (1 - d1[r]) for r in range(1, TRUST + 1)) + KEEP * (sums[1] - sum(sums[2 : 2 + TRUST]))
-    unknown = given / total if total else 1.0
-    release(spark)
-
-    columns = "kind int, part int, blob binary, stats array<long>"
-    dealt = rows.mapInArrow(lambda it: kernels.tidily(_deal(it, buckets, hot)), "bucket int, pairs binary, places binary, docs binary").repartition(n, "bucket").sortWithinPartitions("bucket")
-    met = materialize(dealt.mapInArrow(lambda it: _meet(it, n, hot, hot_n, total, d1, unknown), columns), "pairs")
-    d2 = discounts([int(x or 0) for x in met.where("kind = 3").agg(*(F.sum(F.col("stats")[k]) for k in range(TRUST + 1))).first()])
-    release(spark)
-
-    asked = met.where("kind in (1, 2)").select("kind", "part", "blob").repartition(n, "part").sortWithinPartitions("part")
-    late = asked.mapInArrow(lambda it: kernels.tidily(_back_off(it, n, total, d2)), "part int, blob binary")
-    parts = met.where("kind = 0").select("part", "blob").unionAll(late).repartition(n, "part").sortWithinPartitions("part")
-    return parts.mapInArrow(lambda it: kernels.tidily(_add_up(it, sums, d2, starts)), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    slices = materialize(rows.mapInArrow(lambda it: kernels.tidily(_slice(it)), "slice long, whole long, part boolean, tokens long, taught long, body binary"), "slices")
+    tokens, taught = (int(x or 0) for x in slices.agg(F.sum("tokens"), F.sum("taught")).first())
+    buckets = max(n, tokens // BUCKET + 1)
+    often = taught / (4 * buckets)
+    none = np.zeros(1, U64)
+
+    def level(state: DataFrame, order: int, hot: np.ndarray, d, whole: float):
+        """Answers of the buckets, counts of counts, sums of hot contexts, and n-grams that are hot contexts of the next level."""
+        asked = state.select("slice", "body").mapInArrow(lambda it: kernels.tidily(_ask(it, order, buckets, hot)), "bucket int, slice long, blob binary")
+        dealt = asked.repartition(n, "bucket").sortWithinPartitions("bucket", "slice")
+        most = 2 * FREQUENT // buckets + 1
+        met = materialize(dealt.mapInArrow(lambda it: kernels.tidily(_meet(it, order, hot, d, whole, often, most)), _MET), "answers")
+        counts = [float(x or 0) for x in met.where(F.col("kind") == _COUNTS).agg(*(F.sum(F.col("stats")[k]) for k in range(TRUST + 2))).first()]
+        sums = met.where(F.col("kind") == _HOT).groupBy("slice").agg(*(F.sum(F.col("stats")[k]).alias(k_) for k, k_ in enumerate(_SUMS))).collect()
+        table = _Hot(np.array([r.slice for r in sums], np.int64).view(U64), np.array([r[1:] for r in sums], float).reshape(-1, len(_SUMS)))
+        return met, counts, table
+
+    def answered(state: DataFrame, met: DataFrame) -> DataFrame:
+        own = state.select("slice", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), F.col("body").alias("blob"))
+        said = met.where(F.col("kind") == _ANSWER).select("slice", "kind", "bucket", "blob")
+        return own.unionAll(said).repartition(n, "slice").sortWithinPartitions("slice", "kind", "bucket")
+
+    met, counts, table1 = level(slices, 1, _context(none, none), None, 1.0)
+    sums = table1.sums.sum(0)
+    d1, total, kinds = discounts(counts), int(sums[0]), int(counts[-1])
+    whole = total + (total > 0 and not sums[1 : TRUST + 1].any())
+    unknown = float(left_over(sums[1 : TRUST + 1, None], d1)[0]) / whole if total else 1.0
+    found = met.where(F.col("kind") == _OFTEN).select("slice", F.col("stats")[0].alias("c"))
+    frequent = np.array([r.slice for r in found.orderBy(F.desc("c"), "slice").limit(FREQUENT).collect()], np.int64).view(U64)  # only for short codes
+    hot_words = np.array([r.slice for r in found.where(F.col("c") > often).collect()], np.int64).view(U64)
+    state = materialize(answered(slices, met).mapInArrow(lambda it: kernels.tidily(_learn_words(it, buckets, table1, frequent)), "slice long, body binary"), "words")
+    discard(met)
+
+    codes = {int(w): k + int(END) + 1 for k, w in enumerate(frequent)} | {int(END_HASH): int(END)}
+    hot_codes = np.array([codes.get(int(w), int(w) | int(_TOP)) for w in hot_words], U64)
+    hot = np.unique(_context(np.append(np.zeros(len(hot_codes), U64), NONE), np.append(hot_codes, START)))
+    met, counts, table2 = level(state, 2, hot, d1, float(whole))
+    d2 = discounts(counts)
+    pairs = [r.slice for r in met.where(F.col("kind") == _OFTEN).select("slice").collect()]
+    hot = np.unique(np.append(np.array(pairs, np.int64).view(U64), _context(START[None], START[None])))
+    before, state = state, materialize(answered(state, met).mapInArrow(lambda it: kernels.tidily(_learn_pairs(it, buckets, table2, d2)), "slice long, body binary"), "pairs")
+    discard(met)
+    discard(before)
+
+    met, counts, table3 = level(state, 3, hot, d2, 1.0)
+    d = [d1, d2, discounts(counts)]
+    columns = "slice long, doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scored = answered(state, met).mapInArrow(lambda it: kernels.tidily(_evaluate(it, buckets, table3, d, total, kinds, float(whole), unknown)), columns)
+    pieces = slices.where("part").select("slice", "whole")
+    out = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    if pieces.isEmpty():
+        return scored.select(*out)
+    scored = scored.join(pieces, "slice", "left")
+    whole_rows = scored.where("whole is not null").groupBy("whole", "doc_id", "train_tokens").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    return scored.where("whole is null").select(*out).unionAll(whole_rows.select(*out))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cloudloom.llm import katz
 from cloudloom.llm.queries import op9_katz_scoring
 
-T, KEEP = katz.TRUST, katz.KEEP
+T = katz.TRUST
 
 
 def tokens(text):
@@ -19,42 +19,47 @@ def tokens(text):
 
 
 class Brute:
+    """The model by dictionaries: contexts are tuples of up to two tokens."""
+
     def __init__(self, texts):
-        self.one, self.two, self.ctx = Counter(), Counter(), Counter()
-        self.after = defaultdict(set)
+        self.count = [Counter(), Counter(), Counter()]
+        self.after = defaultdict(Counter)
         for t in texts:
-            before = "<start>", 1
+            u, v = "<s>", "<s>"
             for w in tokens(t):
-                self.one[w] += 1
-                self.two[before, w] += 1
-                self.ctx[before] += 1
-                self.after[before].add(w)
-                before = w
+                for k, context in enumerate(((), (v,), (u, v))):
+                    self.count[k][(*context, w)] += 1
+                    self.after[context][w] += 1
+                u, v = v, w
+        self.one = Counter({w: n for (w,), n in self.count[0].items()})
         self.n = sum(self.one.values())
-        count = lambda c: [sum(v == r for v in c.values()) for r in range(1, T + 2)]
-        self.d1, self.d2 = katz.discounts(count(self.one)), katz.discounts(count(self.two))
-
-    def less(self, c, d):
-        return c - KEEP if c > T else c * d[c]
-
-    def word(self, w):
-        if w in self.one:
-            return self.less(self.one[w], self.d1) / self.n
-        return 1 - sum(self.less(c, self.d1) for c in self.one.values()) / self.n if self.n else 1.0
-
-    def p(self, w, u):
-        if self.two[u, w]:
-            return self.less(self.two[u, w], self.d2) / self.ctx[u]
-        if u not in self.after:
-            return self.word(w)
-        left = 1 - sum(self.less(self.two[u, x], self.d2) for x in self.after[u]) / self.ctx[u]
-        return left / (1 - sum(self.word(x) for x in self.after[u])) * self.word(w)
+        self.d = [katz.discounts([sum(v == r for v in c.values()) for r in range(1, T + 2)]) for c in self.count]
+
+    def whole(self, context):
+        """The total that counts are divided by, and what is left of it."""
+        after, d = self.after[context], self.d[len(context)]
+        left = sum(c * (1 - d[c]) for c in after.values() if c <= T)
+        total = sum(after.values())
+        return (total, left) if left else (total + 1, 1)
+
+    def p(self, w, context):
+        if context and context not in self.after:
+            return self.p(w, context[1:])
+        if not context and not self.n:
+            return 1.0
+        total, left = self.whole(context)
+        c = self.after[context][w] if w in self.after[context] else 0
+        if c:
+            return (c if c > T else c * self.d[len(context)][c]) / total
+        if not context:
+            return left / total
+        return left / total / (1 - sum(self.p(x, context[1:]) for x in self.after[context])) * self.p(w, context[1:])
 
     def score(self, text):
-        total, u = 0.0, ("<start>", 1)
+        total, u, v = 0.0, "<s>", "<s>"
         for w in tokens(text):
-            total += math.log10(self.p(w, u))
-            u = w
+            total += math.log10(self.p(w, (u, v)))
+            u, v = v, w
         return total
 
 
@@ -77,25 +82,45 @@ def expected(rows):
     return m, out
 
 
-def test_query_equals_brute_force(spark, tmp_path):
-    rows = corpus(4)
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    model, want = expected(rows)
-    got = op9_katz_scoring(spark, str(tmp_path)).collect()
-    assert len(got) == len(rows)
+def same(got, want):
+    assert len(got) == len(want)
     for r in got:
         w = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
         assert r.base_score == pytest.approx(w[4], abs=1e-8)
         assert r.score == pytest.approx(w[5], abs=1e-8)
-    for u in ["w0", "w3", "the", ("<start>", 1), "never"]:  # all known words and the unknown one
-        assert sum(model.p(w, u) for w in [*model.one, "?"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("partitions", "slice_", "frequent", "bucket"), [(1, 1 << 22, 65536, 500_000), (4, 2000, 10, 300), (37, 500, 65536, 50)])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, partitions, slice_, frequent, bucket):
+    for k, v in (("SLICE", slice_), ("FREQUENT", frequent), ("BUCKET", bucket)):
+        monkeypatch.setattr(katz, k, v)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rows = corpus(4)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    model, want = expected(rows)
+    same(op9_katz_scoring(spark, str(tmp_path)).collect(), want)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for context in [(), ("w0",), ("w3", "w0"), ("<s>", "<s>"), ("always", "the"), ("never", "w1"), ("never",)]:  # all known words and the unknown one
+        assert sum(model.p(w, context) for w in [*model.one, "?"]) == pytest.approx(1)
+
+
+def test_a_pair_in_every_document_and_a_very_long_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(katz, "BUCKET", 2000)
+    monkeypatch.setattr(katz, "SLICE", 4000)
+    monkeypatch.setattr(katz.kernels, "PIECE", 1000)
+    rng = random.Random(9)
+    rows = [(i, f"hot pair w{rng.randrange(9)} hot pair x{i}") for i in range(400)]
+    rows += [(1000 + k, " ".join(rng.choices([f"w{i}" for i in range(300)], k=6000))) for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    same(op9_katz_scoring(spark, str(tmp_path)).collect(), expected(rows)[1])
 
 
 def test_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert katz.score(empty, F.lit(True)).collect() == []
-    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c"), (None, "a")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "y"), (1, "c", "z"), (None, "a", None)], "doc_id long, text string, slice string")
     got = katz.score(docs, F.lit(True)).collect()
     assert sorted(((r.doc_id or 0), r.n_tokens) for r in got) == [(0, 2), (1, 2), (1, 3), (1, 3)]
     m = Brute(["a b", "a b", "c", "a"])
