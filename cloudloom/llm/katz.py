@@ -19,11 +19,9 @@ ORDER = 3
 TRUST = 5  # counts above it keep what they have
 SLICE = 4 << 20  # bytes of text that are worked on at once
 BUCKET = 500_000  # tokens for which there is one more bucket
-FREQUENT = 65_536  # words that get a short code; others are known by their hash
 START_HASH, END_HASH = U64(0x5354415254), U64(0x454E44)
-NONE, START, END = U64(0), U64(1), U64(2)  # codes; those of frequent words follow
+NONE, START, FIRST = U64(0), U64(1), U64(2)  # codes; those of words begin with FIRST
 NULL_ID = -(2**63)
-_TOP = U64(1 << 63)
 _W = 21  # bits of a word's place in the dictionary of a slice
 _SUMS = ["total", *(f"t{r}" for r in range(1, TRUST + 1)), "lower"]
 
@@ -115,7 +113,7 @@ class _Grams:
         keys, at = np.unique(key, return_inverse=True)
         mask = U64((1 << _W) - 1)
         w, v, u = (((keys >> U64(_W * b)) & mask).astype(np.int64) for b in range(3))
-        names = s["names"]
+        names = s["names"] if order == 1 else np.cumsum(s["names"], dtype=U64)
         none = np.zeros(len(keys), U64)
         code = names[w], (names[v] if order > 1 else none), (names[u] if order > 2 else none)
         context = _context(code[2], code[1])
@@ -153,7 +151,7 @@ def _ask(batches, order: int, buckets: int, hot: np.ndarray):
             blobs = []
             for a, b in zip(c[:-1], c[1:], strict=True):
                 p, q = np.searchsorted(g.runs, (a, b))
-                about = {"u": g.u[g.runs[p:q]], "v": g.v[g.runs[p:q]], "whole": whole[p:q]} if order > 1 else {}
+                about = {"u": np.diff(g.u[g.runs[p:q]], prepend=NONE), "v": g.v[g.runs[p:q]], "whole": whole[p:q]} if order > 1 else {}
                 blobs.append(_save(**about, run=np.diff(ends[p : q + 1]).astype(np.uint32), w=g.w[a:b], n=g.n[a:b], lower=lower[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array(g.bucket[c[:-1]].astype(np.int32)), pa.array(np.full(len(blobs), slice_)), pa.array(blobs, pa.binary())], names=["bucket", "slice", "blob"])
 
@@ -175,12 +173,14 @@ def _row(kind: int, ids, bucket: int, blobs, stats):
     )
 
 
-def _meet(batches, order: int, hot: np.ndarray, d: np.ndarray, whole: float, often: float, most: int):
-    """The table of a bucket: counts of its n-grams, and of each context all counts, how many are 1 to ``TRUST`` and what the words after it have in the shorter model; answers to each slice."""
+def _meet(batches, order: int, buckets: int, hot: np.ndarray, d: np.ndarray, whole: float, often: float):
+    """The table of a bucket: counts of its n-grams, and of each context all counts, how many are 1 to ``TRUST`` and what the words after it have in the shorter model; answers to each slice.  Words get a code here."""
     for table in kernels.groups_in(batches, ["bucket"]):
         for rows in np.split(np.arange(table.num_rows), kernels.runs(table, ["bucket"])[1:-1]):
             bucket = table.column("bucket")[int(rows[0])].as_py()
             asked = [_load(table.column("blob")[int(r)].as_py()) for r in rows]
+            if order > 1:
+                asked = [x | {"u": np.cumsum(x["u"], dtype=U64)} for x in asked]
             slices = table.column("slice").to_numpy()[rows]
             f = {k: np.concatenate([x[k] for x in asked]) for k in asked[0]}
             size = [len(x["w"]) for x in asked]
@@ -216,11 +216,12 @@ def _meet(batches, order: int, hot: np.ndarray, d: np.ndarray, whole: float, oft
             if len(split):
                 yield _row(_HOT, names[split].view(np.int64), bucket, None, np.column_stack([total, *small, s])[split].tolist())
             if order == 1:
-                top = np.union1d(np.argsort(-c, kind="stable")[:most], np.flatnonzero(c > often))
-                yield _row(_OFTEN, f["w"][x[top]].view(np.int64), bucket, None, c[top, None].astype(float).tolist())
-            elif order < ORDER and (c > often).any():
+                code = np.empty(len(n), U64)  # the most frequent words have the least codes
+                code[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=U64) * U64(buckets) + U64(bucket) + FIRST
+            if order < ORDER and (c > often).any():
                 top = x[c > often]
-                yield _row(_OFTEN, _context(np.repeat(f["v"], f["run"])[top], f["w"][top]).view(np.int64), bucket, None, c[c > often, None].astype(float).tolist())
+                known = _context(np.repeat(f["v"], f["run"])[top], f["w"][top] if order > 1 else code[held][c > often])
+                yield _row(_OFTEN, known.view(np.int64), bucket, None, None)
             ends, run_ends = np.cumsum(size), np.cumsum(runs)
             run_first = np.cumsum(f["run"], dtype=np.int64) - f["run"]
             blobs = []
@@ -228,7 +229,9 @@ def _meet(batches, order: int, hot: np.ndarray, d: np.ndarray, whole: float, oft
                 e = slice(ends[k] - size[k], ends[k])
                 own = run_at[run_ends[k] - runs[k] : run_ends[k]]
                 answer = {"c": count[e].astype(np.uint32 if len(count) and count.max() < 2**32 else U64)}
-                if order > 1:
+                if order == 1:
+                    answer["code"] = code[place[e]] // U64(buckets)
+                else:
                     answer["total"] = total[own].astype(U64)
                     answer["some"] = (sum(small)[own] > 0).astype(np.uint8)
                     begin = run_first[run_ends[k] - runs[k] : run_ends[k]] - (ends[k] - size[k])
@@ -277,7 +280,7 @@ def _answers(s: dict[str, np.ndarray], order: int, buckets: int, hot: _Hot, d: n
     if len(f["c"]) != len(g.w):
         raise RuntimeError("an answer is missing")
     if order == 1:
-        return g, f["c"], None, None
+        return g, f["c"], f["code"] * U64(buckets) + g.bucket + FIRST, None
     some, weight = f["some"].astype(bool), np.zeros(len(g.runs))
     total = f["total"].astype(float)
     unseen = np.flatnonzero(np.logical_or.reduceat(f["c"] == 0, g.runs)) if len(g.runs) else np.zeros(0, np.int64)
@@ -305,24 +308,16 @@ def _slices_in(batches):
             yield pick, _load(pick("blob")), [pick("blob", r) for r in range(1, len(rows))]
 
 
-def _learn_words(batches, buckets: int, hot: _Hot, frequent: np.ndarray):
+def _learn_words(batches, buckets: int, hot: _Hot):
     """A slice with the counts of its words, which are named by codes from now on."""
-    order = np.argsort(frequent)
-    ranked = frequent[order]
     for pick, s, blobs in _slices_in(batches):
-        g, c, _, _ = _answers(s, 1, buckets, hot, None, blobs)
-        c1 = np.zeros(len(s["names"]), c.dtype)
-        c1[g.w_at] = c
-        names = s["names"]
-        code = names | _TOP
-        if len(ranked):
-            at = np.minimum(np.searchsorted(ranked, names), len(ranked) - 1)
-            code = np.where(ranked[at] == names, order[at].astype(U64) + END + U64(1), code)
-        code = np.where(names == START_HASH, START, np.where(names == END_HASH, END, code))
+        g, c, codes, _ = _answers(s, 1, buckets, hot, None, blobs)
+        c1, code = np.zeros(len(s["names"]), c.dtype), np.full(len(s["names"]), START)
+        c1[g.w_at], code[g.w_at] = c, codes
         by = np.argsort(code)
         to = np.empty(len(by), np.uint32)
         to[by] = np.arange(len(by), dtype=np.uint32)
-        body = _save(**s | {"names": code[by], "c1": c1[by], "tok": to[s["tok"]]})
+        body = _save(**s | {"names": np.diff(code[by], prepend=NONE), "c1": c1[by], "tok": to[s["tok"]]})
         yield pa.RecordBatch.from_arrays([pa.array([pick("slice")]), pa.array([body], pa.binary())], names=["slice", "body"])
 
 
@@ -413,13 +408,17 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
         """Answers of the buckets, counts of counts, sums of hot contexts, and n-grams that are hot contexts of the next level."""
         asked = state.select("slice", "body").mapInArrow(lambda it: kernels.tidily(_ask(it, order, buckets, hot)), "bucket int, slice long, blob binary")
         dealt = asked.repartition(n, "bucket").sortWithinPartitions("bucket", "slice")
-        most = 2 * FREQUENT // buckets + 1
-        met = materialize(dealt.mapInArrow(lambda it: kernels.tidily(_meet(it, order, hot, d, whole, often, most)), _MET), "answers")
+        met = materialize(dealt.mapInArrow(lambda it: kernels.tidily(_meet(it, order, buckets, hot, d, whole, often)), _MET), "answers")
         counts = [float(x or 0) for x in met.where(F.col("kind") == _COUNTS).agg(*(F.sum(F.col("stats")[k]) for k in range(TRUST + 2))).first()]
         sums = met.where(F.col("kind") == _HOT).groupBy("slice").agg(*(F.sum(F.col("stats")[k]).alias(k_) for k, k_ in enumerate(_SUMS))).collect()
         table = _Hot(np.array([r.slice for r in sums], np.int64).view(U64), np.array([r[1:] for r in sums], float).reshape(-1, len(_SUMS)))
         return met, counts, table
 
+    def heavy(met: DataFrame, start: tuple) -> np.ndarray:
+        """The contexts of the next level that are dealt over many buckets."""
+        often = [r.slice for r in met.where(F.col("kind") == _OFTEN).select("slice").collect()]
+        return np.unique(np.append(np.array(often, np.int64).view(U64), _context(np.array([start[0]]), np.array([start[1]]))))
+
     def answered(state: DataFrame, met: DataFrame) -> DataFrame:
         own = state.select("slice", F.lit(0).alias("kind"), F.lit(-1).alias("bucket"), F.col("body").alias("blob"))
         said = met.where(F.col("kind") == _ANSWER).select("slice", "kind", "bucket", "blob")
@@ -430,19 +429,15 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     d1, total, kinds = discounts(counts), int(sums[0]), int(counts[-1])
     whole = total + (total > 0 and not sums[1 : TRUST + 1].any())
     unknown = float(left_over(sums[1 : TRUST + 1, None], d1)[0]) / whole if total else 1.0
-    found = met.where(F.col("kind") == _OFTEN).select("slice", F.col("stats")[0].alias("c"))
-    frequent = np.array([r.slice for r in found.orderBy(F.desc("c"), "slice").limit(FREQUENT).collect()], np.int64).view(U64)  # only for short codes
-    hot_words = np.array([r.slice for r in found.where(F.col("c") > often).collect()], np.int64).view(U64)
-    state = materialize(answered(slices, met).mapInArrow(lambda it: kernels.tidily(_learn_words(it, buckets, table1, frequent)), "slice long, body binary"), "words")
+    state = materialize(answered(slices, met).mapInArrow(lambda it: kernels.tidily(_learn_words(it, buckets, table1)), "slice long, body binary"), "words")
+    hot = heavy(met, (NONE, START))
     discard(met)
+    pieces = materialize(slices.where("part").select("slice", "whole"), "pieces")
+    discard(slices)
 
-    codes = {int(w): k + int(END) + 1 for k, w in enumerate(frequent)} | {int(END_HASH): int(END)}
-    hot_codes = np.array([codes.get(int(w), int(w) | int(_TOP)) for w in hot_words], U64)
-    hot = np.unique(_context(np.append(np.zeros(len(hot_codes), U64), NONE), np.append(hot_codes, START)))
     met, counts, table2 = level(state, 2, hot, d1, float(whole))
     d2 = discounts(counts)
-    pairs = [r.slice for r in met.where(F.col("kind") == _OFTEN).select("slice").collect()]
-    hot = np.unique(np.append(np.array(pairs, np.int64).view(U64), _context(START[None], START[None])))
+    hot = heavy(met, (START, START))
     before, state = state, materialize(answered(state, met).mapInArrow(lambda it: kernels.tidily(_learn_pairs(it, buckets, table2, d2)), "slice long, body binary"), "pairs")
     discard(met)
     discard(before)
@@ -451,7 +446,6 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     d = [d1, d2, discounts(counts)]
     columns = "slice long, doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     scored = answered(state, met).mapInArrow(lambda it: kernels.tidily(_evaluate(it, buckets, table3, d, total, kinds, float(whole), unknown)), columns)
-    pieces = slices.where("part").select("slice", "whole")
     out = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     if pieces.isEmpty():
         return scored.select(*out)

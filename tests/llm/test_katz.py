@@ -91,9 +91,9 @@ def same(got, want):
         assert r.score == pytest.approx(w[5], abs=1e-8)
 
 
-@pytest.mark.parametrize(("partitions", "slice_", "frequent", "bucket"), [(1, 1 << 22, 65536, 500_000), (4, 2000, 10, 300), (37, 500, 65536, 50)])
-def test_query_equals_brute_force(spark, tmp_path, monkeypatch, partitions, slice_, frequent, bucket):
-    for k, v in (("SLICE", slice_), ("FREQUENT", frequent), ("BUCKET", bucket)):
+@pytest.mark.parametrize(("partitions", "slice_", "bucket"), [(1, 1 << 22, 500_000), (4, 2000, 300), (13, 500, 50)])
+def test_query_equals_brute_force(spark, tmp_path, monkeypatch, partitions, slice_, bucket):
+    for k, v in (("SLICE", slice_), ("BUCKET", bucket)):
         monkeypatch.setattr(katz, k, v)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
