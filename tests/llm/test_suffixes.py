@@ -47,12 +47,13 @@ def corpus(seed=1):
     return rows
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "bits", "slice_bytes"), [(4096, 64, 1 << 20), (3, 64, 700), (4096, 3, 1500)])
+def test_equals_brute_force(spark, monkeypatch, hot, bits, slice_bytes):
+    """Also with groups that are split, texts longer than a slice, and different runs with one hash."""
     monkeypatch.setattr(suffixes, "HOT", hot)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, start string").repartition(5)
-    got = suffixes.repeated_strings(docs).collect()
+    got = suffixes.repeated_strings(docs, bits=bits, slice_bytes=slice_bytes).collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
@@ -63,6 +64,17 @@ def test_query_equals_brute_force_on_a_table(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+def test_a_passage_in_every_document(spark, monkeypatch):
+    """Its grams are dealt by content, and its windows are sorted in parts."""
+    monkeypatch.setattr(suffixes, "SAMPLE", 1)
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    rng = random.Random(5)
+    passage = random_text(rng, 150)
+    rows = [(i, random_text(rng, 60) + passage + random_text(rng, 60)) for i in range(120)] + [(500, random_text(rng, 90_000) + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(map(tuple, suffixes.repeated_strings(docs, slice_bytes=3000).collect())) == sorted(brute(rows))
+
+
 def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.repeated_strings(docs).collect() == []
