@@ -11,55 +11,79 @@ from cloudloom.functions.tables import discard, materialize
 from cloudloom.operators import grid, spatial
 
 
+ONE_TASK = 1 << 20  # edges that one task may hold
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """A star forest with the components that the edges have, by repeated hooking onto the least neighbour."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b):
+            np.minimum.at(new, root[end], low)
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(nodes))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
+
+
 def _shrink(batches):
-    """The edges of a task as a star forest with the same components, by repeated hooking onto the least neighbour."""
     for batch in batches:
-        nodes, at = np.unique(np.concatenate([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
-        a, b = at[: batch.num_rows], at[batch.num_rows :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[a], root[b])
-            new = root.copy()
-            for end in (a, b):
-                np.minimum.at(new, root[end], low)
-                np.minimum.at(new, end, low)
-            while (new[new] != new).any():
-                new = new[new]
-            if (new == root).all():
-                break
-            root = new
-        moved = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["u", "v"])
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of all nodes of an edge table (u, v) of longs; a component is named by its least node.
-
-    Rounds of hooking and shortcutting on a table of (node, parent): each
-    parent with a lower neighbouring parent is hooked onto the least one, then
-    every node takes its parent's parent.  Least values come from partial
-    aggregates, so no node's neighbours are gathered, and each round is cut by
-    a table in the shared folder.
+        yield _stars(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+
+
+def _settle(batches):
+    held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+    if held:
+        yield _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, component) for each node of an edge table (u, v), both long: the least node that can be reached.
+
+    Each batch is reduced to a forest where it is read.  At most ``one_task``
+    edges are settled in one task, which then holds them.  While there are
+    more, large-star and small-star steps alternate, which need O(log^2 n)
+    rounds on any graph.  A node's neighbours are never gathered: its least one
+    comes from a partial aggregate and is joined back, and AQE splits the join
+    where one node has many edges.  Self-loops and repeated edges do no harm;
+    nulls and nodes without edges aren't in the result.  No edges give no rows.
     """
     u, v = F.col("u"), F.col("v")
     edges = edges.select(u.cast("long").alias("u"), v.cast("long").alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
-    links = materialize(edges.mapInArrow(_shrink, "u long, v long").distinct(), "links")
-    nodes = links.select(u.alias("node")).unionAll(links.select(v.alias("node"))).distinct()
-    parents = materialize(nodes.select("node", F.col("node").alias("parent")), "parents")
+    held = materialize(edges.mapInArrow(_shrink, "u long, v long").distinct(), "edges")
+    checksum = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    said = checksum(held)
     for _ in range(most_rounds):
-        p = parents.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        q = parents.select(F.col("node").alias("v"), F.col("parent").alias("pv"))
-        ends = links.join(p, "u").join(q, "v").where("pu <> pv")
-        hooks = ends.groupBy(F.greatest("pu", "pv").alias("parent")).agg(F.min(F.least("pu", "pv")).alias("to"))
-        hooked = parents.join(hooks, "parent", "left").select("node", F.coalesce("to", "parent").alias("parent"))
-        up = hooked.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        new = materialize(hooked.join(up, "parent").select("node", F.col("above").alias("parent")), "parents")
-        same = new.join(parents.withColumnRenamed("parent", "old"), "node").where("parent <> old").isEmpty()
-        discard(parents)
-        parents = new
-        if same:
-            return parents.select("node", F.col("parent").alias("component"))
-    raise RuntimeError("components did not settle")
+        if said[0] <= one_task:
+            settled = held.coalesce(1).mapInArrow(_settle, "u long, v long")
+            new = materialize(settled, "edges")
+            discard(held)
+            held = new
+            break
+        both = held.unionAll(held.select(v.alias("u"), u.alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        large = both.join(least, "u").where(v > u).select(v.alias("u"), F.col("m").alias("v")).where(u != v).distinct()
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = down.join(low, "u").select(F.explode(F.array(F.struct(v.alias("u"), F.col("m").alias("v")), F.struct(u.alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where(u != v)
+        new = materialize(small.distinct(), "edges")
+        now = checksum(new)
+        discard(held)
+        held = new
+        if now == said:
+            break
+        said = now
+    else:
+        raise RuntimeError("components did not settle")
+    return held.select(u.alias("node"), v.alias("component")).unionAll(held.select(v.alias("node"), v.alias("component")).distinct())
 
 
 def components_of(pairs: DataFrame, vertices: DataFrame, key: str, other: str) -> DataFrame:
