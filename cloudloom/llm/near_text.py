@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.components import connected_components
-from cloudloom.llm.storage import materialize, partitions, release, short_batches
+from cloudloom.operators.graph import connected_components
+from cloudloom.llm.storage import discard, materialize, partitions, short_batches
 
 U64 = np.uint64
 BLOCK = 4096  # members of a posting list that are compared at once
@@ -34,14 +34,14 @@ def _read(batches, width: int, coordinates: int, with_sets: bool):
             named = [pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))]
             if with_sets:
                 raw = sets.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array([raw[8 * ends[r] : 8 * ends[r + 1]] for r in range(len(n))], pa.binary())], names=["cid", "words"])
+                yield pa.RecordBatch.from_arrays([*named[1:], pa.array([raw[8 * ends[r] : 8 * ends[r + 1]] for r in range(len(n))], pa.binary())], names=["one", "two", "words"])
                 continue
             sig = np.zeros((len(n), coordinates), np.int64)
             if len(full):
                 for k in range(coordinates):
                     sig[full, k] = np.minimum.reduceat(sets * factors[k], where).view(np.int64)
             flat = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * coordinates, pa.array(sig.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids, *named, flat], names=["doc_id", "n_shingles", "cid", "second", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, *named, flat], names=["doc_id", "n_shingles", "one", "two", "sig"])
 
 
 def _common(batches, num: int, den: int):
@@ -139,7 +139,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     ``coordinates`` values.  Two sets with similarity 0.75 agree in fewer than
     13 of 32 with a probability of 8e-6.
 
-    * Equal sets form a class, of which one set goes on.
+    * Equal sets form a class, of which one set goes on.  Sets are known to be
+      equal by 128 bits of their shingles, classes by a number.
     * A class is posted under each signature value that another class has too.
       Of its values, sorted by how many classes share them, only the first
       ``coordinates - matches + 1`` make pairs: two classes that agree in
@@ -161,8 +162,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = materialize(rows.mapInArrow(lambda it: kernels.tidily(_read(it, width, coordinates, False)), "doc_id long, n_shingles long, cid long, second long, sig array<long>"), "signatures")
-    classes = materialize(read.where("n_shingles > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    read = materialize(rows.mapInArrow(lambda it: kernels.tidily(_read(it, width, coordinates, False)), "doc_id long, n_shingles long, one long, two long, sig array<long>"), "signatures")
+    grouped = read.where("n_shingles > 0").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     tokens = classes.select("cid", F.explode("sig").alias("tok"))
     shared = tokens.groupBy("tok").agg(F.count("*").alias("n")).where("n > 1")
@@ -170,10 +172,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     posted = F.size("t") - F.lit(matches - 1)  # a value that no other class has comes first in the order, and makes no pair
     postings = materialize(ranked.where(posted > 0).select("cid", F.explode(F.slice("t", F.lit(1), posted)).alias("e")).select("cid", "e.tok"), "postings")
 
-    reps = postings.select("cid").distinct().join(classes.select("cid", "rep"), "cid").select(F.col("rep").alias("doc_id")).distinct()
-    asked = rows.join(reps, "doc_id", "left_semi").unionAll(rows.where("doc_id is null"))  # a class may have no id
-    sets = materialize(asked.mapInArrow(lambda it: kernels.tidily(_read(it, width, 0, True)), "cid long, words binary").join(postings.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    release(spark)  # the texts and tokens that were dealt out
+    met = classes.join(postings.select("cid").distinct(), "cid", "left_semi").select("cid", "one", "two", "rep")
+    asked = rows.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").unionAll(rows.where("doc_id is null"))  # a class may have no id
+    held = asked.mapInArrow(lambda it: kernels.tidily(_read(it, width, 0, True)), "one long, two long, words binary")
+    sets = materialize(held.join(met.select("cid", "one", "two"), ["one", "two"]).select("cid", "words").dropDuplicates(["cid"]), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("cid").alias("a"), F.col("words").alias("a_words"))
@@ -184,7 +186,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     stars = postings.join(least, "tok").where("cid <> a").groupBy("cid", "a").agg(F.count("*").alias("n"))
     best = stars.groupBy("cid").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("cid").alias("b"))
     first = materialize(confirmed(best), "links")
-    release(spark)
 
     placed = postings.join(classes.select("cid", "sig"), "cid").select("cid", F.expr("shiftleft(1L, cast(array_position(sig, tok) as int) - 1)").alias("bit"))
     known = classes.select("cid", "sig").join(placed.groupBy("cid").agg(F.bit_or("bit").alias("mask")), "cid")
@@ -203,13 +204,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     pairs = mixed(first, None).mapInArrow(lambda it: kernels.tidily(_collisions(it, matches)), "a long, b long").distinct()
     first = materialize(first.unionAll(confirmed(pairs)), "links")
-    release(spark)
     second = materialize(mixed(first, sets).mapInArrow(lambda it: kernels.tidily(_settle(it, matches, num, den)), "u long, v long"), "links")
-    release(spark)
 
     comps = connected_components(first.unionAll(second))
-    rooted = classes.select("cid", "rep").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "rep", F.coalesce("component", "cid").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cid", "component_id")
-    out = read.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
+    for table in (postings, sets, first, second):
+        discard(table)
+    rooted = classes.select("cid", "one", "two", "rep").join(comps, F.col("cid") == F.col("node"), "left").select("one", "two", "rep", F.coalesce("component", "cid").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("one", "two", "component_id")
+    out = read.select("doc_id", "n_shingles", "one", "two").join(named, ["one", "two"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.components import connected_components
+from cloudloom.operators.graph import connected_components
 from cloudloom.llm.storage import materialize, partitions
 
 U64 = np.uint64

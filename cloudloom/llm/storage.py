@@ -1,15 +1,12 @@
-"""Tables that cut lineage, and what a long plan gives back before it goes on."""
+"""Tables that cut lineage, and what the session is told."""
 
 from __future__ import annotations
 
-import gc
-import time
-
 from pyspark.sql import SparkSession
 
 from cloudloom.functions.tables import discard, materialize, shared_folder
 
-__all__ = ["discard", "materialize", "partitions", "release", "shared_folder", "short_batches"]
+__all__ = ["discard", "materialize", "partitions", "shared_folder", "short_batches"]
 
 BATCH_ROWS = 2500
 
@@ -24,15 +21,3 @@ def short_batches(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle makes here."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are done.
-
-    It does so when the driver's JVM has collected them, and that waits for
-    listeners to have seen the plans' last events; hence twice, after a moment.
-    """
-    for _ in range(2):
-        time.sleep(1)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from cloudloom.llm import kernels
-from cloudloom.llm.components import connected_components
+from cloudloom.operators.graph import connected_components
 
 
 def brute(pairs):
@@ -19,12 +19,13 @@ def brute(pairs):
     return {i: find(i) for i in root}
 
 
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
 @pytest.mark.parametrize("shape", ["chain", "star", "random"])
-def test_known_graphs(spark, shape):
+def test_known_graphs(spark, shape, one_task):
     rng = np.random.default_rng(1)
     pairs = {"chain": [(i, i + 1) for i in range(300)], "star": [(999, i) for i in range(200)], "random": [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2)) if a != b]}[shape]
     df = spark.createDataFrame(pairs + [(5, 5), (None, 1)], "u long, v long").repartition(9)
-    got = connected_components(df).collect()
+    got = connected_components(df, one_task=one_task).collect()
     assert {r.node: r.component for r in got} == brute(pairs) and len(got) == len({i for p in pairs for i in p})
 
 
