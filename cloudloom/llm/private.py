@@ -19,6 +19,11 @@ BASE = {
     "card": re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# the same matches in linear time: one that starts within a run of these characters fails or succeeds as one from the run's first does
+LINEAR = {
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+}
 LOOSE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE),
     "phone": re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
@@ -101,13 +106,27 @@ def _within(kind: str, found: str):
         i = hit[0] + 1 if hit else i + 1
 
 
+def base_matches(kind: str, text: str):
+    """The matches of the kind's base pattern, leftmost and not overlapping."""
+    if kind not in LINEAR:
+        yield from BASE[kind].finditer(text)
+        return
+    at, m = 0, None
+    while True:
+        m = (BASE[kind].match(text, at) if m and kind == "email" else None) or LINEAR[kind].search(text, at)  # an email may begin where one ended, within a run
+        if not m:
+            return
+        yield m
+        at = m.end()
+
+
 def candidates(text: str):
     """(kind, start, end, strict, pattern) of all candidate spans; pattern is what labelers and classifier see."""
     lettered, numbered = "@" in text, re.search("[0-9]", text) is not None
     for kind in KINDS:
         taken = []
         if lettered if kind == "email" else numbered:
-            for m in BASE[kind].finditer(text):
+            for m in base_matches(kind, text):
                 strict = valid(kind, m[0])
                 if strict or kind != "card" or len(m[0]) >= 13:
                     taken.append((m.start(), m.end()))

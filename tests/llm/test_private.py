@@ -1,5 +1,9 @@
+import random
 import hashlib
 import re
+import time
+
+import pytest
 
 import numpy as np
 
@@ -74,3 +78,18 @@ def test_numbers_that_run_into_others_are_added():
     base, every = private.spans(text, model)
     assert base == [("ip", 56, 71)]
     assert ("card", 17, 33) in every and ("phone", 38, 55) in every
+
+
+def test_linear_patterns_find_what_the_plain_ones_do():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices("aB1.2_@-% ", [3, 1, 3, 4, 2, 1, 3, 1, 1, 1], k=40))
+        for kind in private.LINEAR:
+            assert [m.span() for m in private.base_matches(kind, text)] == [m.span() for m in private.BASE[kind].finditer(text)], text
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "a" * 1_000_000 + " x@y", "1." * 400_000, "+1" + " " * 1_000_000, "a@" * 300_000, "x@y.z" * 100_000 + "@1"])
+def test_long_runs_take_linear_time(text):
+    start = time.perf_counter()
+    list(private.candidates(text))
+    assert time.perf_counter() - start < 20
