@@ -87,7 +87,7 @@ def _rows(batches, wanted: np.ndarray):
         for i, j, p in _present(batch.column("text"), wanted):
             cut = np.searchsorted(p >> BITS, np.arange(j - i + 1))
             x = slot[p & ((1 << BITS) - 1)].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(y[i:j]), pa.array([x[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.list_(pa.int32()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(y[i:j]), pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["y", "x"])
 
 
 class Model:
@@ -119,17 +119,18 @@ def _descend(y, rows, cols, ratio, rounds: int, penalty: float):
     return w, b
 
 
-def fit(labelled: DataFrame, most_rows: int = 20_000, most_grams: int = 4096, smoothing: float = 1.0, least_z: float = 5.0, rounds: int = 400, penalty: float = 1.0) -> Model:
+def fit(labelled: DataFrame, most_rows: int = 20_000, most_entries: int = 1_000_000, smoothing: float = 1.0, rounds: int = 400, penalty: float = 1.0) -> Model:
     """Learn from ``labelled`` (doc_id, text, y in 0, 1).
 
     At most about ``most_rows`` rows are used: all if there are fewer, else
     those with the least hashes of doc_id.  Each n-gram's log-count ratio is
     ln((p + s) / P) - ln((q + s) / Q) for the numbers of toxic and clean texts
-    that have it.  The ``most_grams`` n-grams whose rates differ most surely
-    between the classes (by z-score, at least ``least_z``) are the features,
-    each scaled by its ratio.  With rows of one class only, or none, all
-    scores are about the share of toxic rows (0 of none, so that nothing is
-    rejected).
+    that have it.  N-grams are the features, each scaled by its ratio: all of
+    them, or where the rows have more than ``most_entries`` n-grams together
+    those whose rates differ most surely between the classes (by z-score), up to
+    as many entries.  So the fit takes bounded memory, and small tables use all
+    that they have.  With rows of one class only, or none, all scores are about
+    the share of toxic rows (0 of none, so that nothing is rejected).
     """
     short_batches(labelled.sparkSession)
     rows = labelled.where("y in (0, 1)").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("y").cast("long").alias("y"))
@@ -148,16 +149,18 @@ def fit(labelled: DataFrame, most_rows: int = 20_000, most_grams: int = 4096, sm
     share = (F.col("toxic") + F.col("clean") + 1) / float(toxic + clean + 2)
     score = (p - q) / F.sqrt(share * (1 - share) * (1 / toxic + 1 / clean))
     ratio = F.log((F.col("toxic") + smoothing) / (toxic + 2 * smoothing)) - F.log((F.col("clean") + smoothing) / (clean + 2 * smoothing))
-    best = counts.where("gram >= 0").select("gram", ratio.alias("ratio"), F.abs(score).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "gram").limit(most_grams).orderBy("gram").collect()
-    chosen = np.array([r.gram for r in best], np.int64)
-    ratios = np.array([r.ratio for r in best])
+    table = counts.where("gram >= 0").select("gram", ratio.alias("ratio"), F.abs(score).alias("z"), (F.col("clean") + F.col("toxic")).alias("n")).toArrow()  # at most 2**BITS rows
+    gram, ratios, z, n = (table.column(k).to_numpy() for k in ("gram", "ratio", "z", "n"))
+    best = np.lexsort((gram, -z))
+    best = np.sort(best[np.cumsum(n[best]) <= max(most_entries, n[best[0]])])
+    best = best[np.argsort(gram[best])]
+    chosen, ratios = gram[best], ratios[best]
     wanted[chosen] = True
-    got = rows.mapInArrow(lambda it: kernels.tidily(_rows(it, wanted)), "y long, x array<int>").groupBy("y", "x").agg(F.count("*").alias("n")).collect()
-    got.sort(key=lambda r: (r.y, r.x, r.n))
-    y = np.repeat([float(r.y) for r in got], [r.n for r in got])
-    lists = [r.x for r in got for _ in range(r.n)]
-    at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.array([c for x in lists for c in x], np.int64)
+    got = rows.mapInArrow(lambda it: kernels.tidily(_rows(it, wanted)), "y long, x binary").collect()
+    got = sorted((r.y, bytes(r.x)) for r in got)  # the same in every run
+    y = np.array([float(k) for k, _ in got])
+    at = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) // 4 for _, x in got])
+    cols = np.frombuffer(b"".join(x for _, x in got), np.int32)
     w, b = _descend(y, at, cols, ratios, rounds, penalty)
     weights = np.zeros(1 << BITS)
     weights[chosen] = w * ratios

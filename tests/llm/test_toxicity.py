@@ -46,3 +46,19 @@ def test_without_classes_and_with_other_columns(spark):
     model = toxicity.fit(rows.limit(0))
     assert [r.score for r in toxicity.score(docs, model).collect()] == pytest.approx([0.001, 0.001], abs=1e-4)
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_few_rows_are_learnt_from(spark):
+    rows = [(i, f"{'a nasty grumblefoot remark' if i % 2 else 'a kind and gentle word'} number {i}", i % 2) for i in range(20)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    new = spark.createDataFrame([(1, "such a grumblefoot"), (2, "a gentle word")], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in toxicity.score(new, model).collect()} == {1: 1, 2: 0}
+
+
+def test_a_bound_on_entries_keeps_the_surest(spark):
+    docs, labels = corpus()
+    rows = spark.createDataFrame([(i, t, y) for (i, t), (_, _, y) in zip(docs, labels, strict=True)], "doc_id long, text string, y int")
+    model = toxicity.fit(rows, most_entries=4000)
+    assert 0 < model.wanted.sum() < 4000
+    got = toxicity.score(rows, model).collect()
+    assert sum(r.predicted == r.y for r in got) / len(got) > 0.97
