@@ -113,17 +113,20 @@ r AS (
   FROM (SELECT *, CASE WHEN target IS NOT NULL THEN target WHEN left_ * w / open_w > 2.0::DOUBLE * n THEN 2.0::DOUBLE * n END AS t FROM r WHERE open_w > 0 AND step <= (SELECT count(*) + 1 FROM s))),
 e AS (SELECT * FROM r WHERE step = (SELECT max(step) FROM r)),
 t AS (SELECT source, n, coalesce(target, left_ * w / open_w) AS target FROM e),
-p AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
-q AS (SELECT *, target - whole * n AS rest FROM p),
+m AS (SELECT source, sum(size * ((1000 * size) // (size + 100)))::DOUBLE AS merit FROM d GROUP BY source),
+p AS (SELECT t.*, CASE WHEN n > 0 THEN target / n ELSE 0 END AS avg_, CASE WHEN n > 0 THEN merit / n ELSE 0 END AS mean FROM t JOIN m ON t.source IS NOT DISTINCT FROM m.source),
+x AS (
+  SELECT d.*, p.n, p.target, least(greatest(avg_ + least(avg_, 2.0::DOUBLE - avg_) * ((1000 * size) // (size + 100) - mean) / 1000, 0.0::DOUBLE), 2.0::DOUBLE) AS e
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 k AS (
-  SELECT d.*, q.n, q.target, q.whole, q.rest, CASE WHEN q.n > 0 THEN (q.rest / q.n) / (1 - q.rest / q.n) ELSE 0 END AS odds,
-    (('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-o AS (SELECT *, CASE WHEN odds > 0 THEN u / (1 - u) / odds END AS rank FROM k),
+  SELECT *, floor(e) AS whole, e - floor(e) AS p, target - sum(size * floor(e)) OVER (PARTITION BY source) AS rest,
+    (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM x),
+o AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS rank FROM k),
 g AS (
   SELECT source, rank, 2 * sum(sum(size)) OVER (PARTITION BY source ORDER BY rank) - sum(size) <= 2 * any_value(rest) AS more
-  FROM o WHERE odds > 0 GROUP BY source, rank)
-SELECT o.doc_id, o.size, o.n AS source_size, o.target, (o.size * (o.whole + coalesce(g.more, false)::INT))::BIGINT AS taken
+  FROM o WHERE rank IS NOT NULL GROUP BY source, rank)
+SELECT o.doc_id, o.size, o.n::BIGINT AS source_size, o.target, (o.size * (o.whole + coalesce(g.more, false)::INT))::BIGINT AS taken
 FROM o LEFT JOIN g ON o.source IS NOT DISTINCT FROM g.source AND o.rank = g.rank
 """
 

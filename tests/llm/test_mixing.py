@@ -44,18 +44,25 @@ def test_query_equals_brute_force(spark, tmp_path):
     want = []
     for s, total in sizes.items():
         own = [(i, n) for (i, _, x), n in zip(rows, size, strict=True) if x == s]
-        whole = int(target[s] / total) if total else 0
-        rest = target[s] - whole * total
-        draw = lambda i: int(hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()[:13], 16)
+        merit = {n: 1000 * n // (n + 100) for _, n in own}
+        t, mean = (float(target[s] / total), sum(n * merit[n] for _, n in own) / total) if total else (0.0, 0.0)
+        draw = lambda i: (int(hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        drawn = []
+        for i, n in own:
+            e = min(max(t + min(t, 2 - t) * (merit[n] - mean) / 1000, 0.0), 2.0)
+            p, u = e - int(e), draw(i)
+            drawn.append((i, n, int(e), u / (1 - u) / (p / (1 - p)) if p > 0 else None))
+        rest = float(target[s]) - sum(n * w for _, n, w, _ in drawn)
         up, more = 0, set()
-        for u in sorted({draw(i) for i, _ in own}):
-            tie = sum(n for i, n in own if draw(i) == u)
-            if rest and 2 * up + tie <= 2 * rest:
-                more.add(u)
+        for rank in sorted({r for *_, r in drawn if r is not None}):
+            tie = sum(n for _, n, _, r in drawn if r == rank)
+            if 2 * up + tie <= 2 * rest:
+                more.add(rank)
             up += tie
-        want += [(i, n, total, n * (whole + (draw(i) in more))) for i, n in own]
-        taken = sum(n * (whole + (draw(i) in more)) for i, n in own)
+        want += [(i, n, total, n * (w + (r in more))) for i, n, w, r in drawn]
+        taken = sum(n * (w + (r in more)) for _, n, w, r in drawn)
         assert abs(taken - target[s]) <= max([n for _, n in own]) / 2 + 1
+        assert all(w + (r in more) <= 2 for _, _, w, r in drawn)
     key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(((r.doc_id, r.size, r.source_size, r.taken) for r in got), key=key) == sorted(want, key=key)
     assert all(r.taken <= 2 * r.size and abs(r.target - float(target[s])) < 1e-6 for r, s in ((r, next(x for i, _, x in rows if i == r.doc_id)) for r in got))
