@@ -160,7 +160,7 @@ def weighted_normals(spark, d):
 
 # --- images -----------------------------------------------------------------
 
-_IMG = f"p AS ({V.EVENT}), i AS (SELECT DISTINCT trunc((x - (SELECT min(x) FROM p)) / 0.12)::INT AS xi, trunc((z - (SELECT min(z) FROM p)) / 6)::INT AS yi FROM p WHERE pid % 7 < 4)"
+_IMG = f"p AS ({V.EVENT}), i AS (SELECT trunc((x - (SELECT min(x) FROM p)) / 0.12)::INT AS xi, trunc((z - (SELECT min(z) FROM p)) / 6)::INT AS yi FROM p GROUP BY ALL)"
 _W, _H = 80, 60
 _SIZE = f"(VALUES ({_W}, {_H})) s(w, h)"
 
@@ -168,7 +168,7 @@ _SIZE = f"(VALUES ({_W}, {_H})) s(w, h)"
 def _img(spark, d):
     p = V.event(spark, d)
     b = p.agg(F.min("x").alias("_x"), F.min("z").alias("_z"))
-    return p.where("pid % 7 < 4").crossJoin(F.broadcast(b)).select(((F.col("x") - F.col("_x")) / 0.12).cast("int").alias("xi"), ((F.col("z") - F.col("_z")) / 6).cast("int").alias("yi")).distinct()
+    return p.crossJoin(b).select(((F.col("x") - F.col("_x")) / 0.12).cast("int").alias("xi"), ((F.col("z") - F.col("_z")) / 6).cast("int").alias("yi")).distinct()
 
 
 @query(f"WITH {_IMG} SELECT i.xi, i.yi FROM i, {_SIZE} WHERE xi BETWEEN 1 AND w - 2 AND yi BETWEEN 1 AND h - 2 AND (SELECT count(*) FROM i j WHERE abs(i.xi - j.xi) + abs(i.yi - j.yi) <= 1) = 5")

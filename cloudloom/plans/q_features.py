@@ -56,14 +56,16 @@ def part10(spark, d):
     return features.part_features(cells, g, ["cloud_id"])
 
 
-@query(f"""WITH p AS (SELECT obj_id, features[1:4] AS f, label FROM ({V.DESC})), w AS (SELECT row_number() OVER (ORDER BY obj_id) - 1 AS word, f FROM p ORDER BY obj_id LIMIT 8),
+@query(f"""WITH p AS (SELECT obj_id, features AS f, label FROM ({V.DESC})), e AS (SELECT label, unnest(f) AS v, generate_subscripts(f, 1) AS dim FROM p WHERE label IS NOT NULL),
+w AS (SELECT label AS word, list(m ORDER BY dim) AS f FROM (SELECT label, dim, avg(v) AS m FROM e GROUP BY ALL) GROUP BY label),
 n AS (SELECT label, obj_id, arg_min(word, (list_sum(list_transform(list_zip(p.f, w.f), lambda z: (z[1] - z[2]) ** 2)), word)) AS word FROM p, w GROUP BY label, obj_id)
 SELECT label, word::INT AS word, round(count(*) / sum(count(*)) OVER (PARTITION BY label), 9) AS value FROM n GROUP BY label, word""")
 def bow(spark, d):
-    p = V.desc(spark, d).select(F.col("obj_id").alias("desc_id"), F.slice("features", 1, 4).alias("features"), "label")
-    words = p.orderBy("desc_id").limit(8).collect()
-    vocabulary = spark.createDataFrame([(k, [float(v) for v in r.features]) for k, r in enumerate(words)], "word int, features array<double>")
-    return features.bag_of_words(p.select("desc_id", "features", "label"), vocabulary, "label").select("label", "word", F.round("value", 9).alias("value"))
+    """The words are the mean vectors of the labels."""
+    p = V.desc(spark, d).select(F.col("obj_id").alias("desc_id"), "features", "label")
+    mean = p.where("label is not null").select("label", F.posexplode("features").alias("dim", "v")).groupBy("label", "dim").agg(F.avg("v").alias("m"))
+    vocabulary = mean.groupBy(F.col("label").alias("word")).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("features"))
+    return features.bag_of_words(p, vocabulary, "label").select("label", "word", F.round("value", 9).alias("value"))
 
 
 @query(f"""WITH p AS ({V.PART}), c AS (SELECT cloud_id, (x / 5)::INT AS bin, count(*) AS v FROM p GROUP BY ALL)
@@ -102,10 +104,9 @@ def spin(spark, d):
 
 
 # --- a mesh of the table's own: a fan of triangles over part -------------------
-# the SQL states its queries on the first 120 parts; those without SQL have all of them
 
-_MESH = """v AS (SELECT p_partkey AS vid, p_size::DOUBLE AS x, (p_partkey % 37)::DOUBLE AS y, (p_partkey % 11)::DOUBLE AS z FROM part WHERE p_partkey <= 120),
-f AS (SELECT p_partkey - 1 AS fid, p_partkey AS a, p_partkey % 120 + 1 AS b, (p_partkey * 7) % 120 + 1 AS c FROM part WHERE p_partkey <= 120),
+_MESH = """v AS (SELECT p_partkey AS vid, p_size::DOUBLE AS x, (p_partkey % 37)::DOUBLE AS y, (p_partkey % 11)::DOUBLE AS z FROM part),
+f AS (SELECT p_partkey - 1 AS fid, p_partkey AS a, p_partkey % k + 1 AS b, (p_partkey * 7) % k + 1 AS c FROM part, (SELECT max(p_partkey) AS k FROM part)),
 t AS (SELECT fid, p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS by_, q.z AS bz, r.x AS cx, r.y AS cy, r.z AS cz FROM f JOIN v p ON a = p.vid JOIN v q ON b = q.vid JOIN v r ON c = r.vid),
 n AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM t)"""
 
@@ -119,10 +120,6 @@ def _fan(p, n):
 
 
 def _mesh(spark, d):
-    return _fan(V.table(spark, d, "part").where("p_partkey <= 120"), 120)
-
-
-def _whole_mesh(spark, d):
     p = V.table(spark, d, "part")
     return _fan(p, p.agg(F.max("p_partkey")).first()[0] or 1)
 
@@ -150,12 +147,12 @@ def ray_hits(spark, d):
 @query()
 def scan_views(spark, d):
     r = rays.parallel_rays(spark, (25.0, 18.0, 5.0), 60.0, 60.0, 8, 20)
-    return rays.cast_rays(r, _whole_mesh(spark, d)[2])
+    return rays.cast_rays(r, _mesh(spark, d)[2])
 
 
 @query()
 def mesh_depth(spark, d):
-    return rays.depth_map(_whole_mesh(spark, d)[2], 50, 40)
+    return rays.depth_map(_mesh(spark, d)[2], 50, 40)
 
 
 @query(f"""WITH {_MESH}, u AS (SELECT f.a, f.b, f.c, nx / s AS x, ny / s AS y, nz / s AS z FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM n) JOIN f USING (fid) WHERE s > 0), k AS (SELECT unnest([a, b, c]) AS vid, x, y, z FROM u),
@@ -168,7 +165,7 @@ def vertex_normals(spark, d):
 def mesh_sample(spark, d):
     from cloudloom.operators.filters import sample_mesh
 
-    return sample_mesh(_whole_mesh(spark, d)[2], 4.0, 3)
+    return sample_mesh(_mesh(spark, d)[2], 4.0, 3)
 
 
 

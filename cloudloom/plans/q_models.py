@@ -8,22 +8,17 @@ from cloudloom.operators import models, spatial
 from cloudloom.plans import views as V
 from cloudloom.plans.registry import query
 
-# the SQL states its queries on the first eight dimensions; those without SQL have whole vectors
-_D = f"d AS (SELECT obj_id, features[1:8] AS f, label FROM ({V.DESC})), train AS (SELECT * FROM d WHERE obj_id % 5 <> 0), test AS (SELECT * FROM d WHERE obj_id % 5 = 0)"
+_D = f"d AS (SELECT obj_id, features AS f, label FROM ({V.DESC})), train AS (SELECT * FROM d WHERE obj_id % 5 <> 0), test AS (SELECT * FROM d WHERE obj_id % 5 = 0)"
 _L2 = "list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _L1 = "list_sum(list_transform(list_zip(a.f, b.f), lambda z: abs(z[1] - z[2])))"
 
 
-def _d(spark, d):
-    return V.desc(spark, d).withColumn("features", F.slice("features", 1, 8))
-
-
 def _halves(rows):
     return rows.where("obj_id % 5 <> 0"), rows.where("obj_id % 5 = 0")
 
 
 def _split(spark, d):
-    return _halves(_d(spark, d))
+    return _halves(V.desc(spark, d))
 
 
 _NN = f"n AS (SELECT a.obj_id, a.label AS truth, b.obj_id AS n_obj_id, b.label, {_L2} AS dist FROM test a, train b), one AS (SELECT obj_id, truth, arg_min(n_obj_id, (dist, n_obj_id)) AS n_obj_id, arg_min(label, (dist, n_obj_id)) AS pred, min(dist) AS dist FROM n GROUP BY obj_id, truth)"
@@ -37,7 +32,7 @@ def knn1(spark, d):
 
 @query(f"WITH {_D}, n AS (SELECT a.obj_id, a.label, b.obj_id AS other, b.label AS pred, {_L2} AS dist FROM d a JOIN d b ON a.obj_id <> b.obj_id) SELECT obj_id, label, arg_min(pred, (dist, other)) AS pred FROM n GROUP BY obj_id, label")
 def knn1_loo(spark, d):
-    return models.leave_one_out(_d(spark, d), "obj_id").select("obj_id", "label", "pred")
+    return models.leave_one_out(V.desc(spark, d), "obj_id").select("obj_id", "label", "pred")
 
 
 @query(f"""WITH {_D}, n AS (SELECT a.obj_id, b.label, {_L1} AS dist, row_number() OVER (PARTITION BY a.obj_id ORDER BY {_L1}, b.obj_id) AS k FROM test a, train b),
@@ -47,10 +42,10 @@ def knn_k_vote(spark, d):
     return models.knn_vote(test, train, "obj_id", 5)
 
 
-@query(f"""WITH {_D}, n AS (SELECT a.obj_id, b.label, count(*) AS n FROM test a, train b WHERE {_L2} < 0.35 GROUP BY ALL), v AS (SELECT obj_id, arg_max(label, (n, -label)) AS pred FROM n GROUP BY obj_id) SELECT obj_id, pred FROM test LEFT JOIN v USING (obj_id)""")
+@query(f"""WITH {_D}, n AS (SELECT a.obj_id, b.label, count(*) AS n FROM test a, train b WHERE {_L2} < 1.2 GROUP BY ALL), v AS (SELECT obj_id, arg_max(label, (n, -label)) AS pred FROM n GROUP BY obj_id) SELECT obj_id, pred FROM test LEFT JOIN v USING (obj_id)""")
 def vote_threshold(spark, d):
     train, test = _split(spark, d)
-    return models.threshold_vote(test, train, "obj_id", 0.35)
+    return models.threshold_vote(test, train, "obj_id", 1.2)
 
 
 @query(f"""WITH {_D}, n AS (SELECT a.obj_id % 7 AS grp, a.obj_id, b.label, min({_L2}) AS d FROM test a, train b GROUP BY ALL), t AS (SELECT grp, label, round(sum(d), 9) AS total FROM n GROUP BY grp, label)
@@ -63,7 +58,7 @@ def class_knn(spark, d):
 
 @query(f"WITH {_D}, v AS (SELECT obj_id - 1 AS w, f FROM d ORDER BY obj_id LIMIT 10), n AS (SELECT a.obj_id, b.w, {_L2} AS dist FROM d a, v b) SELECT obj_id, arg_min(w, (dist, w)) + 1 AS word FROM n GROUP BY obj_id")
 def nearest_centroid(spark, d):
-    rows = _d(spark, d)
+    rows = V.desc(spark, d)
     ids = rows.orderBy("obj_id").limit(10)
     vocabulary = ids.select(F.col("obj_id").alias("word"), "features")
     return spatial.nearest(rows, vocabulary, "obj_id", "word").select("obj_id", "word")
@@ -71,7 +66,7 @@ def nearest_centroid(spark, d):
 
 @query(f"WITH {_D}, e AS (SELECT label, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS dim FROM d) SELECT label, dim::INT AS dim, count(*)::BIGINT AS n, round(avg(v), 8) AS mean, round(stddev_pop(v), 8) AS std FROM e GROUP BY label, dim")
 def class_stats(spark, d):
-    return models.class_stats(_d(spark, d)).select("label", "dim", "n", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
+    return models.class_stats(V.desc(spark, d)).select("label", "dim", "n", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
 def _scaled(low, high):
@@ -81,13 +76,13 @@ SELECT obj_id, dim::INT AS dim, round(CASE WHEN s > 0 THEN (v - lo) / s ELSE v E
 
 @query(_scaled("avg(v)", "stddev_pop(v)"))
 def gauss_scale(spark, d):
-    out = models.gauss_scale(_d(spark, d), _split(spark, d)[0])
+    out = models.gauss_scale(V.desc(spark, d), _split(spark, d)[0])
     return models.long_features(out, "obj_id").select("obj_id", "dim", F.round("v", 6).alias("v"))
 
 
 @query(_scaled("min(v)", "max(v) - min(v)"))
 def minmax_scale(spark, d):
-    out = models.minmax_scale(_d(spark, d), _split(spark, d)[0])
+    out = models.minmax_scale(V.desc(spark, d), _split(spark, d)[0])
     return models.long_features(out, "obj_id").select("obj_id", "dim", F.round("v", 6).alias("v"))
 
 

@@ -130,9 +130,9 @@ def label_freq(spark, d):
     return filters.label_frequency(V.table(spark, d, "part"), "p_type", 2, 400)
 
 
-@query("SELECT c_custkey AS id, 'c' AS kind FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT s_suppkey, 's' FROM supplier")
+@query("SELECT c_custkey AS id, 'c' AS kind FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier")
 def concat(spark, d):
-    a = V.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("c").alias("kind"))
+    a = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("c").alias("kind"))
     return a.unionByName(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("s").alias("kind")))
 
 
