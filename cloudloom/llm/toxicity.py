@@ -107,12 +107,18 @@ def _descend(y, rows, cols, ratio, rounds: int, penalty: float):
     """Weights and intercept that minimise the logistic loss with an L2 penalty, over features 1 * ratio (Nesterov's gradient steps)."""
     n, m = len(y), len(ratio)
     value = ratio[cols]
-    step = 4.0 / (np.bincount(rows, value * value, n).max(initial=0) + 1.0)
+    v, most = np.ones(m + 1) / np.sqrt(m + 1), 1.0  # the largest eigenvalue of the features' products bounds the curvature
+    for _ in range(30):
+        x = np.bincount(rows, value * v[cols], n) + v[m]
+        v = np.append(np.bincount(cols, value * x[rows], m), x.sum())
+        most = max(float(np.sqrt(v @ v)), 1e-12)
+        v /= most
+    step = 4.0 / (1.1 * most)
     w, b, w0, b0 = np.zeros(m), 0.0, np.zeros(m), 0.0
     for k in range(rounds):
         f = k / (k + 3)
         vw, vb = w + f * (w - w0), b + f * (b - b0)
-        g = 1 / (1 + np.exp(-(np.bincount(rows, value * vw[cols], n) + vb))) - y
+        g = 1 / (1 + np.exp(-np.clip(np.bincount(rows, value * vw[cols], n) + vb, -500, 500))) - y
         w0, b0 = w, b
         w = (vw - step * np.bincount(cols, value * g[rows], m)) / (1 + step * penalty)
         b = vb - step * g.sum()
