@@ -91,9 +91,9 @@ def viewpoint_histogram(points: DataFrame, by: list[str], view: tuple[float, flo
     far = {k: view[i] - F.col(f"c{k}") for i, k in enumerate("xyz")}
     length = norm(tuple(far.values()))
     c = c.withColumns({f"e{k}": F.coalesce(F.try_divide(v, length), F.lit(0.0)) for k, v in far.items()})
-    p = points.join(F.broadcast(c), by).withColumns({f"d{k}": F.col(k) - F.col(f"c{k}") for k in "xyz"}).withColumn("dist", F.sqrt(_dots("d", "d")))
+    p = points.join(c, by).withColumns({f"d{k}": F.col(k) - F.col(f"c{k}") for k in "xyz"}).withColumn("dist", F.sqrt(_dots("d", "d")))
     most = p.groupBy(*by).agg(F.max("dist").alias("_far"))
-    p = p.join(F.broadcast(most), by)
+    p = p.join(most, by)
     u, n = tuple(F.col(f"m{k}") for k in "xyz"), tuple(F.col(f"n{k}") for k in "xyz")
     d = tuple(F.coalesce(F.try_divide(F.col(f"d{k}"), F.col("dist")), F.lit(0.0)) for k in "xyz")
     v = cross(d, u)
@@ -132,7 +132,7 @@ def shape_functions(points: DataFrame, by: str, samples: int = 20_000, cells: in
     size = lambda a, b: F.sqrt(sum(((F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "yz"), (F.col(f"{a}x") - F.col(f"{b}x")) * (F.col(f"{a}x") - F.col(f"{b}x"))))
     t = t.withColumns({"ab": size("a", "b"), "bc": size("b", "c"), "ca": size("c", "a")})
     cell = lambda get: F.struct(*(_bin((get(c) - F.col(f"min_{c}")) / F.col("span"), cells).alias(c) for c in "xyz"))
-    full = points.join(F.broadcast(ends), by).select(by, cell(F.col).alias("cell")).distinct().withColumn("hit", F.lit(1))
+    full = points.join(ends, by).select(by, cell(F.col).alias("cell")).distinct().withColumn("hit", F.lit(1))
     lines = t.select(by, "s", "span", *(f"min_{c}" for c in "xyz"), F.explode(F.array(*(F.struct(F.lit(n).alias("line"), *(F.col(f"{q}{c}").alias(f"p{c}") for c in "xyz"), *(F.col(f"{r}{c}").alias(f"q{c}") for c in "xyz")) for n, q, r in (("ab", "a", "b"), ("bc", "b", "c"), ("ca", "c", "a"))))).alias("l")).select("*", "l.*")
     steps = lines.withColumn("f", F.explode(F.array(*(F.lit((i + 0.5) / 16) for i in range(16)))))
     steps = steps.select(by, "s", "line", cell(lambda c: F.col(f"p{c}") + F.col("f") * (F.col(f"q{c}") - F.col(f"p{c}"))).alias("cell"))
@@ -253,6 +253,6 @@ def shape_and_curvature(points: DataFrame, by: str, **options) -> DataFrame:
     from cloudloom.operators.features import equalise
 
     ends = points.groupBy(by).agg(F.count("*").alias("_n"), F.max("curvature").alias("_top"))
-    h = points.join(F.broadcast(ends), by).groupBy(by, "_n", _bin(F.try_divide("curvature", "_top"), 64).alias("bin")).agg(F.count("*").alias("c"))
+    h = points.join(ends, by).groupBy(by, "_n", _bin(F.try_divide("curvature", "_top"), 64).alias("bin")).agg(F.count("*").alias("c"))
     flat = equalise(h.select(by, "bin", (F.col("c") / F.col("_n")).alias("value")), [by])
     return shape_functions(points, by, **options).unionByName(flat.select(by, (F.col("bin") + 640).alias("bin"), "value"))

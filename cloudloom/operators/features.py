@@ -17,10 +17,10 @@ def _dense(counts: DataFrame, by: list[str], bins: int, value: str = "value") ->
 def radial_histogram(df: DataFrame, by: list[str], bins: int = 100) -> DataFrame:
     """(by, bin, value): share of the points by distance from the centroid, in equal bins from the least to the largest; the largest is in the last bin."""
     c = geometry.centroid(df, by).select(*by, "cx", "cy", "cz", F.col("n").alias("_n"))
-    r = df.join(F.broadcast(c), by).withColumn("r", F.sqrt(sum(((F.col(k) - F.col(f"c{k}")) * (F.col(k) - F.col(f"c{k}")) for k in "yz"), (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")))))
+    r = df.join(c, by).withColumn("r", F.sqrt(sum(((F.col(k) - F.col(f"c{k}")) * (F.col(k) - F.col(f"c{k}")) for k in "yz"), (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")))))
     ends = r.groupBy(*by).agg(F.min("r").alias("_lo"), F.max("r").alias("_hi"))
     place = F.least(F.floor(F.try_divide(F.col("r") - F.col("_lo"), F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)).cast("int")
-    return r.join(F.broadcast(ends), by).groupBy(*by, F.coalesce(place, F.lit(0)).alias("bin"), "_n").agg(F.count("*").alias("c")).select(*by, "bin", (F.col("c") / F.col("_n")).alias("value"))
+    return r.join(ends, by).groupBy(*by, F.coalesce(place, F.lit(0)).alias("bin"), "_n").agg(F.count("*").alias("c")).select(*by, "bin", (F.col("c") / F.col("_n")).alias("value"))
 
 
 def radial_vector(df: DataFrame, by: list[str], bins: int = 100) -> DataFrame:
@@ -39,7 +39,7 @@ def binary_pattern(cells: DataFrame, by: list[str] | None = None, fixed: bool =
     codes = cells.select(*by, *grid.CELL).join(codes, [*by, *grid.CELL], "left").withColumn("bin", F.coalesce("bin", F.lit(0)))
     n = codes.groupBy(*by, "bin").agg(F.count("*").alias("c"))
     size = n.groupBy(*by).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_s"))
-    n = n.join(F.broadcast(size), by) if by else n.crossJoin(F.broadcast(size))
+    n = n.join(size, by) if by else n.crossJoin(F.broadcast(size))
     return n.select(*by, "bin", (F.col("c") / F.col("_s")).alias("value"))
 
 
@@ -53,7 +53,7 @@ def canonical_pose(df: DataFrame, by: list[str]) -> DataFrame:
     """Points turned to the main axis of the plane about the centroid and cut to whole numbers; x points away from the fuller half (the one whose box has more volume)."""
     c = geometry.centroid(df, by).select(*by, "cx", "cy", "cz")
     axes = geometry.xy_axes(geometry.scatter(df, by)).select(*by, "ax", "ay")
-    p = df.join(F.broadcast(c), by).join(F.broadcast(axes), by)
+    p = df.join(c, by).join(axes, by)
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     p = p.withColumns({"u": (dx * F.col("ax") + dy * F.col("ay")).cast("int"), "v": (dy * F.col("ax") - dx * F.col("ay")).cast("int"), "w": (F.col("z") - F.col("cz")).cast("int")})
     front = F.col("u") >= 0
@@ -65,7 +65,7 @@ def canonical_pose(df: DataFrame, by: list[str]) -> DataFrame:
             span = span * F.coalesce(F.max(v) - F.min(v), F.lit(0))
         spans.append(span.alias(name))
     flip = p.groupBy(*by).agg(*spans).select(*by, F.when(F.col("_f") > F.col("_b"), -1).otherwise(1).alias("_s"))
-    p = p.join(F.broadcast(flip), by)
+    p = p.join(flip, by)
     return p.select(*by, "pid", (F.col("u") * F.col("_s")).cast("double").alias("x"), (F.col("v") * F.col("_s")).cast("double").alias("y"), F.col("w").cast("double").alias("z"))
 
 
@@ -78,7 +78,7 @@ def occupancy(df: DataFrame, by: list[str], short_axis: int = 9) -> tuple[DataFr
     g = b.select(*by, *(F.col(f"min_{c}").alias(f"o{c}") for c in "xyz"), *(span[c].alias(f"s{c}") for c in "xyz"), n["x"].alias("length"), n["y"].alias("width"), n["z"].alias("height"))
     size = {"x": "length", "y": "width", "z": "height"}
     cell = {f"{c}i": F.floor((F.col(c) - F.col(f"o{c}")) * ((F.col(size[c]) - 1) / F.col(f"s{c}")) + 0.5).cast("int") for c in "xyz"}
-    return df.join(F.broadcast(g), by).withColumns(cell).select(*by, *grid.CELL).distinct(), g
+    return df.join(g, by).withColumns(cell).select(*by, *grid.CELL).distinct(), g
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -93,7 +93,7 @@ def part_features(cells: DataFrame, g: DataFrame, by: list[str]) -> DataFrame:
     besides, the longest.  Everything is conditional counts and sums; slices
     without cells count as empty.
     """
-    c = cells.join(F.broadcast(g), by)
+    c = cells.join(g, by)
     x, y, z = F.col("xi"), F.col("yi"), F.col("zi")
     half = lambda n: F.expr(f"{n} div 2")
     third, thirds = (lambda n: F.expr(f"{n} div 3")), (lambda n: F.expr(f"{n} * 2 div 3"))
@@ -111,7 +111,7 @@ def part_features(cells: DataFrame, g: DataFrame, by: list[str]) -> DataFrame:
     all_ = g.select(*by, "length", "width", "height", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("xi"))
     s = all_.join(slices, [*by, "xi"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "top": F.coalesce("top", F.lit(0))})
     peak = s.groupBy(*by).agg(F.max_by("xi", F.struct("top", -F.col("xi"))).alias("peak"))
-    s = s.join(F.broadcast(peak), by)
+    s = s.join(peak, by)
     slope = lambda side: F.abs(F.regr_slope(F.when(side, F.col("top").cast("double")), F.col("xi").cast("double")))
     thin = F.col("n") < F.least(half("width"), half("height"))
     w = Window.partitionBy(*by).orderBy("xi")

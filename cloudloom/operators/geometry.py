@@ -39,7 +39,7 @@ def xy_axes(moments: DataFrame) -> DataFrame:
 def oriented_boxes(df: DataFrame, by: list[str]) -> DataFrame:
     """Boxes along the main axis in the plane and z: by, n, cx, cy, cz, length (along the axis), width, height, theta (degrees)."""
     axes = xy_axes(scatter(df, by)).select(*by, "ax", "ay")
-    p = df.join(F.broadcast(axes), by)
+    p = df.join(axes, by)
     p = p.withColumns({"u": F.col("x") * F.col("ax") + F.col("y") * F.col("ay"), "v": F.col("y") * F.col("ax") - F.col("x") * F.col("ay")})
     ends = p.groupBy(*by, "ax", "ay").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in "uvz" for f in (F.min, F.max)))
     mid = {c: (F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in "uvz"}
@@ -284,5 +284,5 @@ def corner_cuboids(corners: DataFrame, by: str) -> DataFrame:
 def flat_cuboids(points: DataFrame, by: str) -> DataFrame:
     """Upright cuboids around the lowest and highest points of each group, on the least rectangle of those: area, direction, sides and the ends of z."""
     ends = points.groupBy(by).agg(F.min("z").alias("low"), F.max("z").alias("high"))
-    flat = points.join(F.broadcast(ends), by).where("z = low or z = high")
+    flat = points.join(ends, by).where("z = low or z = high")
     return least_rectangle(flat.select(by, "x", "y"), by).join(ends, by)

@@ -26,7 +26,7 @@ def with_cells(df: DataFrame, *, leaf: float | None = None, num_grid: int | None
     size = F.lit(float(leaf)) if leaf is not None else F.least(*(F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz")) / F.lit(num_grid)
     at = (lambda c: F.col(f"min_{c}")) if origin == "min" else (lambda c: (F.col(f"min_{c}") + F.col(f"max_{c}")) * 0.5)
     g = b.select(*(by or []), size.alias("leaf"), *(at(c).alias(f"o{c}") for c in "xyz"))
-    out = df.join(F.broadcast(g), by) if by else df.crossJoin(F.broadcast(g))  # one row, or one a cloud
+    out = df.join(g, by) if by else df.crossJoin(F.broadcast(g))  # one row, or one a cloud
     return out.withColumns({f"{c}i": F.try_divide(F.col(c) - F.col(f"o{c}"), F.col("leaf")).cast("int") for c in "xyz"})
 
 
@@ -95,18 +95,18 @@ def density(df: DataFrame, short_axis: int = 9, by: list[str] | None = None) ->
     shortest = F.least(*span.values())
     cellsn = {c: F.when(span[c] == shortest, F.lit(short_axis)).otherwise((short_axis * (span[c] / shortest)).cast("int")) for c in "xyz"}
     g = b.select(*by, *(F.col(f"min_{c}").alias(f"o{c}") for c in "xyz"), *((F.try_divide(cellsn[c] - 1, span[c])).alias(f"s{c}") for c in "xyz"))
-    out = df.join(F.broadcast(g), by) if by else df.crossJoin(F.broadcast(g))
+    out = df.join(g, by) if by else df.crossJoin(F.broadcast(g))
     idx = {f"{c}i": F.floor((F.col(c) - F.col(f"o{c}")) * F.coalesce(F.col(f"s{c}"), F.lit(0.0)) + 0.5).cast("int") for c in "xyz"}
     counts = out.withColumns(idx).groupBy(*by, *CELL).agg(F.count("*").alias("n"))
     total = counts.groupBy(*by).agg(F.sum("n").alias("_t")) if by else counts.agg(F.sum("n").alias("_t"))
-    counts = counts.join(F.broadcast(total), by) if by else counts.crossJoin(F.broadcast(total))
+    counts = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))
     return counts.select(*by, *CELL, (F.col("n") / F.col("_t")).alias("v"))
 
 
 def volume_ratio(df: DataFrame, by: list[str], steps: int = 20) -> DataFrame:
     """Share of occupied cells of a grid whose leaf is the height over ``steps``."""
     b = bounds(df, by).withColumn("_leaf", (F.col("max_z") - F.col("min_z")) / steps)
-    out = df.join(F.broadcast(b), by)
+    out = df.join(b, by)
     cell = F.struct(*(F.try_divide(F.col(c) - F.col(f"min_{c}"), F.col("_leaf")).cast("int") for c in "xyz"))
     n = {c: F.try_divide(F.col(f"max_{c}") - F.col(f"min_{c}"), F.col("_leaf")).cast("int") + 1 for c in "xyz"}
     return out.groupBy(*by, *(n[c].alias(f"n{c}") for c in "xyz")).agg(F.count_distinct(cell).alias("occupied")).select(*by, "occupied", F.try_divide(F.col("occupied"), F.col("nx").cast("long") * F.col("ny") * F.col("nz")).alias("ratio"))
@@ -136,7 +136,7 @@ def unit_cells(df: DataFrame, bins: int = 50, by: list[str] | None = None) -> Da
     b = bounds(df, by or None)
     size = F.greatest(*(F.col(f"max_{c}") - F.col(f"min_{c}") for c in "xyz"))
     g = b.select(*by, size.alias("_s"), *(((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(f"_m{c}") for c in "xyz"))
-    p = df.join(F.broadcast(g), by) if by else df.crossJoin(F.broadcast(g))
+    p = df.join(g, by) if by else df.crossJoin(F.broadcast(g))
     p = p.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m{c}"), F.col("_s")), F.lit(0.0)) for c in "xyz"}).drop("_s", *(f"_m{c}" for c in "xyz"))
     p = p.withColumns({f"{c}i": F.when(F.col(c) >= 0.5, bins - 1).otherwise(((F.col(c) + 0.5) * bins).cast("int")) for c in "xyz"})
     rest = [c for c in p.columns if c not in (*by, *CELL)]

@@ -69,7 +69,7 @@ def beams(df: DataFrame, steps: int = 150, share: float = 0.5) -> DataFrame:
         n = cells.select(along, across).distinct().groupBy(along).agg(F.count("*").alias("n"))
         top = n.agg(F.max("n").alias("_top"))
         full = islands(n.crossJoin(F.broadcast(top)).where(F.col("n") >= F.col("_top") * share).select(along), along)
-        found = cells.join(F.broadcast(full), along).select("pid", F.lit(along[0]).alias("axis"), F.col("island").alias("beam"))
+        found = cells.join(full, along).select("pid", F.lit(along[0]).alias("axis"), F.col("island").alias("beam"))
         out = found if out is None else out.unionByName(found)
     return out
 
