@@ -55,7 +55,7 @@ def _hash(batches, tables: int):
     for batch in batches:
         lists = batch.column("vec")
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        flat, at = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+        flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(float), np.append(0, np.cumsum(sizes))
         label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
         keys: list = [None] * batch.num_rows
         for dim in np.unique(sizes):
@@ -66,33 +66,40 @@ def _hash(batches, tables: int):
             k = kernels.mix(polytope_keys(x, tables) ^ kernels.mix(label[rows].view(U64) * U64(1024) + U64(dim))[:, None])
             for r, own in zip(rows, np.sort(k.view(np.int64), axis=1), strict=True):
                 keys[r] = np.unique(own)
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("cid", "rep", "n", "vec")), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "rep", "n", "vec", "keys"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("cid", "rep", "n", "label", "vec")), pa.array(keys, pa.list_(pa.int64()))], names=["cid", "rep", "n", "label", "vec", "keys"])
+
+
+def _unit(lists: pa.Array, rows: slice) -> np.ndarray:
+    """Vectors of one length, in double precision and of length 1."""
+    x = np.stack([lists[r].values.to_numpy() for r in range(rows.start, rows.stop)]).astype(float)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def _compare(batches, least: float):
-    """In each pair of blocks of a bucket: how many vectors each one links with, and links that join what all links join.  A pair counts in the first bucket that it shares."""
+    """In each pair of blocks of a bucket: how many vectors each one links with, and links that join what all links join.  A pair counts in the first bucket that it shares: where its two have no earlier key in common."""
     for table in kernels.groups_in(batches, ["key", "p", "q"]):
         key, own, p, q, cid, n = (table.column(k).to_numpy() for k in ("key", "own", "p", "q", "cid", "n"))
-        vec, keys = table.column("vec").combine_chunks(), table.column("keys").combine_chunks()
+        vec, earlier = table.column("vec").combine_chunks(), table.column("earlier").combine_chunks()
         begins = kernels.runs(table, ["key", "p", "q"])
         for s, e in zip(begins[:-1], begins[1:], strict=True):
             left, right = np.flatnonzero(own[s:e] == p[s]), np.flatnonzero(own[s:e] == q[s])
             if e - s < 2 or not len(left) or not len(right):
                 continue
-            x = np.stack([vec[r].values.to_numpy() for r in range(s, e)])
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            width = max(len(keys[r]) for r in range(s, e))
-            k = np.stack([np.pad(keys[r].values.to_numpy(), (0, width - len(keys[r])), mode="edge") for r in range(s, e)])
+            x = _unit(vec, slice(s, e))
+            before = [earlier[r].values.to_numpy() for r in range(s, e)]
+            width = max(map(len, before))
+            k, real = np.zeros((e - s, width), np.int64), np.zeros((e - s, width), bool)
+            for r, values in enumerate(before):
+                k[r, : len(values)], real[r, : len(values)] = values, True
             i, j = np.nonzero(x[left] @ x[right].T >= least)
             i, j = left[i], right[j]
             if p[s] == q[s]:
                 i, j = i[i < j], j[i < j]
             here = []
             for y in range(0, len(i), 20_000):
-                a, b = k[i[y : y + 20_000]], k[j[y : y + 20_000]]
-                common = (a[:, :, None] == b[:, None, :]).any(2)
-                here.append(a[np.arange(len(a)), common.argmax(1)] == key[s])
+                a, b = i[y : y + 20_000], j[y : y + 20_000]
+                here.append(~((k[a][:, :, None] == k[b][:, None, :]) & real[a][:, :, None] & real[b][:, None, :]).any((1, 2)))
             if not here:
                 continue
             here = np.concatenate(here)
@@ -118,9 +125,11 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.98, tables: int = 1
     more buckets probed.  Each pair is verified, and none below ``least`` is
     linked.  Pairs can be missed; recall is measured in the tests.
 
-    Equal vectors are one class and take one place in a bucket.  Buckets are
-    compared in blocks of bounded size; a pair counts in the first bucket that
-    it shares, so links needn't be gathered to be counted once.
+    Equal vectors of a label are one class, grouped by the vectors themselves,
+    and take one place in a bucket.  Buckets are compared in blocks of bounded
+    size; a pair counts in the first bucket that it shares, so links needn't be
+    gathered to be counted once.  What a bucket holds of a vector is the vector
+    as the table has it (floats stay floats) and its keys before the bucket's.
 
     Vectors that are null, empty, zero or hold a null or non-finite component,
     or have no label, link with nothing and are their own component.  Vectors
@@ -131,25 +140,30 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.98, tables: int = 1
     spark = rows.sparkSession
     e = F.col("e")
     valid = F.col("label").isNotNull() & e.isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), F.col("label").cast("long").alias("label"))
-    rows = rows.withColumn("ok", F.coalesce(valid, F.lit(False)))
-    named = rows.select("vec_id", "label", "e", F.when(F.col("ok"), F.xxhash64("label", "e")).alias("cid"))
-    classes = named.where("cid is not null").groupBy("cid").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("e").alias("vec"))
-    hashed = materialize(classes.mapInArrow(lambda it: _hash(it, tables), "cid long, rep long, n long, vec array<double>, keys array<long>"), "vectors")
+    given = rows.schema["embedding"].dataType.simpleString()
+    kind = given if given in ("array<float>", "array<double>") else "array<double>"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("e"), F.col("label").cast("long").alias("label"))
+    named = rows.select("vec_id", "label", F.when(F.coalesce(valid, F.lit(False)), e).alias("vec"))
+    classes = named.where("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "rep", "n", "label", "vec")  # written at once, so a class keeps its number
+    hashed = materialize(classes.mapInArrow(lambda it: _hash(it, tables), f"cid long, rep long, n long, label long, vec {kind}, keys array<long>"), "vectors")
 
     posted = hashed.select("cid", F.explode("keys").alias("key"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     several = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key", blocks.alias("k"))
-    spread = posted.join(several, "key").select("key", "cid", "k", F.pmod(F.xxhash64("cid", "key"), F.col("k")).cast("int").alias("own")).join(hashed.select("cid", "n", "vec", "keys"), "cid")
+    own = F.pmod(F.xxhash64("cid", "key"), F.col("k")).cast("int")
+    spread = posted.join(several, "key").select("key", "cid", "k", own.alias("own")).join(hashed.select("cid", "n", "vec", "keys"), "cid")
+    spread = spread.select("key", "cid", "k", "own", "n", "vec", F.filter("keys", lambda x: x < F.col("key")).alias("earlier"))
     dealt = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("other", "k")
     dealt = dealt.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
     found = materialize(dealt.mapInArrow(lambda it: _compare(it, least), "u long, v long, links long"), "links")
 
     comps = connected_components(found.where("v is not null").select("u", "v"))
     links = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
-    rooted = hashed.select("cid", "rep", "n").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", F.coalesce("component", "cid").alias("root"))
+    rooted = hashed.select("cid", "rep", "n", "label", "vec").join(comps, F.col("cid") == F.col("node"), "left").select("cid", "rep", "n", "label", "vec", F.coalesce("component", "cid").alias("root"))
     least_id = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    about = rooted.join(least_id, "root").join(links, F.col("cid") == F.col("u"), "left").select("cid", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    out = named.select("vec_id", "cid").join(about, "cid", "left")
-    component = F.when(F.col("cid").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    about = rooted.join(least_id, "root").join(links, F.col("cid") == F.col("u"), "left").select("label", "vec", "component", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    unlinked = named.where("vec is null").select("vec_id", "vec", F.lit(None).cast("long").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    out = named.where("vec is not null").join(about, ["label", "vec"], "left").select("vec_id", "vec", "component", "n_links").unionByName(unlinked)
+    component = F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
