@@ -6,15 +6,16 @@ import regex
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudloom.llm import kernels
-from cloudloom.llm.storage import materialize, short_batches
+from cloudloom.llm.storage import short_batches
 
 BITS = 13
 SIZE = 1 << BITS
 GRAMS = (1, 2, 3)
+ROWS = 128  # whose counts are held at once
 _TEXT = "__text_to_name"
 _LETTER = regex.compile(r"\p{L}")
 _KEPT = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
@@ -22,6 +23,12 @@ _KEPT = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 e
 
 def counts(column: pa.Array):
     """For slices of rows: first row, last row, and counts of the hashed byte n-grams of each (dense), A-Z lower-cased and runs of other ASCII than letters as one blank."""
+    for first in range(0, len(column), ROWS):
+        for i, j, c in _counts(column.slice(first, ROWS)):
+            yield first + i, first + j, c
+
+
+def _counts(column: pa.Array):
     held = None
     for i, j, data, at, own_bytes, goes_on in kernels.pieces(column, 1 << 19, max(GRAMS) - 1):
         plain = _KEPT[data]
@@ -111,7 +118,7 @@ def fit(docs: DataFrame, learn: Column, clusters: int = 4, per_language: int = 4
 
     Document frequencies are counted over all of them.  Centroids are fitted to
     a bounded sample: the ``per_language`` texts with letters of each language
-    whose hashed ids are least.  A text is too far from its centroid if its
+    whose hashes, of id and text, are least.  A text is too far from its centroid if its
     cosine is less than that of all but ``quantile`` of the centroid's own
     sample texts.
     """
@@ -124,15 +131,20 @@ def fit(docs: DataFrame, learn: Column, clusters: int = 4, per_language: int = 4
     lettered = rows.where(F.col("text").rlike(r"\p{L}"))
     sizes = {r.lang: r.n for r in lettered.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / size) * (1 << 30)))).otherwise(share)
-    sample = materialize(lettered.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("lang", "text").mapInArrow(lambda it: _sample_vectors(it, idf), "lang string, x binary"), "languages")
+    for lang, size in sizes.items():  # far more than are taken, so that few texts are sorted
+        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, 2 * per_language / size) * (1 << 30)))).otherwise(share)
+    rank = F.xxhash64("doc_id", "text")
+    near = lettered.where(F.pmod(rank, F.lit(1 << 30)) < share).withColumn("rank", F.pmod(rank, F.lit(1 << 30)))
+    first = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))).where(F.col("place") <= per_language)
+    raw: dict[str, list[bytes]] = {lang: [] for lang in sizes}
+    for r in first.select("lang", "text").mapInArrow(lambda it: _sample_vectors(it, idf), "lang string, x binary").collect():  # at most per_language a language
+        raw[r.lang].append(bytes(r.x))
     names, owner, centroids, reach = sorted(sizes), [], [], []
     for k, lang in enumerate(names):
-        raw = sorted(bytes(r.x) for r in sample.where(F.col("lang") == lang).select("x").collect())
-        if not raw:
-            raw = sorted(bytes(r.x) for r in lettered.where(F.col("lang") == lang).limit(per_language).select("lang", "text").mapInArrow(lambda it: _sample_vectors(it, idf), "lang string, x binary").collect())
-        x = np.stack([np.frombuffer(b, np.float32) for b in raw]).astype(float)
+        if not raw[lang]:  # equal rows have equal hashes: all of a language's can be too great
+            alike = lettered.where(F.col("lang") == lang).orderBy(rank, "text").limit(per_language)
+            raw[lang] = [bytes(r.x) for r in alike.select("lang", "text").mapInArrow(lambda it: _sample_vectors(it, idf), "lang string, x binary").collect()]
+        x = np.stack([np.frombuffer(b, np.float32) for b in sorted(raw[lang])]).astype(float)
         centre = _cluster(x, clusters)
         cosines = x @ centre.T
         own = cosines.argmax(1)

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cloudloom.llm import languages
@@ -41,3 +43,47 @@ def test_rejection_and_nothing_learnt(spark):
     none = languages.fit(docs.limit(0), F.lit(True))
     assert {(r.lang_pred, r.score) for r in languages.predict(odd, none).collect()} == {("und", 0.0)}
     assert languages.predict(docs.limit(0), model).collect() == []
+
+
+def plain_counts(text):
+    """Bucket counts of one text, n-gram by n-gram."""
+    data = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in (text or "").encode()]
+    data = [c for i, c in enumerate(data) if c != 32 or not i or data[i - 1] != 32]
+    out = {}
+    for n in languages.GRAMS:
+        for i in range(len(data) - n + 1):
+            h = data[i] + 1
+            for c in data[i + 1 : i + n]:
+                h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+            x = (h ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B & 0xFFFFFFFF
+            x = ((x ^ (x >> 15)) * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - languages.BITS)
+            out[x] = out.get(x, 0) + 1
+    return out
+
+
+def test_counts_equal_plain_ones():
+    texts = [t for _, t, _ in corpus(150)] + [None, "", "A  b", "é" * 700_000, "x", "ab " * 600_000]
+    got = [None] * len(texts)
+    for i, j, c in languages.counts(pa.array(texts)):
+        for r in range(i, j):
+            got[r] = {int(g): int(c[r - i, g]) for g in np.flatnonzero(c[r - i])}
+    assert got == [plain_counts(t) for t in texts]
+
+
+def test_prediction_equals_plain_cosines(spark):
+    docs = spark.createDataFrame(corpus(200), "doc_id long, text string, lang string")
+    model = languages.fit(docs, F.lit(True), per_language=20)
+    for r in languages.predict(docs.limit(40), model).collect():
+        x = np.zeros(languages.SIZE)
+        for g, n in plain_counts(r.text).items():
+            x[g] = np.log1p(n) * model.idf[g]
+        cosines = [float(x @ c) / np.linalg.norm(x) for c in model.centroids]
+        assert abs(r.score - max(cosines)) < 1e-9
+        assert r.lang_pred == model.names[model.owner[int(np.argmax(cosines))]]
+
+
+def test_fit_of_repeated_rows_is_bounded_and_repeatable(spark):
+    docs = spark.createDataFrame([(7, "tha ing", "xx")] * 300 + [(i, f"que los {i}", "yy") for i in range(300)], "doc_id long, text string, lang string")
+    a, b = (languages.fit(docs.repartition(n), F.lit(True), per_language=10) for n in (2, 5))
+    assert a.names == b.names == ["xx", "yy"]
+    assert np.allclose(a.centroids, b.centroids)
