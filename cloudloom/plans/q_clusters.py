@@ -239,7 +239,14 @@ def column_detector(spark, d):
     return ordered.columns(p, "cloud_id").select("cloud_id")
 
 
-@query()
+def _lines(axis):
+    """SQL: points in the beams across one axis."""
+    return f"""(WITH n AS (SELECT {axis}i AS i, count(DISTINCT {'y' if axis == 'x' else 'x'}i) AS n FROM c GROUP BY {axis}i), f AS (SELECT i, i - row_number() OVER (ORDER BY i) AS run FROM n WHERE n >= (SELECT max(n) FROM n) * 0.5),
+k AS (SELECT i, dense_rank() OVER (ORDER BY run) - 1 AS beam FROM f) SELECT pid, '{axis}' AS axis, beam::BIGINT AS beam FROM c JOIN k ON c.{axis}i = k.i)"""
+
+
+@query(f"""WITH p AS ({V.EMB}), b AS (SELECT min(x) AS mx, min(y) AS my, least((max(x) - min(x)) / 40, (max(y) - min(y)) / 40) AS s FROM p),
+c AS (SELECT pid, trunc((x - mx) / s)::INT AS xi, trunc((y - my) / s)::INT AS yi FROM p, b) {_lines("x")} UNION ALL {_lines("y")}""")
 def beams(spark, d):
     return ordered.beams(V.emb(spark, d), 40)
 

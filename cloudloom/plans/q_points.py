@@ -326,11 +326,17 @@ def curvature_colours(spark, d):
     return grid.curvature_colours(V.cells(V.emb(spark, d), 0.05))
 
 
-@query()
+@query(f"""WITH p AS ({V.EMB}), l AS (SELECT pid, [CASE WHEN v / 255.0 > 0.04045 THEN pow((v / 255.0 + 0.055) / 1.055, 2.4) ELSE v / 255.0 / 12.92 END * 100 FOR v IN [r, g, b]] AS c FROM p),
+x AS (SELECT pid, [CASE WHEN v > 0.008856 THEN pow(v, 1.0::DOUBLE / 3) ELSE (903.3 * v + 16) / 116 END FOR v IN [(c[1] * 0.4124 + c[2] * 0.3576 + c[3] * 0.1805) / 95.047,
+  (c[1] * 0.2126 + c[2] * 0.7152 + c[3] * 0.0722) / 100, (c[1] * 0.0193 + c[2] * 0.1192 + c[3] * 0.9505) / 108.883]] AS v FROM l),
+y AS (SELECT pid, greatest(0, 116 * v[2] - 16) AS l, 500 * (v[1] - v[2]) AS a, 200 * (v[2] - v[3]) AS b FROM x)
+SELECT pid, trunc((l - min(l) OVER ()) * 255 / (max(l) OVER () - min(l) OVER ()))::INT AS r, trunc((a - min(a) OVER ()) * 255 / (max(a) OVER () - min(a) OVER ()))::INT AS g, trunc((b - min(b) OVER ()) * 255 / (max(b) OVER () - min(b) OVER ()))::INT AS b FROM y""")
 def lab_stretch(spark, d):
     return C.stretch_lab(V.emb(spark, d)).select("pid", "r", "g", "b")
 
 
-@query()
+@query(f"""WITH p AS (SELECT obj_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(features, lambda v: v * v)), lambda s, v: s + v) AS e FROM ({V.DESC})), q AS (SELECT obj_id, coalesce(e / nullif(max(e) OVER (), 0), 0) AS f FROM p)
+SELECT obj_id, CASE WHEN f <= 0 THEN 128 WHEN f <= 0.25 THEN trunc(128 * (1 - f / 0.25))::INT WHEN f <= 0.5 THEN 65280
+  WHEN f <= 0.75 THEN 255 * 65536 + 256 * trunc(255 + (0.5 - f) / 0.25 * 127)::INT WHEN f <= 1 THEN 255 * 65536 + 256 * trunc(128 * (1 - f) / 0.25)::INT ELSE 255 * 65536 END AS rgb FROM q""")
 def energy_colours(spark, d):
     return C.energy_colours(V.desc(spark, d)).select("obj_id", "rgb")
