@@ -268,7 +268,7 @@ def bundler_camera_files(spark, d):
     return _back(spark, _bundle(spark, d), "bundler_cameras").select("camera", "focal", "k1", F.col("rotation")[0].alias("r0"), F.col("shift")[2].alias("t2"))
 
 
-@query("SELECT n_nationkey AS scan, n_nationkey * 1.5 AS lat, n_regionkey * 2.0 AS lon, 100.0::DOUBLE AS alt, 0.25::DOUBLE AS yaw FROM nation")
+@query("SELECT n_nationkey AS scan, n_nationkey * 1.5::DOUBLE AS lat, n_regionkey * 2.0::DOUBLE AS lon, 100.0::DOUBLE AS alt, 0.25::DOUBLE AS yaw FROM nation")
 def oxts_files(spark, d):
     n = V.table(spark, d, "nation")
     lines = n.select(F.col("n_nationkey").alias("scan"), F.lit(0).cast("long").alias("place"), F.format_string("%f %f 100 0 0 0.25 7 8", F.col("n_nationkey") * 1.5, F.col("n_regionkey") * 2.0).alias("value"))
