@@ -201,7 +201,7 @@ def depth_image(spark, d):
     return writers.depth_image_lines(depth, 40, 30)
 
 
-@query(f"WITH p AS ({V.EMB}), c AS ({V.CELLS.format(leaf=0.05)}) SELECT round(-1 + xi * 0.05, 5) AS x, round(-1 + yi * 0.05, 5) AS y, round(-1 + zi * 0.05, 5) AS z FROM c")
+@query(f"WITH p AS ({V.EMB}), c AS ({V.CELLS.format(leaf=0.05)}) SELECT round(-1 + xi * 0.05::DOUBLE, 5) AS x, round(-1 + yi * 0.05::DOUBLE, 5) AS y, round(-1 + zi * 0.05::DOUBLE, 5) AS z FROM c")
 def voxel_files(spark, d):
     g = spark.createDataFrame([(-1.0, -1.0, -1.0, 0.05)], "ox double, oy double, oz double, leaf double")
     return _back(spark, writers.voxel_lines(V.cells(V.emb(spark, d), 0.05), g), "pcd").select(*(F.round(c, 5).alias(c) for c in "xyz"))
