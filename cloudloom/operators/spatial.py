@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.functions.columns import manhattan, squared_distance
+from cloudloom.operators import blocks
 
 
 def range_join(left: DataFrame, right: DataFrame, d: float, metric: str = "linf", axes: str = "xyz", strict: bool = False) -> DataFrame:
@@ -27,36 +27,19 @@ def range_join(left: DataFrame, right: DataFrame, d: float, metric: str = "linf"
     return a.join(b, [f"_b{c}" for c in axes]).where(size < d if strict else size <= d).drop(*(f"_b{c}" for c in axes))
 
 
-def _distance(metric: str):
-    return {"l1": manhattan, "l2": squared_distance}[metric]
-
-
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int = 1, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """The ``k`` nearest rows of ``right`` for each row of ``left`` by ``features`` (squared L2 or L1): left_id, right_id, dist, rank, and ``label`` of the right if it has one.  Ties go to the lower id.
 
-    ``right`` is the reference set (a vocabulary, a training set).  Spark
-    broadcasts it if it is small enough, else both sides are dealt in blocks
-    and each block of the left meets each of the right.  A partial top-k per
-    block of the right goes before the final one.
+    Blocks of both sides meet in Python (``blocks``); only the ``k`` nearest of
+    each block of the right come back.  Dimensions that are null in either vector
+    are left out; a row without any common one has no distance and comes last.
     """
-    blocks = 16
-    cols = [F.col(right_id).alias("_rid"), F.col("features").alias("_rf"), *([F.col("label").alias("_rl")] if "label" in right.columns else [])]
-    b = right.select(*cols, F.pmod(F.xxhash64(right_id), F.lit(blocks)).cast("int").alias("_block"))
-    a = left.select(F.col(left_id).alias("_lid"), F.col("features").alias("_lf"), F.explode(F.array(*(F.lit(i) for i in range(blocks)))).alias("_block"))
-    pairs = a.join(b, "_block")
-    if skip_self:
-        pairs = pairs.where("_lid <> _rid")
-    one = F.struct(_distance(metric)(F.col("_lf"), F.col("_rf")).alias("dist"), F.col("_rid").alias("rid"), *([F.col("_rl").alias("label")] if "label" in right.columns else []))
-    if k == 1:
-        best = pairs.groupBy("_lid").agg(F.min(one).alias("m"))
-        out = best.select(F.col("_lid").alias(left_id), F.col("m.rid").alias(right_id if right_id != left_id else f"n_{right_id}"), "m.dist", *(["m.label"] if "label" in right.columns else []))
-        return out.withColumn("rank", F.lit(1))
-    scored = pairs.select("_lid", "_block", one.alias("m"))
-    w = Window.partitionBy("_lid", "_block").orderBy("m")
-    few = scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    w = Window.partitionBy("_lid").orderBy("m")
-    few = few.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return few.select(F.col("_lid").alias(left_id), F.col("m.rid").alias(right_id if right_id != left_id else f"n_{right_id}"), "m.dist", *(["m.label"] if "label" in right.columns else []), "rank")
+    label = ["label"] if "label" in right.columns else []
+    a = left.select(F.col(left_id).alias("_lid"), "features")
+    b = right.select(F.col(right_id).alias("_rid"), *label, "features")
+    w = Window.partitionBy("_lid").orderBy(F.col("dist").asc_nulls_last(), "_rid")
+    few = blocks.nearest(a, b, k, metric, skip_self).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return few.select(F.col("_lid").alias(left_id), F.col("_rid").alias(right_id if right_id != left_id else f"n_{right_id}"), "dist", *label, "rank")
 
 
 def correlate(scene: DataFrame, model: DataFrame) -> DataFrame:
