@@ -18,13 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from cloudloom.functions.tables import discard, materialize
 
 #: Vectors in a pack, in a block; entries of a table of distances; pairs computed again at once; cells for tables of more than a few pairs; copies of a side, in rows of the larger side.
 PACK, BLOCK, TILE, AGAIN, CELLS, COPIES = 1024, 32_768, 2_000_000, 32_768, 16, 4
-_DOUBLE = DoubleType()
+_DOUBLE, _LONG = DoubleType(), LongType()
 
 
 class Vectors:
@@ -261,6 +261,58 @@ def _nearest_in(key: str, other: str, most: int, metric: str, skip: bool):
     return run
 
 
+def _labels(b: Vectors) -> tuple[np.ndarray, np.ndarray, pa.ChunkedArray]:
+    """An order of the rows by label, where each label begins, and the labels."""
+    codes = b.columns["label"].combine_chunks()
+    codes = pa.concat_arrays(codes.chunks) if isinstance(codes, pa.ChunkedArray) else codes
+    codes = codes.dictionary_encode(null_encoding="encode")
+    n = codes.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(n, kind="stable")
+    begins = np.flatnonzero(np.r_[True, n[order][1:] != n[order][:-1]])
+    return order, begins, codes.dictionary.take(pa.array(n[order][begins]))
+
+
+def _all_pairs(a: Vectors, b: Vectors) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, exact distances of some rows of ``a`` to all of ``b``, which have any), for rows that aren't whole."""
+    rows = max(1, AGAIN * 8 // len(b))
+    for at in range(0, len(a), rows):
+        n = min(rows, len(a) - at)
+        dist, any_ = _again(a, b, np.repeat(np.arange(at, at + n), len(b)), np.tile(np.arange(len(b)), n), "l2")
+        yield at, dist.reshape(n, -1), any_.reshape(n, -1)
+
+
+def _plain(a: Vectors, b: Vectors) -> bool:
+    return a.there is None and b.there is None and a.x.shape[1] == b.x.shape[1]
+
+
+def _by_label(key: str, labels: pa.Array, at: int, a: Vectors, values: np.ndarray, there: np.ndarray, name: str) -> pa.Table:
+    i, j = np.nonzero(there)
+    return pa.table({"_lid": a.columns[key].take(pa.array(i + at)), "label": labels.take(pa.array(j)), name: pa.array(values[i, j]), **{c: a.columns[c].take(pa.array(i + at)) for c in a.columns.column_names if c != key}})
+
+
+def _counts_in(key: str, limit: float, skip: bool):
+    def run(a: Vectors, b: Vectors) -> Iterator[pa.Table]:
+        order, begins, labels = _labels(b)
+        b = b.take(order)
+        same = _codes(a.columns[key], b.columns["_rid"]) if skip else None
+        plain = _plain(a, b)
+        for at, d, x in _tiles(a, b, "l2") if plain else _all_pairs(a, b):
+            near = d < limit
+            if plain:
+                i, k = np.nonzero(np.abs(d - limit) <= 2 * x[:, None])
+                near[i, k] = _again(a, b, i + at, k, "l2")[0] < limit
+            else:
+                near &= x
+            if same:
+                own = same[0][at : at + len(d)]
+                for code in np.unique(own[np.isin(own, same[1])]):
+                    near[np.ix_(own == code, same[1] == code)] = False
+            n = np.add.reduceat(near, begins, axis=1, dtype=np.int64)
+            yield _by_label(key, labels, at, a, n, n > 0, "n")
+
+    return run
+
+
 # --- dealing ------------------------------------------------------------------
 
 
@@ -314,3 +366,12 @@ def nearest(left: DataFrame, right: DataFrame, most: int, metric: str, skip_self
         left, right = left.where("_lid is not null"), right.where("_rid is not null")
     schema = StructType([_field(left, "_lid"), StructField("dist", _DOUBLE), _field(right, "_rid"), *(_field(right, c) for c in labels)])
     return _met(left, right, ["_lid"], ["_rid", *labels], schema, _nearest_in("_lid", "_rid", most, metric, skip_self))
+
+
+def counts_under(left: DataFrame, right: DataFrame, limit: float, skip_self: bool) -> DataFrame:
+    """(_lid, label, n): rows of ``right`` (_rid, label, features) at a squared distance under ``limit``, by label, for those of ``left``."""
+    if skip_self:
+        left, right = left.where("_lid is not null"), right.where("_rid is not null")
+    schema = StructType([_field(left, "_lid"), _field(right, "label"), StructField("n", _LONG)])
+    parts = _met(left, right, ["_lid"], ["_rid", "label"], schema, _counts_in("_lid", limit, skip_self))
+    return parts.groupBy("_lid", "label").agg(F.sum("n").alias("n"))

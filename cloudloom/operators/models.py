@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.operators import spatial
+from cloudloom.operators import blocks, spatial
 
 
 def long_features(rows: DataFrame, *keep: str) -> DataFrame:
@@ -70,13 +70,9 @@ def knn_vote(test: DataFrame, train: DataFrame, key: str, k: int = 5) -> DataFra
 
 def threshold_vote(test: DataFrame, train: DataFrame, key: str, limit: float, skip_self: bool = False) -> DataFrame:
     """(key, pred): the most frequent label of the training rows at a squared distance under ``limit`` (ties: the lower label), null where there is none."""
-    from cloudloom.functions.columns import squared_distance
-
-    a = test.select(F.col(key).alias("_id"), F.col("features").alias("_f"))
-    pairs = a.join(train.select(F.col(key).alias("_tid"), F.col("features").alias("_tf"), "label"), squared_distance(F.col("_f"), F.col("_tf")) < limit)
-    if skip_self:
-        pairs = pairs.where("_id <> _tid")
-    n = pairs.groupBy("_id", "label").agg(F.count("*").alias("n"))
+    a = test.select(F.col(key).alias("_lid"), "features")
+    b = train.select(F.col(key).alias("_rid"), "label", "features")
+    n = blocks.counts_under(a, b, limit, skip_self).withColumnRenamed("_lid", "_id")
     best = n.groupBy("_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("pred"))
     return test.select(key).join(best, F.col(key) == F.col("_id"), "left").select(key, "pred")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cloudloom.operators import blocks, spatial
+from cloudloom.operators import blocks, models, spatial
 
 ROWS = "obj_id long, features array<double>, label int"
 
@@ -47,6 +47,17 @@ def test_nearest_is_that_of_all(spark, small_blocks, odd, k, metric, skip):
         assert got[row[0]] == [(i, c) for *_, i, c in ranked(row, rows, metric == "l1", skip)[:k]], row
 
 
+@pytest.mark.parametrize("skip", [False, True])
+def test_votes_count_all(spark, small_blocks, skip):
+    rows = vectors(odd=True)
+    df = spark.createDataFrame(rows, ROWS).repartition(3)
+    got = {r.obj_id: r.pred for r in models.threshold_vote(df, df, "obj_id", 0.5, skip_self=skip).collect()}
+    assert len(got) == len(rows)
+    for row in rows:
+        near = [c for _, d, _, c in ranked(row, rows, skip=skip) if d < 0.5]
+        assert got[row[0]] == (min(set(near), key=lambda c: (-near.count(c), c)) if near else None)
+
+
 def test_pairs_stay_out_of_sorts_and_joins(spark):
     """Neither a sort nor a join of Spark's sees the pairs: what comes back is the nearest of each block."""
     df = spark.createDataFrame([(i, [float(i % 50), 1.0], 0) for i in range(400)], ROWS)
