@@ -313,6 +313,31 @@ def _counts_in(key: str, limit: float, skip: bool):
     return run
 
 
+def _least_in(key: str):
+    def run(a: Vectors, b: Vectors) -> Iterator[pa.Table]:
+        order, begins, labels = _labels(b)
+        b = b.take(order)
+        group = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(b)]))
+        if plain := _plain(a, b):
+            kept = _first_copies(b, 1, group.astype(float))
+            b, group = b.take(kept), group[kept]
+            begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        for at, d, x in _tiles(a, b, "l2") if plain else _all_pairs(a, b):
+            if plain:
+                least = np.minimum.reduceat(d, begins, axis=1)
+                i, k = np.nonzero(d <= least[:, group] + 2 * x[:, None])
+                out = np.full(least.shape, np.inf)
+                np.minimum.at(out, (i, group[k]), _again(a, b, i + at, k, "l2")[0])
+                there = np.ones(out.shape, bool)
+            else:
+                d = np.where(x, d, np.nan)
+                out = np.fmin.reduceat(d, begins, axis=1)
+                there = np.logical_or.reduceat(x, begins, axis=1)
+            yield _by_label(key, labels, at, a, out, there, "d")
+
+    return run
+
+
 # --- dealing ------------------------------------------------------------------
 
 
@@ -375,3 +400,10 @@ def counts_under(left: DataFrame, right: DataFrame, limit: float, skip_self: boo
     schema = StructType([_field(left, "_lid"), _field(right, "label"), StructField("n", _LONG)])
     parts = _met(left, right, ["_lid"], ["_rid", "label"], schema, _counts_in("_lid", limit, skip_self))
     return parts.groupBy("_lid", "label").agg(F.sum("n").alias("n"))
+
+
+def least_by_label(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """(by, _lid, label, d): the least squared distance to a row of ``right`` (label, features) of each label."""
+    schema = StructType([_field(left, by), _field(left, "_lid"), _field(right, "label"), StructField("d", _DOUBLE)])
+    parts = _met(left, right, ["_lid", by], ["label"], schema, _least_in("_lid"))
+    return parts.groupBy(by, "_lid", "label").agg(F.min("d").alias("d"))

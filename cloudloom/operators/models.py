@@ -79,10 +79,7 @@ def threshold_vote(test: DataFrame, train: DataFrame, key: str, limit: float, sk
 
 def class_nearest(samples: DataFrame, train: DataFrame, by: str, sample_id: str) -> DataFrame:
     """(by, pred, total): the class with the least sum, over an object's samples, of the distance to its nearest member."""
-    from cloudloom.functions.columns import squared_distance
-
-    s = samples.select(by, F.col(sample_id).alias("_s"), F.col("features").alias("_f"))
-    d = s.crossJoin(train.select(F.col("features").alias("_tf"), "label")).groupBy(by, "_s", "label").agg(F.min(squared_distance(F.col("_f"), F.col("_tf"))).alias("d"))
+    d = blocks.least_by_label(samples.select(by, F.col(sample_id).alias("_lid"), "features"), train.select("label", "features"), by)
     total = d.groupBy(by, "label").agg(F.round(F.sum("d"), 9).alias("total"))
     return total.groupBy(by).agg(F.min(F.struct("total", "label")).alias("m")).select(by, F.col("m.label").alias("pred"), F.col("m.total").alias("total"))
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudloom.operators import blocks, models, spatial
 
@@ -58,6 +59,16 @@ def test_votes_count_all(spark, small_blocks, skip):
         assert got[row[0]] == (min(set(near), key=lambda c: (-near.count(c), c)) if near else None)
 
 
+def test_classes_nearest_of_all(spark, small_blocks):
+    rows = vectors()
+    df = spark.createDataFrame(rows, ROWS).repartition(3)
+    got = {r.grp: (r.pred, r.total) for r in models.class_nearest(df.where("obj_id % 5 = 0").withColumn("grp", F.col("obj_id") % 7), df.where("obj_id % 5 <> 0"), "grp", "obj_id").collect()}
+    for g in range(7):
+        total = {c: sum(min(brute(a[1], b[1]) for b in rows if b[0] % 5 and b[2] == c) for a in rows if a[0] % 5 == 0 and a[0] % 7 == g) for c in range(4)}
+        assert got[g][0] == min(total, key=lambda c: (round(total[c], 9), c))
+        assert got[g][1] == pytest.approx(min(total.values()))
+
+
 def test_pairs_stay_out_of_sorts_and_joins(spark):
     """Neither a sort nor a join of Spark's sees the pairs: what comes back is the nearest of each block."""
     df = spark.createDataFrame([(i, [float(i % 50), 1.0], 0) for i in range(400)], ROWS)
