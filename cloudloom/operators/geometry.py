@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloudloom.operators import grid, spatial
+from cloudloom.operators import around, grid, spatial
 
 
 def centroid(df: DataFrame, by: list[str]) -> DataFrame:
@@ -74,8 +74,8 @@ def least_axis(*moments: Column) -> Column:
 
 def normals(points: DataFrame, d: float, metric: str = "l2") -> DataFrame:
     """(pid, n, nx, ny, nz, curvature) from the points within ``d``, itself included; normals point to the origin."""
-    pairs = spatial.range_join(points.select("pid", "x", "y", "z"), points.select("pid", "x", "y", "z"), d, metric)
-    m = pairs.groupBy("pid", "x", "y", "z").agg(F.count("*").alias("n"), *_moments("n_"))
+    kinds = {c: "double" for c in "xyz"} | {"n": "long"} | {f"s{k}": "double" for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    m = around.around(points, [], d, around.moments, around.fields(points, **kinds), itself=True, linf=metric == "linf")
     m = m.withColumn("e", least_axis(*(F.col(f"s{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz"))))
     sign = F.when(F.col("x") * F.col("e.nx") + F.col("y") * F.col("e.ny") + F.col("z") * F.col("e.nz") > 0, -1.0).otherwise(1.0)
     return m.select("pid", "x", "y", "z", "n", *((F.col(f"e.n{c}") * sign).alias(f"n{c}") for c in "xyz"), "e.curvature")
