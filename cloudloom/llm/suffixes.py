@@ -101,7 +101,7 @@ def _anchors(batches, length: int, most: int):
 def _equal(data: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether strings of ``data`` are equal, byte by byte."""
     out = np.ones(len(x), bool)
-    step = max((8 << 20) // int(size.max(initial=1)), 1)
+    step = max((1 << 20) // int(size.max(initial=1)), 1)
     for s in range(0, len(x), step):
         span = np.minimum(np.arange(size[s : s + step].max()), size[s : s + step, None] - 1)
         out[s : s + step] = (data[x[s : s + step, None] + span] == data[y[s : s + step, None] + span]).all(1)

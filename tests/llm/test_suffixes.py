@@ -96,3 +96,15 @@ def test_suffix_sort_sorts():
         own = [s for s, x in zip(strings, group, strict=True) if x == g]
         assert own == sorted(own)
     assert [bool(k and group[k] == group[k - 1] and strings[k] == strings[k - 1]) for k in range(600)] == equal.tolist()
+
+
+def test_checks_of_equal_runs_hold_little():
+    import tracemalloc
+
+    data = np.frombuffer(b"0123456789" * 30_000, np.uint8)
+    x = np.arange(60_000)
+    tracemalloc.start()
+    same = suffixes._equal(data, x, x + 10, np.full(len(x), 140))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert same.all() and peak < 64 << 20  # 200 MB where 8 MB of bytes were met at once
