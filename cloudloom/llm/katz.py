@@ -22,29 +22,58 @@ BUCKET = 500_000  # tokens for which there is one more bucket
 START_HASH, END_HASH = U64(0x5354415254), U64(0x454E44)
 NONE, START, FIRST = U64(0), U64(1), U64(2)  # codes; those of words begin with FIRST
 NULL_ID = -(2**63)
-_W = 21  # bits of a word's place in the dictionary of a slice
+_PRESS, _UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _SUMS = ["total", *(f"t{r}" for r in range(1, TRUST + 1)), "lower"]
 
 
 def _save(**arrays: np.ndarray) -> bytes:
-    """Arrays, the bytes of each dealt by place so that they compress."""
-    press = zstandard.ZstdCompressor(level=1)
+    """Arrays, the bytes of each dealt by place so that they compress; high places of unsigned ones that hold only zeros are left out."""
     out = {}
     for k, a in arrays.items():
-        a = np.ascontiguousarray(a)
-        out[k] = a.dtype.str, len(a), press.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+        width = a.dtype.itemsize
+        used = width if a.dtype.kind != "u" else (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        rows = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), width)
+        planes = np.empty((used, len(a)), np.uint8)
+        for p in range(used):
+            planes[p] = rows[:, p]
+        out[k] = a.dtype.str, len(a), used, _PRESS.compress(planes) if planes.size else b""
     return pickle.dumps(out, protocol=5)
 
 
 def _load(blob: bytes) -> dict[str, np.ndarray]:
-    press = zstandard.ZstdDecompressor()
     out = {}
-    for k, (t, n, raw) in pickle.loads(blob).items():
-        planes = np.frombuffer(press.decompress(raw), np.uint8)
-        out[k] = np.ascontiguousarray(planes.reshape(-1, n).T).reshape(-1).view(t) if n else np.zeros(0, t)
+    for k, (t, n, used, raw) in pickle.loads(blob).items():
+        a = np.zeros(n, t)
+        rows = a.view(np.uint8).reshape(n, a.dtype.itemsize)
+        planes = np.frombuffer(_UNPRESS.decompress(raw) if raw else b"", np.uint8).reshape(used, n)
+        for p in range(used):
+            rows[:, p] = planes[p]
+        out[k] = a
     return out
 
 
+def _bits(most: int) -> int:
+    return max(int(most), 1).bit_length()
+
+
+def _distinct(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts keys of so many bits, where in it each distinct key begins, and the place of each key among the distinct ones."""
+    n, low = len(key), _bits(len(key))
+    if bits + low <= 64:  # sorting numbers is several times as fast as sorting places
+        packed = (key << U64(low)) | np.arange(n, dtype=U64)
+        packed.sort()
+        by = (packed & U64((1 << low) - 1)).astype(np.int64)
+        packed >>= U64(low)
+    else:
+        by = np.argsort(key)
+        packed = key[by]
+    new = np.ones(n, bool)
+    np.not_equal(packed[1:], packed[:-1], out=new[1:])
+    place = np.empty(n, np.int64)
+    place[by] = np.cumsum(new) - 1
+    return by, np.flatnonzero(new), place
+
+
 def _cuts(sorted_: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(sorted_)) if len(sorted_) else np.zeros(1, np.int64)
 
@@ -105,33 +134,44 @@ class _Grams:
         own = np.ones(len(s["tok"]), bool)
         own[first] = own[first + 1] = False
         self.own = np.flatnonzero(own)
-        self.row = np.repeat(np.arange(len(size)), size - 2)
         tok = s["tok"].astype(U64)
-        key = tok[self.own]
+        width = _bits(len(s["names"]))  # bits of a word's place in the dictionary of the slice
+        if order * width > 64:
+            raise OverflowError("a slice has too many distinct words")
+        key = tok[2:].copy()  # a slice begins with the two before its first row's tokens
         for back in range(1, order):
-            key |= tok[self.own - back] << U64(_W * back)
-        keys, at = np.unique(key, return_inverse=True)
-        mask = U64((1 << _W) - 1)
-        w, v, u = (((keys >> U64(_W * b)) & mask).astype(np.int64) for b in range(3))
+            key |= tok[2 - back : len(tok) - back] << U64(width * back)
+        key = key[own[2:]]
+        by, begins, at = _distinct(key, order * width)
+        key = key[by[begins]]
+        del tok, own, by
+        mask = U64((1 << width) - 1)
+        w = (key & mask).astype(np.int64)
+        above = key >> U64(width)
+        new = np.ones(len(key), bool)
+        np.not_equal(above[1:], above[:-1], out=new[1:])
+        of = np.cumsum(new) - 1  # contexts by their places, in order
+        above = above[new]
+        v, u = (above & mask).astype(np.int64), (above >> U64(width)).astype(np.int64)
         names = s["names"] if order == 1 else np.cumsum(s["names"], dtype=U64)
-        none = np.zeros(len(keys), U64)
-        code = names[w], (names[v] if order > 1 else none), (names[u] if order > 2 else none)
-        context = _context(code[2], code[1])
-        is_hot = np.zeros(len(keys), bool)
+        none = np.zeros(len(above), U64)
+        v_code, u_code = names[v] if order > 1 else none, names[u] if order > 2 else none
+        context = _context(u_code, v_code)
+        code = names[w]
+        bucket = (context % U64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)[of]
         if len(hot):
-            is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
-        bucket = (np.where(is_hot, kernels.mix(context ^ kernels.mix(code[0])), context) % U64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
+            split = np.flatnonzero((hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context)[of])
+            bucket[split] = kernels.mix(context[of[split]] ^ kernels.mix(code[split])) % U64(buckets)
         perm = np.argsort(bucket, kind="stable")
         back = np.empty(len(perm), np.int64)
         back[perm] = np.arange(len(perm))
         self.at = back[at]  # n-gram of each token
-        self.n = np.bincount(self.at, s["learn"][self.row], len(perm)).astype(np.uint32)
-        self.bucket, self.context = bucket[perm], context[perm]
-        self.w, self.v, self.u = (c[perm] for c in code)
-        self.w_at, self.v_at = w[perm], v[perm]
-        new = np.append(True, (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])) if len(perm) else np.zeros(0, bool)
+        self.bucket, self.w, self.w_at, of = bucket[perm], code[perm], w[perm], of[perm]
+        new[1:] = (of[1:] != of[:-1]) | (self.bucket[1:] != self.bucket[:-1])
         self.runs = np.flatnonzero(new)  # where n-grams of one context begin
         self.run = np.cumsum(new) - 1
+        of = of[self.runs]
+        self.context, self.u, self.v, self.v_at = context[of], u_code[of], v_code[of], v[of]  # of each run
 
 
 def _ask(batches, order: int, buckets: int, hot: np.ndarray):
@@ -140,25 +180,26 @@ def _ask(batches, order: int, buckets: int, hot: np.ndarray):
         for slice_, body in zip(batch.column("slice").to_pylist(), batch.column("body"), strict=True):
             s = _load(body.as_py())
             g = _Grams(s, order, buckets, hot)
+            n = np.bincount(g.at[np.repeat(s["learn"].astype(bool), s["size"] - 2)], minlength=len(g.w)).astype(np.uint32)
             lower = np.zeros(len(g.w), np.uint32)
             if order == 2:
                 lower = s["c1"][g.w_at]
             elif order == 3:
                 lower[g.at] = s["c2"]
             ends = np.append(g.runs, len(g.w))
-            whole = s["whole2"][g.v_at[g.runs]] if order == 3 else np.zeros(len(g.runs), U64)
+            whole = s["whole2"][g.v_at] if order == 3 else np.zeros(len(g.runs), U64)
             c = _cuts(g.bucket)
+            cut = np.searchsorted(g.runs, c)
             blobs = []
-            for a, b in zip(c[:-1], c[1:], strict=True):
-                p, q = np.searchsorted(g.runs, (a, b))
-                about = {"u": np.diff(g.u[g.runs[p:q]], prepend=NONE), "v": g.v[g.runs[p:q]], "whole": whole[p:q]} if order > 1 else {}
-                blobs.append(_save(**about, run=np.diff(ends[p : q + 1]).astype(np.uint32), w=g.w[a:b], n=g.n[a:b], lower=lower[a:b]))
+            for a, b, p, q in zip(c[:-1], c[1:], cut[:-1], cut[1:], strict=True):
+                about = {"u": np.diff(g.u[p:q], prepend=NONE), "v": g.v[p:q], "whole": whole[p:q]} if order > 1 else {}
+                blobs.append(_save(**about, run=np.diff(ends[p : q + 1]).astype(np.uint32), w=g.w[a:b], n=n[a:b], lower=lower[a:b]))
             yield pa.RecordBatch.from_arrays([pa.array(g.bucket[c[:-1]].astype(np.int32)), pa.array(np.full(len(blobs), slice_)), pa.array(blobs, pa.binary())], names=["bucket", "slice", "blob"])
 
 
 def reduced(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Discounted counts."""
-    return np.where(c > TRUST, c, d[np.minimum(c, TRUST).astype(np.int64)] * c)
+    return np.append(d, 1.0)[np.minimum(c, TRUST + 1).astype(np.int64)] * c
 
 
 _MET = "kind int, slice long, bucket int, blob binary, stats array<double>"
@@ -189,51 +230,57 @@ def _meet(batches, order: int, buckets: int, hot: np.ndarray, d: np.ndarray, who
             if order == 1:
                 f |= dict.fromkeys(("u", "v", "whole"), np.zeros(len(f["run"]), U64))
             context = _context(f["u"], f["v"])
-            names, run_at = np.unique(context, return_inverse=True)
-            at = np.repeat(run_at, f["run"])
-            gram = kernels.mix(names[at] ^ kernels.mix(f["w"]))
-            by = np.argsort(gram, kind="stable")
-            again = gram[by[1:]] == gram[by[:-1]]
-            if (again & (f["w"][by[1:]] != f["w"][by[:-1]])).any() or (again & (at[by[1:]] != at[by[:-1]])).any():
-                raise ArithmeticError("two n-grams have the same hash")
-            u, v = (np.zeros(len(names), U64) for _ in range(2))
-            u[run_at], v[run_at] = f["u"], f["v"]
+            by, begins, run_at = _distinct(context, 64)
+            names = context[by[begins]]
+            u, v, wholes = (f[k][by[begins]] for k in ("u", "v", "whole"))
             if (u[run_at] != f["u"]).any() or (v[run_at] != f["v"]).any():
                 raise ArithmeticError("two contexts have the same hash")
-            first = by[np.append(True, ~again)]
-            place = np.empty(len(by), np.int64)
-            place[by] = np.cumsum(np.append(True, ~again)) - 1
-            n = np.bincount(place, f["n"], len(first)).astype(np.int64)
+            del context, by, begins, u
+            at = np.repeat(run_at, f["run"])
+            word, width = f["w"], _bits(f["w"].max())
+            if _bits(len(names) - 1) + width > 64 and len(names) > 1:
+                begins, word = _distinct(word, width)[1:]
+                word, width = word.astype(U64), _bits(len(begins))
+            gram = word if len(names) == 1 else (at.astype(U64) << U64(width)) | word
+            by, begins, place = _distinct(gram, min(width + (_bits(len(names) - 1) if len(names) > 1 else 0), 64))
+            first = by[begins]
+            n = np.add.reduceat(f["n"][by], begins, dtype=np.int64)
+            del gram, word, by, begins
             count = n[place]
             held = n > 0
             c, x = n[held], first[held]
-            below = reduced(f["lower"][x].astype(float), d) / (whole if order == 2 else np.maximum(np.repeat(f["whole"], f["run"])[x], 1)) if order > 1 else np.zeros(len(x))
-            total = np.bincount(at[x], c, len(names))
-            small = [np.bincount(at[x], c == r, len(names)) for r in range(1, TRUST + 1)]
-            s = np.bincount(at[x], below, len(names))
+            of = at[x]  # in order
+            del at
+            below = reduced(f["lower"][x].astype(float), d) / (whole if order == 2 else np.maximum(wholes[of], 1)) if order > 1 else np.zeros(len(x))
+            total = np.bincount(of, c, len(names))
+            few = c <= TRUST
+            small = np.bincount(of[few] * TRUST + c[few] - 1, minlength=TRUST * len(names)).reshape(-1, TRUST).T
+            s = np.bincount(of, below, len(names))
             yield _row(_COUNTS, [0], bucket, None, [[*np.bincount(np.minimum(c, TRUST + 2), minlength=TRUST + 3)[1 : TRUST + 2].astype(float).tolist(), float(len(c))]])
             split = np.flatnonzero(np.isin(names, hot))
             if len(split):
-                yield _row(_HOT, names[split].view(np.int64), bucket, None, np.column_stack([total, *small, s])[split].tolist())
+                yield _row(_HOT, names[split].view(np.int64), bucket, None, np.column_stack([total[split], small[:, split].T, s[split]]).tolist())
             if order == 1:
                 code = np.empty(len(n), U64)  # the most frequent words have the least codes
                 code[np.argsort(-n, kind="stable")] = np.arange(len(n), dtype=U64) * U64(buckets) + U64(bucket) + FIRST
             if order < ORDER and (c > often).any():
                 top = x[c > often]
-                known = _context(np.repeat(f["v"], f["run"])[top], f["w"][top] if order > 1 else code[held][c > often])
+                known = _context(v[of[c > often]], f["w"][top] if order > 1 else code[held][c > often])
                 yield _row(_OFTEN, known.view(np.int64), bucket, None, None)
+            some = small.any(0)
             ends, run_ends = np.cumsum(size), np.cumsum(runs)
+            kind = np.uint32 if count.max() < 2**32 else U64
             run_first = np.cumsum(f["run"], dtype=np.int64) - f["run"]
             blobs = []
             for k in range(len(rows)):
                 e = slice(ends[k] - size[k], ends[k])
                 own = run_at[run_ends[k] - runs[k] : run_ends[k]]
-                answer = {"c": count[e].astype(np.uint32 if len(count) and count.max() < 2**32 else U64)}
+                answer = {"c": count[e].astype(kind)}
                 if order == 1:
                     answer["code"] = code[place[e]] // U64(buckets)
                 else:
                     answer["total"] = total[own].astype(U64)
-                    answer["some"] = (sum(small)[own] > 0).astype(np.uint8)
+                    answer["some"] = some[own].astype(np.uint8)
                     begin = run_first[run_ends[k] - runs[k] : run_ends[k]] - (ends[k] - size[k])
                     unseen = own[np.logical_or.reduceat(count[e] == 0, begin)] if size[k] else own
                     answer |= {f"t{r}": small[r - 1][unseen].astype(np.uint32) for r in range(1, TRUST + 1)} | {"lower": s[unseen]}
@@ -266,10 +313,12 @@ class _Hot:
         self.names, self.sums = names[order], sums[order]
 
     def find(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the contexts are hot, and the sums of those."""
         if not len(self.names):
-            return np.zeros(len(context), bool), np.zeros((len(context), len(_SUMS)))
+            return np.zeros(0, np.int64), np.zeros((0, len(_SUMS)))
         at = np.minimum(np.searchsorted(self.names, context), len(self.names) - 1)
-        return self.names[at] == context, self.sums[at]
+        found = np.flatnonzero(self.names[at] == context)
+        return found, self.sums[at[found]]
 
 
 def _answers(s: dict[str, np.ndarray], order: int, buckets: int, hot: _Hot, d: np.ndarray, blobs: list[bytes]):
@@ -283,19 +332,18 @@ def _answers(s: dict[str, np.ndarray], order: int, buckets: int, hot: _Hot, d: n
         return g, f["c"], f["code"] * U64(buckets) + g.bucket + FIRST, None
     some, weight = f["some"].astype(bool), np.zeros(len(g.runs))
     total = f["total"].astype(float)
-    unseen = np.flatnonzero(np.logical_or.reduceat(f["c"] == 0, g.runs)) if len(g.runs) else np.zeros(0, np.int64)
+    new = np.logical_or.reduceat(f["c"] == 0, g.runs) if len(g.runs) else np.zeros(0, bool)
+    unseen = np.flatnonzero(new)
     small = np.zeros((TRUST, len(g.runs)))
     lower = np.zeros(len(g.runs))
     for r in range(TRUST):
         small[r, unseen] = f[f"t{r + 1}"]
     lower[unseen] = f["lower"]
-    is_hot, sums = hot.find(g.context[g.runs])
-    total = np.where(is_hot, sums[:, 0], total)
-    small = np.where(is_hot, sums[:, 1 : TRUST + 1].T, small)
-    some = np.where(is_hot, small.sum(0) > 0, some)
-    lower = np.where(is_hot, sums[:, -1], lower)
+    is_hot, sums = hot.find(g.context)
+    total[is_hot], small[:, is_hot], lower[is_hot] = sums[:, 0], sums[:, 1 : TRUST + 1].T, sums[:, -1]
+    some[is_hot] = sums[:, 1 : TRUST + 1].any(1)
     whole = total + ((total > 0) & ~some)
-    ask = np.flatnonzero((total > 0) & (np.logical_or.reduceat(f["c"] == 0, g.runs) if len(g.runs) else False))
+    ask = np.flatnonzero((total > 0) & new)
     weight[ask] = np.log10(left_over(small[:, ask], d)) - np.log10(whole[ask]) - np.log10(np.maximum(1 - lower[ask], 1e-300))
     return g, f["c"], whole, weight
 
@@ -326,7 +374,7 @@ def _learn_pairs(batches, buckets: int, hot: _Hot, d: np.ndarray):
     for pick, s, blobs in _slices_in(batches):
         g, c, whole, weight = _answers(s, 2, buckets, hot, d, blobs)
         whole2, weight2 = np.zeros(len(s["names"]), U64), np.zeros(len(s["names"]))
-        v = g.v_at[g.runs]
+        v = g.v_at
         whole2[v] = whole.astype(U64)
         asked = weight != 0  # runs of one context have one weight, or none where nothing was asked
         weight2[v[asked]] = weight[asked]
@@ -348,12 +396,12 @@ def _evaluate(batches, buckets: int, hot: _Hot, d: list[np.ndarray], total: int,
         p = np.where(c1 > 0, _log(reduced(c1, d[0])) - _log(np.array(max(whole, 1))), _log(np.array(unknown)))[w]
         c2, whole2 = s["c2"].astype(float), s["whole2"].astype(float)
         p = np.where(c2 > 0, _log(reduced(c2, d[1])) - _log(whole2)[v], s["weight2"][v] + p)
-        c3, run = c[g.at].astype(float), g.run[g.at]
-        p = np.where(c3 > 0, _log(reduced(c3, d[2])) - _log(wholes)[run], weight[run] + p)
-        rows = len(s["did"])
+        own3, seen = np.where(c > 0, _log(reduced(c.astype(float), d[2])) - _log(wholes)[g.run], weight[g.run]), c > 0  # of each n-gram
+        p = own3[g.at] + np.where(seen[g.at], 0.0, p)
+        rows, row = len(s["did"]), np.repeat(np.arange(len(s["did"])), s["size"] - 2)
         base = np.log10(c1 + 0.5)[w] - np.log10(total + 0.5 * (kinds + 1))
-        sums = [np.bincount(g.row, x, rows) for x in (base, p)]
-        n = [np.bincount(g.row, x, rows).astype(np.int64) for x in (None, (c1 > 0)[w])]
+        sums = [np.bincount(row, x, rows) for x in (base, p)]
+        n = [np.bincount(row, x, rows).astype(np.int64) for x in (None, (c1 > 0)[w])]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.full(rows, pick("slice"))), pa.array(s["did"], mask=s["did"] == NULL_ID), *map(pa.array, n), pa.array(np.full(rows, total)), *map(pa.array, sums)],
             names=["slice", "doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -387,8 +435,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     all buckets by the word too, and only their sums (at most four contexts a
     bucket) go through the driver.  So an n-gram takes one place in a slice,
     however often it occurs, and no document is gathered in one task.  Words
-    are known by 64-bit hashes; n-grams and contexts whose hashes agree are
-    compared by their words.
+    are known by 64-bit hashes; contexts whose hashes agree are compared by
+    their words, and n-grams are told apart by the words themselves.
 
     A null text is an empty one, and has only the end.  Without training rows
     both scores are 0 for each token.  Repeated rows count each, and each has

@@ -1,9 +1,12 @@
 import math
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,47 @@ def test_few_long_texts_of_many_frequent_words(spark):
     m = Brute([t for _, t in rows])
     got = katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
     assert {r.doc_id: r.score for r in got} == pytest.approx({i: m.score(t) for i, t in rows}, abs=1e-6)
+
+
+def test_arrays_are_kept_without_their_empty_high_bytes():
+    rng = np.random.default_rng(3)
+    arrays = {
+        "ids": np.array([-(2**63), -5, 3, 2**62]), "minus": np.array([-1, -300]), "small": rng.integers(0, 200, 999).astype(np.uint64), "large": rng.integers(0, 2**63, 999).astype(np.uint64) * np.uint64(2),
+        "narrow": rng.integers(0, 70_000, 50).astype(np.uint32), "bytes": np.array([0, 1, 255], np.uint8), "sums": rng.random(20), "zeros": np.zeros(7, np.uint32), "none": np.zeros(0, np.uint64), "strided": np.arange(20, dtype=np.uint32)[::3],
+    }
+    blob = katz._save(**arrays)
+    got = katz._load(blob)
+    for k, a in arrays.items():
+        assert got[k].dtype == a.dtype and (got[k] == a).all() and len(got[k]) == len(a), k
+    assert {k: x[2] for k, x in pickle.loads(blob).items()} == {"ids": 8, "minus": 8, "small": 1, "large": 8, "narrow": 3, "bytes": 1, "sums": 8, "zeros": 0, "none": 0, "strided": 1}
+
+
+@pytest.mark.parametrize("bits", [10, 40, 63, 64])
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_distinct_keys_of_any_width(bits, n):
+    rng = np.random.default_rng(n)
+    key = (rng.integers(0, 2**62, 700).astype(np.uint64) << np.uint64(2) >> np.uint64(64 - bits))[rng.integers(0, 700, n)]
+    by, begins, place = katz._distinct(key, bits)
+    names, at = np.unique(key, return_inverse=True)
+    assert (key[by[begins]] == names).all() and (place == at).all()
+    assert sorted(by.tolist()) == list(range(n)) and (np.diff(key[by].astype(object)) >= 0).all()
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_ngrams_with_equal_hashes_are_counted_apart(monkeypatch, wide):
+    """Two slices ask one bucket: the contexts 5 and 6, then words whose hashes agree; with wide words, context and word don't fit into 64 bits."""
+    real, far = katz.kernels.mix, np.uint64(2**63 if wide else 0)
+    word = lambda *x: np.array(x, np.uint64) + far
+    contexts = katz._context(np.zeros(2, np.uint64), np.array([5, 6], np.uint64))
+    monkeypatch.setattr(katz.kernels, "mix", lambda x: real(x) if len(x) <= 4 else np.zeros(len(x), np.uint64))
+    one = {"u": np.zeros(2, np.uint64), "v": np.array([5, 6], np.uint64), "whole": np.ones(2, np.uint64), "run": np.array([3, 2], np.uint32)}
+    asks = [katz._save(**one, w=word(1, 2, 3, 1, 3), n=np.array(n, np.uint32), lower=np.ones(5, np.uint32)) for n in ([2, 0, 7, 1, 0], [1, 1, 0, 1, 0])]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0], pa.int32()), pa.array([10, 11]), pa.array(asks, pa.binary())], names=["bucket", "slice", "blob"])
+    met = pa.Table.from_batches(katz._meet([batch], 2, 1, contexts, katz.discounts([0] * 6), 20.0, 1e9)).to_pylist()
+    answers = [katz._load(r["blob"]) for r in met if r["kind"] == katz._ANSWER]
+    assert [a["c"].tolist() for a in answers] == [[3, 1, 7, 2, 0]] * 2
+    assert [a["total"].tolist() for a in answers] == [[11, 2]] * 2
+    assert [a["t2"].tolist() for a in answers] == [[1]] * 2  # of the context with an unseen word
+    sums = {r["slice"]: r["stats"] for r in met if r["kind"] == katz._HOT}
+    assert [sums[int(c)][:6] for c in contexts.view(np.int64)] == [[11, 1, 0, 1, 0, 0], [2, 0, 1, 0, 0, 0]]
+    assert next(r["stats"] for r in met if r["kind"] == katz._COUNTS) == [1, 1, 1, 0, 0, 0, 4]
