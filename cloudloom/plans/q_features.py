@@ -119,7 +119,7 @@ def _fan(p, n):
     return vertices, faces, rays.triangles(vertices, faces)
 
 
-def _mesh(spark, d):
+def _whole_mesh(spark, d):
     p = V.table(spark, d, "part")
     return _fan(p, p.agg(F.max("p_partkey")).first()[0] or 1)
 
@@ -128,7 +128,7 @@ def _mesh(spark, d):
 def mesh_area(spark, d):
     from cloudloom.functions.columns import triangle_area, vec
 
-    return _mesh(spark, d)[2].select("fid", F.round(triangle_area(vec("a"), vec("b"), vec("c")), 6).alias("area"))
+    return _whole_mesh(spark, d)[2].select("fid", F.round(triangle_area(vec("a"), vec("b"), vec("c")), 6).alias("area"))
 
 
 @query(f"""WITH {_MESH}, u AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM n), r AS (SELECT a.range * 40 + b.range AS ray, 60.0 AS ox, a.range - 1.2345::DOUBLE AS oy, b.range * 0.2917::DOUBLE - 0.4317::DOUBLE AS oz FROM range(40) a, range(40) b),
@@ -141,31 +141,31 @@ SELECT ray, arg_min(fid, (t, fid)) AS fid, round(min(t) + 0.0001234567, 3) AS t
 def ray_hits(spark, d):
     k = F.col("id")
     r = spark.range(1600).select(k.alias("ray"), F.lit(60.0).alias("ox"), (F.expr("id div 40") - 1.2345).alias("oy"), (k % 40 * 0.2917 - 0.4317).alias("oz"), F.lit(-1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
-    return rays.cast_rays(r, _mesh(spark, d)[2]).select("ray", "fid", F.round(F.col("t") + 0.0001234567, 3).alias("t"))
+    return rays.cast_rays(r, _whole_mesh(spark, d)[2]).select("ray", "fid", F.round(F.col("t") + 0.0001234567, 3).alias("t"))
 
 
 @query()
 def scan_views(spark, d):
     r = rays.parallel_rays(spark, (25.0, 18.0, 5.0), 60.0, 60.0, 8, 20)
-    return rays.cast_rays(r, _mesh(spark, d)[2])
+    return rays.cast_rays(r, _whole_mesh(spark, d)[2])
 
 
 @query()
 def mesh_depth(spark, d):
-    return rays.depth_map(_mesh(spark, d)[2], 50, 40)
+    return rays.depth_map(_whole_mesh(spark, d)[2], 50, 40)
 
 
 @query(f"""WITH {_MESH}, u AS (SELECT f.a, f.b, f.c, nx / s AS x, ny / s AS y, nz / s AS z FROM (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS s FROM n) JOIN f USING (fid) WHERE s > 0), k AS (SELECT unnest([a, b, c]) AS vid, x, y, z FROM u),
 m AS (SELECT vid, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM k GROUP BY vid) SELECT vid, round(x / sqrt(x * x + y * y + z * z), 5) AS nx, round(y / sqrt(x * x + y * y + z * z), 5) AS ny, round(z / sqrt(x * x + y * y + z * z), 5) AS nz FROM m""")
 def vertex_normals(spark, d):
-    return rays.vertex_normals(_mesh(spark, d)[2]).select("vid", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
+    return rays.vertex_normals(_whole_mesh(spark, d)[2]).select("vid", *(F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query()
 def mesh_sample(spark, d):
     from cloudloom.operators.filters import sample_mesh
 
-    return sample_mesh(_mesh(spark, d)[2], 4.0, 3)
+    return sample_mesh(_whole_mesh(spark, d)[2], 4.0, 3)
 
 
 

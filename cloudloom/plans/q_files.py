@@ -133,7 +133,7 @@ def match_files(spark, d):
 
 
 def _obj(spark, d):
-    v, f, _ = q_features._mesh(spark, d)
+    v, f, _ = q_features._whole_mesh(spark, d)
     points = v.select(F.col("vid").alias("place"), F.concat_ws(" ", F.lit("v"), *(F.format_string("%f", c) for c in "xyz")).alias("value"))
     faces = f.select((F.col("fid") + 10**12).alias("place"), F.format_string("g g%d\nusemtl m%d\nf %d %d//1 %d", F.col("fid") % 3, F.col("fid") % 2, *(F.col(c) + 1 for c in "abc")).alias("value"))
     return points.unionByName(faces)
@@ -156,7 +156,7 @@ def obj_element_files(spark, d):
 
 @query(f"WITH {q_features._MESH} SELECT row_number() OVER (ORDER BY fid) - 1 AS fid, a, b, c FROM f")
 def ply_face_files(spark, d):
-    v, f, _ = q_features._mesh(spark, d)
+    v, f, _ = q_features._whole_mesh(spark, d)
     n, m = (t.agg(F.count("*").alias("n")) for t in (v, f))
     head = n.crossJoin(m.select(F.col("n").alias("m"))).select(F.lit(-1).cast("long").alias("place"), F.format_string("ply\nformat ascii 1.0\nelement vertex %d\nelement face %d\nend_header", "n", "m").alias("value"))
     points = v.select(F.col("vid").alias("place"), F.concat_ws(" ", *(F.format_string("%f", c) for c in "xyz")).alias("value"))
@@ -242,7 +242,7 @@ def stamped_model(spark, d):
 @query(f"""WITH {q_features._MESH}, g AS (SELECT fid, 'g' || (fid % 3) AS grp, a, b, c FROM f), u AS (SELECT DISTINCT grp, unnest([a, b, c]) AS vid FROM g), k AS (SELECT grp, vid, row_number() OVER (PARTITION BY grp ORDER BY vid) - 1 AS pid FROM u)
 SELECT g.grp, fid, p.pid AS a, q.pid AS b, r.pid AS c FROM g JOIN k p ON p.grp = g.grp AND p.vid = g.a JOIN k q ON q.grp = g.grp AND q.vid = g.b JOIN k r ON r.grp = g.grp AND r.vid = g.c""")
 def split_mesh(spark, d):
-    v, f, _ = q_features._mesh(spark, d)
+    v, f, _ = q_features._whole_mesh(spark, d)
     named = f.withColumn("grp", F.concat(F.lit("g"), (F.col("fid") % 3).cast("string")))
     return writers.split_mesh(v.withColumnRenamed("vid", "pid"), named)[1].select("grp", "fid", *(F.col(c).cast("long").alias(c) for c in "abc"))
 
@@ -353,4 +353,4 @@ def erode_points(spark, d):
 
 @query(f"WITH {q_features._MESH}, m AS (SELECT fid, nx / nullif(sqrt(nx * nx + ny * ny + nz * nz), 0) AS x, ny / nullif(sqrt(nx * nx + ny * ny + nz * nz), 0) AS y, nz / nullif(sqrt(nx * nx + ny * ny + nz * nz), 0) AS z, (ax + bx + cx) / 3 AS px, (ay + by_ + cy) / 3 AS py, (az + bz + cz) / 3 AS pz FROM n), s AS (SELECT *, CASE WHEN (200 - px) * x + (300 - py) * y + (400 - pz) * z < 0 THEN -1 ELSE 1 END AS s FROM m) SELECT fid, round(255 * least(1.0, 0.5 + greatest(0.0, s * z)), 5) AS shade FROM s")
 def shaded_mesh(spark, d):
-    return rays.shade(q_features._mesh(spark, d)[2], (0.0, 0.0, 1.0), (200.0, 300.0, 400.0)).select("fid", F.round("shade", 5).alias("shade"))
+    return rays.shade(q_features._whole_mesh(spark, d)[2], (0.0, 0.0, 1.0), (200.0, 300.0, 400.0)).select("fid", F.round("shade", 5).alias("shade"))
